@@ -16,34 +16,37 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import batch_of, pieces, table, texts
 
-CACHE, CHUNK_ROWS, DECODE_IDS = 600_000, 400_000, 400_000
+CACHE, CHUNK_ROWS, DECODE_IDS = 800_000, 600_000, 400_000
+SHORT = 4095  # pieces of up to so many bytes have their step's choice packed into one number
 
 _CONTRACT = """
-with recursive step(k, w, p, t) as (
-  select 0, w, p, t from seed
+with recursive step(k, w, p, e, t) as (
+  select 0, w, p, e, t from seed
   union all
-  select k + 1, w, p, case when key = best then m else t end from (
-    select *, lag(key) over (partition by w order by p) as before from (
-      select *, min(key) over (partition by w) as best from (
-        select s.*, m.m, m.m * 16777216::bigint + s.p as key
-        from (select *, lead(t) over (partition by w order by p) as after from step) s left join merges m on s.t = m.a and s.after = m.b))
-    where best is not null)
-  where before is distinct from best
+  select s.k + 1, s.w, s.p, case when s.p = b.p then b.e else s.e end, case when s.p = b.p then b.m else s.t end
+  from step s join (
+    select w, {unpack} from (
+      select x.w, min({pack}) as z from step x join step y on x.w = y.w and x.e = y.p join merges m on x.t = m.a and y.t = m.b group by x.w)) b
+  on s.w = b.w and s.p <> b.mid
 ),
 ends as (select w, max(k) as k from step group by w)
 select w, list(t order by p) as ids from step join ends using (w, k) group by w
 """
-_DECODE = """
-select d, string_agg(s, '' order by i) as text
-from (select d, unnest(ids) as id, generate_subscripts(ids, 1) as i from encoded) join vocabulary using (id) group by d
-"""
+_PACKED = _CONTRACT.format(
+    pack="(m.m::bigint << 40) + (x.p::bigint << 28) + (y.p::bigint << 14) + y.e",
+    unpack="(z >> 40)::integer as m, ((z >> 28) & 4095)::integer as p, ((z >> 14) & 4095)::integer as mid, (z & 4095)::integer as e",
+)
+_WIDE = _CONTRACT.format(pack="(m.m, x.p, y.p, y.e)", unpack="z[1] as m, z[2] as p, z[3] as mid, z[4] as e")
+_DECODE = "select d, string_agg(s, '' order by i) as text from encoded join vocabulary using (id) group by d"
 
 
 @cache
@@ -61,11 +64,11 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.find = regex.compile(pattern).findall
-        self.byte = [self.ranks[bytes([i])] for i in range(256)]
-        self.cache: dict[str, list[int]] = {}
+        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.cache: dict[str, bytes] = {}
         halves = [(a, b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None]
         a, b, m = (pa.array(x, pa.int32()) for x in zip(*halves, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "preserve_insertion_order": "false"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": "false"})
         self._put("merges", {"a": a, "b": b, "m": m})
         # A byte is kept as the character of its code, so that texts concatenate in SQL.
         self._put("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "s": pa.array([t.decode("latin-1") for t in self.ranks])})
@@ -76,56 +79,84 @@ class Codec:
         self.db.unregister("incoming")
 
     def learn(self, words) -> None:
-        """Encodes pieces into the cache."""
-        todo: list[str] = []
-        data: list[bytes] = []
+        """Encodes pieces into the cache, as bytes of their ids (little-endian, 32 bits each)."""
+        short: list[tuple[str, bytes]] = []
+        wide: list[tuple[str, bytes]] = []
         rows = 0
         for w in words:
             raw = w.encode()
             if (whole := self.ranks.get(raw)) is not None:
-                self.cache[w] = [whole]
+                self.cache[w] = whole.to_bytes(4, "little")
+                continue
+            if len(raw) > SHORT:
+                wide.append((w, raw))
                 continue
-            todo.append(w)
-            data.append(raw)
+            short.append((w, raw))
             rows += len(raw)
             if rows >= CHUNK_ROWS:
-                self._contract(todo, data)
-                todo, data, rows = [], [], 0
-        if todo:
-            self._contract(todo, data)
-
-    def _contract(self, todo: list[str], data: list[bytes]) -> None:
-        n = np.fromiter(map(len, data), np.int64, len(data))
-        flat = np.frombuffer(b"".join(data), np.uint8)
-        w = np.repeat(np.arange(len(data), dtype=np.int32), n)
-        p = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-        self._put("seed", {"w": w, "p": p.astype(np.int32), "t": np.array(self.byte, np.int32)[flat]})
-        got = self.db.execute(_CONTRACT).to_arrow_table()
-        for k, ids in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-            self.cache[todo[k]] = ids
-
-    def encode(self, batch: list[str]) -> list[list[int]]:
+                self._contract(short, _PACKED)
+                short, rows = [], 0
+        if short:
+            self._contract(short, _PACKED)
+        for pair in wide:
+            self._contract([pair], _WIDE)
+
+    def _contract(self, todo: list[tuple[str, bytes]], query: str) -> None:
+        n = np.fromiter((len(raw) for _, raw in todo), np.int64, len(todo))
+        flat = np.frombuffer(b"".join(raw for _, raw in todo), np.uint8)
+        w = np.repeat(np.arange(len(todo), dtype=np.int32), n)
+        p = (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        self._put("seed", {"w": w, "p": p, "e": p + 1, "t": self.byte[flat]})
+        got = self.db.sql(query).to_arrow_table().combine_chunks()
+        at, ids = got.column(0).to_pylist(), got.column(1).chunk(0)
+        cuts = ids.offsets.to_numpy() * 4
+        data = ids.values.to_numpy().astype("<u4").tobytes()
+        for k, a, b in zip(at, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            self.cache[todo[k][0]] = data[a:b]
+
+    def encode(self, batch: list[str]) -> pa.ListArray:
         cut = [self.find(t) for t in batch]
         if len(self.cache) > CACHE:
             self.cache.clear()
         known = self.cache
-        self.learn({w for words in cut for w in words if w not in known})
-        return [[i for w in words for i in known[w]] for words in cut]
-
-    def decode(self, batch: list) -> list[bytes]:
-        out, at, n = [b""] * len(batch), 0, 0
-        for k, ids in enumerate(batch):
-            n += len(ids)
-            if n >= DECODE_IDS or k + 1 == len(batch):
-                self.db.register("encoded", pa.table({"d": np.arange(at, k + 1), "ids": pa.array(batch[at : k + 1], pa.list_(pa.int32()))}))
-                for d, text in self.db.execute(_DECODE).fetchall():
-                    out[d] = text.encode("latin-1")
-                self.db.unregister("encoded")
-                at, n = k + 1, 0
+        self.learn(set(chain.from_iterable(cut)).difference(known))
+        ids = [b"".join(map(known.__getitem__, words)) for words in cut]
+        offsets = np.cumsum([0, *map(len, ids)]) // 4
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+    def decode(self, ids: pa.ListArray) -> list[bytes]:
+        """The bytes of each row's ids."""
+        out, cuts = [b""] * len(ids), ids.offsets.to_numpy()
+        values = ids.values.to_numpy()
+        at = 0
+        while at < len(ids):
+            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + DECODE_IDS)) - 1)
+            n = np.diff(cuts[at : to + 1])
+            rows = {"d": np.repeat(np.arange(at, to, dtype=np.int32), n), "i": np.arange(n.sum(), dtype=np.int32), "id": values[cuts[at] : cuts[to]]}
+            self.db.register("encoded", pa.table(rows))
+            for d, text in self.db.sql(_DECODE).fetchall():
+                out[d] = text.encode("latin-1")
+            self.db.unregister("encoded")
+            at = to
         return out
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+
+def slices(batches, rows: int = 2048):
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
+def plain(batch: pa.RecordBatch) -> pa.ListArray:
+    """The ids column with offsets from 0; null ids are no ids."""
+    ids = batch.column("ids")
+    lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), ids.flatten())
+
+
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -154,19 +185,18 @@ def digests(encoded: DataFrame, path: str | None = None, pattern: str | None = N
 
     def run(batches):
         codec = _codec(path, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                ids = [x or [] for x in batch.column("ids").to_pylist()]
-                yield batch_of(
-                    _DIGEST,
-                    {
-                        "doc_id": batch.column("doc_id"),
-                        "n_tokens": [len(x) for x in ids],
-                        "ids_sha256": [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids],
-                        "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in codec.decode(ids)],
-                    },
-                )
+        for batch in slices(batches):
+            ids = plain(batch)
+            cuts, data = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
+            yield batch_of(
+                _DIGEST,
+                {
+                    "doc_id": batch.column("doc_id"),
+                    "n_tokens": np.diff(cuts),
+                    "ids_sha256": [hashlib.sha256(data[a:b].tobytes()).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
+                    "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in codec.decode(ids)],
+                },
+            )
 
     return encoded.select("doc_id", "ids").mapInArrow(run, DIGEST)
 
@@ -177,10 +207,8 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
 
     def run(batches):
         codec = _codec(path, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codec.decode([x or [] for x in batch.column("ids").to_pylist()]), pa.binary())], names=["doc_id", "decoded"])
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codec.decode(plain(batch)), pa.binary())], names=["doc_id", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
