@@ -11,14 +11,15 @@ probes is chosen by cost, from what is known after the signatures have met:
 
 * A signature that no other set has costs nothing, nor does one that is shared within one
   component of sets known to be connected. A set with H + 1 such segments has no other partner at all.
-* The others pay for the fewest further segments they need, those of least frequency first.
+* The others are compared at the finest partition, n-gram by n-gram, the rarest first, with the sets that the fewest
+  further segments they need, those of least frequency, lead to.
 * Empty segments aren't compared. A set left with too few others takes allocations of 2 for its
   largest segments, and bands where that happens index one-deletion neighbourhoods, too. In the rest of the cases, sets
   of a few n-grams, single n-grams of the set's prefix are compared.
 
 Between the two, each set is verified against the set that it shares most signatures with, and components are
 formed, so large groups of near copies are joined through few sets and never expanded into pairs;
-what remains is enumerated in full and verified. Components are exact: no candidate is capped or sampled.
+what remains is enumerated and verified. Components are exact: no candidate is capped or sampled.
 
 Shuffles: the signatures once (8 bytes and the set's hash), those that two or more sets share, and n-grams
 of sets in candidate pairs. Copies have one hash, so they are one set everywhere.
@@ -38,9 +39,9 @@ from .graph import components
 
 N, NUM, DEN = 5, 4, 5  # words of an n-gram; similarity of NUM / DEN or more
 OWN, INDEX, LOW, EXTRA = range(4)  # what a signature row is: indexed and probed, indexed, probed in the band below, probed for want of segments
-TRIES, ROUNDS, CROWD = 4, 6, 400
+TRIES, FEW, BITS = 4, 20, 1 << 24
 _U = np.uint64
-_SALTS = {"segment": _U(0x9E3779B97F4A7C15), "subset": _U(0xC2B2AE3D27D4EB4F), "deleted": _U(0x165667B19E3779F9), "single": _U(0x27D4EB2F165667C5), "set": _U(0x85EBCA77C2B2AE63)}
+_SALTS = {"segment": _U(0x9E3779B97F4A7C15), "subset": _U(0xC2B2AE3D27D4EB4F), "deleted": _U(0x165667B19E3779F9), "single": _U(0x27D4EB2F165667C5), "set": _U(0x85EBCA77C2B2AE63), "word": _U(0xFF51AFD7ED558CCD)}
 
 
 def mix(x):
@@ -51,24 +52,40 @@ def mix(x):
         return x ^ (x >> _U(31))
 
 
-class Words(dict):
-    """Words to 64-bit hashes; a cache that is emptied when large."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    blank = np.zeros(256, bool)
+    blank[[9, 10, 11, 12, 13, 32]] = True
+    return lower, blank, mix(np.arange(1, 64 * 256 + 1, dtype=_U) * _SALTS["word"])
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lowered: the sum of a random number for each byte and place, mixed with the length."""
+    lower, blank, random = _TABLES
+    a = lower[np.frombuffer(text.encode(), np.uint8)]
+    gap = np.flatnonzero(blank[a])
+    bounds = np.concatenate(([-1], gap, [len(a)]))
+    lengths = np.diff(bounds) - 1
+    starts = bounds[:-1][lengths > 0] + 1
+    lengths = lengths[lengths > 0]
+    if not len(starts):
+        return np.empty(0, _U)
+    offsets = np.cumsum(lengths) - lengths
+    place = np.arange(offsets[-1] + lengths[-1]) - np.repeat(offsets, lengths)
+    byte = a[place + np.repeat(starts, lengths)]
+    with np.errstate(over="ignore"):
+        value = random[(place & 63) << 8 | byte]
+        if lengths.max() > 64:
+            value = value * (mix((place >> 6).astype(_U)) | _U(1))
+        return mix(np.add.reduceat(value, offsets) + lengths.astype(_U))
 
 
-def shingles(text: str, words: Words, n: int = N) -> np.ndarray:
+def shingles(text: str, n: int = N) -> np.ndarray:
     """The sorted distinct n-gram hashes of a text; of a shorter text, the hash of its whole sequence."""
-    found = text.encode().translate(_LOWER).split()  # bytes split at the six blanks of ASCII
-    if not found:
-        return np.empty(0, _U)
-    w = np.fromiter(map(words.__getitem__, found), _U, len(found))
+    w = word_hashes(text)
+    if not len(w):
+        return w
     k = min(n, len(w))
     with np.errstate(over="ignore"):
         h = np.zeros(len(w) - k + 1, _U)
@@ -77,7 +94,7 @@ def shingles(text: str, words: Words, n: int = N) -> np.ndarray:
     return np.unique(mix(h + _U(k)))
 
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_TABLES = _tables()
 
 
 def set_hash(h: np.ndarray) -> int:
@@ -93,7 +110,7 @@ def most(a: int, b: int) -> int:
 def _bands() -> list[int]:
     top, out = 1, [1]
     while top < 1 << 40:
-        top = max(top + 1, top * DEN // NUM)
+        top = max(top + 1, top * DEN * DEN // (NUM * NUM))
         out.append(top)
     return out
 
@@ -108,13 +125,24 @@ def segments(band: int) -> int:
     return 1 if need == 1 else need + 2 + need // 24
 
 
+def _segments_of(h: np.ndarray, band: int, m: int) -> tuple[np.uint64, np.ndarray]:
+    seed = mix(_SALTS["segment"] + _U(band))
+    seg = ((mix(h ^ seed) >> _U(32)) * _U(m)) >> _U(32)
+    return seed, seg.astype(np.uint16 if m < 65536 else np.uint32)  # short integers sort by radix
+
+
+def filled(h: np.ndarray, band: int) -> int:
+    """How many segments of the band a set reaches."""
+    m = segments(band)
+    return int(np.count_nonzero(np.bincount(_segments_of(h, band, m)[1], minlength=m)))
+
+
 class Cut:
     """A set cut into the segments of a band."""
 
     def __init__(self, h: np.ndarray, band: int) -> None:
         m = segments(band)
-        seed = mix(_SALTS["segment"] + _U(band))
-        seg = ((mix(h ^ seed) >> _U(32)) * _U(m)) >> _U(32)
+        seed, seg = _segments_of(h, band, m)
         order = np.argsort(seg, kind="stable")
         seg = seg[order]
         self.h = h[order]
@@ -123,7 +151,7 @@ class Cut:
         self.sizes = np.diff(np.append(starts, len(seg)))
         with np.errstate(over="ignore"):
             self.sums = np.add.reduceat(self.value, starts) if len(starts) else np.empty(0, _U)
-            self.tags = mix(seed + (seg[starts] << _U(8)))
+            self.tags = mix(seed + (seg[starts].astype(_U) << _U(8)))
         self.of = np.repeat(np.arange(len(starts)), self.sizes)
 
     def keys(self, sums: np.ndarray, tags: np.ndarray, space: str) -> np.ndarray:
@@ -157,7 +185,7 @@ def needs(n: int) -> tuple[int, int, int, int]:
 def spare(h: np.ndarray) -> tuple[int, int, int]:
     """band, and how many segments the set has beyond those it needs, in its own band and below (negative: too few)."""
     band, own, low, below = needs(len(h))
-    return band, (len(Cut(h, band).sums) - own if own else 0), (len(Cut(h, low).sums) - below if low >= 0 else 0)
+    return band, (filled(h, band) - own if own else 0), (filled(h, low) - below if low >= 0 else 0)
 
 
 def signatures(h: np.ndarray, deleting: frozenset[int]) -> np.ndarray:
@@ -201,22 +229,21 @@ _SHARED = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("hub", pa.int64()
 
 
 def _describe(batches):
-    words = Words()
     for batch in pieces(batches, "text"):
         rows = []
         for text in batch.column("text").to_pylist():
-            h = shingles(text, words)
+            h = shingles(text)
             rows.append((len(h), set_hash(h), *(spare(h) if len(h) else (0, 0, 0))))
         yield batch_of(_SETS, {"doc_id": batch.column("doc_id")} | dict(zip(_SETS.names[1:], zip(*rows, strict=True), strict=True)))
 
 
 def _sign(deleting: frozenset[int]):
     def run(batches):
-        words, seen = Words(), set()
+        seen = set()
         for batch in pieces(batches, "text"):
             keys, fps = [], []
             for text in batch.column("text").to_pylist():
-                h = shingles(text, words)
+                h = shingles(text)
                 if not len(h) or (fp := set_hash(h)) in seen:  # copies within a task are signed once
                     continue
                 seen.add(fp)
@@ -280,12 +307,20 @@ def _shared(batches):
 
 
 def _as_sets(batches):
-    words = Words()
     for batch in pieces(batches, "text"):
-        sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+        sets = [shingles(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([set_hash(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["fp", "grams"])
 
 
+def _as_grams(batches):
+    """Rows of (set, n-gram)."""
+    for batch in pieces(batches, "text"):
+        for text in batch.column("text").to_pylist():
+            h = shingles(text)
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), set_hash(h), np.int64)), pa.array(h.astype(np.int64))], names=["fp", "gram"])
+
+
 def _similar(batches):
     for batch in batches:
         out = []
@@ -310,13 +345,33 @@ class Join:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         return written(df, f"{self.folder}/{name}")
 
+    def wanted(self, ids: DataFrame, make, schema: str) -> DataFrame:
+        """``make`` over the documents of the sets in ``ids`` (fp), without a shuffle of texts.
+
+        Their doc_ids set bits in a map of fixed size; documents without a bit there are passed over. The few that share
+        a bit by chance (all, were the map full) yield sets that nothing is joined with."""
+        reps = ids.join(self.classes.select("fp", "rep"), "fp").select(F.pmod(F.xxhash64("rep"), F.lit(BITS)).alias("bit"))
+        words = reps.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).collect()
+        bits = np.zeros(BITS // 64, np.int64)
+        bits[[r.word for r in words]] = [r.bits for r in words]
+        shared = self.spark.sparkContext.broadcast(bits.view(np.uint8))
+
+        def run(batches):
+            bitmap = shared.value
+            for batch in batches:
+                at = batch.column("bit").to_numpy()
+                batch = batch.filter(pa.array((bitmap[at >> 3] >> (at & 7) & 1).astype(bool)))
+                if batch.num_rows:
+                    yield batch
+
+        rows = self.docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
+        return rows.mapInArrow(lambda batches: make(run(batches)), schema)
+
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Edges (u, v) of the pairs (a, b) that are similar."""
         pairs = self.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}/pairs")
         ids = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        wanted = ids.join(self.classes.select("fp", "rep"), "fp").select("rep").distinct()
-        sets = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").mapInArrow(_as_sets, "fp long, grams binary")
-        sets = self.write(sets, f"{name}/sets")
+        sets = self.write(self.wanted(ids, _as_sets, "fp long, grams binary"), f"{name}/sets")
         both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("grams_b")), "b")
         return self.write(both.mapInArrow(_similar, "u long, v long").distinct(), f"{name}/edges")
 
@@ -333,7 +388,9 @@ class Join:
         shared = self.write(met, "shared")
         # Each set against the one that it shares most signatures with.
         best = shared.where("fp <> hub").groupBy("fp", "hub").agg(F.count("*").alias("c")).groupBy("fp").agg(F.max(F.struct("c", "hub")).alias("x"))
-        edges = self.verified(best.select(F.col("fp").alias("a"), F.col("x.hub").alias("b")), "hubs")
+        # Similar sets share half of their signatures; those that share a few only are left to the full enumeration.
+        likely = best.join(self.classes.select("fp", "n"), "fp").where(F.col("x.c") * 20 >= F.col("n"))
+        edges = self.verified(likely.select(F.col("fp").alias("a"), F.col("x.hub").alias("b")), "hubs")
         known = self.write(components(edges, f"{self.folder}/known"), "known0")
         k = 0
         while True:
@@ -341,23 +398,27 @@ class Join:
             chosen = self.chosen(open_, k)
             if chosen is None:
                 return self.labelled(known)
-            n_open, n_pairs = chosen.agg(F.count_distinct("fp"), F.sum("others")).first()
-            if k >= ROUNDS or (n_pairs or 0) <= CROWD * n_open:
-                break
-            # Too many pairs for the sets that are open: first each against a few others in the largest components that it meets.
+            # Each open set against a few others in the largest components that it meets, while that connects many.
             more = self.verified(self.tried(chosen, open_, k), f"try{k}")
-            if more.isEmpty():
-                break
+            n_more = more.count()
+            if n_more:
+                stars = known.select(F.col("node").alias("u"), F.col("component").alias("v"))
+                known = self.write(components(stars.unionByName(more), f"{self.folder}/comp{k}"), f"known{k + 1}")
             k += 1
-            known = self.write(components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), f"{self.folder}/comp{k}"), f"known{k}")
-        edges = self.verified(self.all_pairs(chosen, open_), "rest")
+            if n_more * FEW < chosen.select("fp").distinct().count():
+                break
+        named = self.named(known, k)
+        edges = self.verified(self.all_pairs(chosen, open_, named), "rest")
         stars = known.select(F.col("node").alias("u"), F.col("component").alias("v"))
         return self.labelled(self.write(components(stars.unionByName(edges), f"{self.folder}/final"), "final/known"))
 
+    def named(self, known: DataFrame, k: int) -> DataFrame:
+        named = self.classes.join(known, F.col("fp") == F.col("node"), "left").select("fp", "n", "spare_own", "spare_low", F.coalesce("component", "fp").alias("comp"))
+        return self.write(named, f"named{k}")
+
     def open_rows(self, shared: DataFrame, known: DataFrame, k: int) -> DataFrame:
         """Rows of signatures that sets of two components or more have."""
-        named = self.classes.join(known, F.col("fp") == F.col("node"), "left").select("fp", "n", "spare_own", "spare_low", F.coalesce("component", "fp").alias("comp"))
-        named = self.write(named, f"named{k}")
+        named = self.named(known, k)
         sig = F.shiftright("key", 2).alias("sig")
         mixed = shared.select("fp", sig).join(named.select("fp", "comp"), "fp").groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("others")).where("lo <> hi").select("sig", "others")
         rows = shared.select("fp", sig, (F.col("key").bitwiseAND(3)).cast("int").alias("kind")).join(mixed, "sig").join(named, "fp")
@@ -382,11 +443,25 @@ class Join:
         pairs = chosen.join(largest, "sig").where("comp <> other").withColumn("at", F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("sig", F.lit(k)))))
         return pairs.where(F.col("at") <= TRIES).select(F.col("fp").alias("a"), "b")
 
-    def all_pairs(self, chosen: DataFrame, open_: DataFrame) -> DataFrame:
-        """All pairs of a chosen signature's prober and a set indexed there, of other components and of fitting sizes."""
-        other = open_.where(F.col("kind") <= INDEX).select(F.col("sig").alias("s"), F.col("fp").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
-        fits = (F.col("comp") != F.col("comp_b")) & (F.col("n_b") <= F.col("n")) & (F.col("n_b") * DEN >= F.col("n") * NUM)
-        return chosen.join(other, (F.col("sig") == F.col("s")) & fits).select(F.col("fp").alias("a"), "b")
+    def all_pairs(self, chosen: DataFrame, open_: DataFrame, named: DataFrame) -> DataFrame:
+        """All pairs of components that may still be similar, of open sets and of the sets indexed at the signatures that they probe.
+
+        The finest partition: every n-gram is a segment, allocated rarest first. Of similar sets the first common n-gram in
+        that order has at most H of their n-grams before it, so it stands in the prefix of both, and no more
+        n-grams than the overlap needs are left behind it. N-grams of one set only have no row, they count as places."""
+        met = open_.where(F.col("kind") <= INDEX).join(chosen.select("sig").distinct(), "sig", "left_semi").select("fp")
+        ids = self.write(met.unionByName(chosen.select("fp")).distinct().join(named.select("fp", "n", "comp"), "fp"), "rest/ids")
+        grams = self.write(self.wanted(ids, _as_grams, "fp long, gram long").join(ids, "fp").distinct(), "rest/grams")
+        common = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+        rows = grams.join(common, "gram")
+        by = Window.partitionBy("fp")
+        rank = F.row_number().over(by.orderBy("df", "gram")) + F.col("n") - F.count("*").over(by)
+        rows = rows.select("fp", "gram", "comp", "n", rank.alias("at")).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)
+        rows = self.write(rows, "rest/prefixes")
+        other = rows.select(F.col("fp").alias("b"), "gram", F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+        overlap = F.ceil((F.col("n") + F.col("n_b")) * NUM / (NUM + DEN))
+        behind = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) + 1
+        return rows.join(other, "gram").where((F.col("comp") < F.col("comp_b")) & (behind >= overlap)).select(F.col("fp").alias("a"), "b").distinct()
 
     def labelled(self, known: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id of every document."""
