@@ -21,7 +21,6 @@ from .common import table, texts
 
 K, GAP, COVER, SHORT = 3, 3, 0.6, 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
 
@@ -76,8 +75,10 @@ def spans(docs: DataFrame, k: int = K, gap: int = GAP, cover: float = COVER) ->
 
 def base(docs: DataFrame) -> DataFrame:
     """Words and the places of the base phrases."""
-    named = texts(docs).select("doc_id", F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_words"), F.when(F.contains(F.lower("text"), F.lit("license")), words_of(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("words"))
+    all_words = texts(docs).select("doc_id", words_of(F.col("text")).alias("words"))
     w = F.col("words")
+    # Each base phrase has this word; most texts don't.
+    named = all_words.select("doc_id", F.size(w).cast("long").alias("n_words"), F.when(F.array_contains(w, "license"), w).otherwise(F.array().cast("array<string>")).alias("words"))
 
     def places(phrase: tuple[str, ...]) -> Column:
         fits = lambda i: [F.get(w, i + j) == x for j, x in enumerate(phrase)]
