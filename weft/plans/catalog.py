@@ -3,15 +3,321 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.functions import geometry as geo
+from weft.operators import density, halos, morphology, stats, trees
+from weft.sources import lenses
+from weft.sources.lenses import BOX, HALO_BOX, TREE_BOX
+
+Q: dict = {}
+S: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        Q[name] = f
+        if sql:
+            S[name] = sql
+        return f
+
+    return add
+
+
+def r6(c, name: str, digits: int = 6):
+    return F.round(c, digits).alias(name)
+
+
+N = 16
+W = BOX / N
+_CORNERS = ", ".join(f"({a},{b},{c})" for a, b, c in density.CORNERS)
+CIC = f"""cic AS (SELECT CAST((fx + c.a) % {N} AS INT) AS ix, CAST((fy + c.b) % {N} AS INT) AS iy, CAST((fz + c.d) % {N} AS INT) AS iz,
+  sum(mass * (CASE c.a WHEN 1 THEN px ELSE 1 - px END) * (CASE c.b WHEN 1 THEN py ELSE 1 - py END) * (CASE c.d WHEN 1 THEN pz ELSE 1 - pz END)) / {W**3} AS density
+  FROM (SELECT *, CAST(floor(x / {W}) AS BIGINT) AS fx, CAST(floor(y / {W}) AS BIGINT) AS fy, CAST(floor(z / {W}) AS BIGINT) AS fz,
+    x / {W} - floor(x / {W}) AS px, y / {W} - floor(y / {W}) AS py, z / {W} - floor(z / {W}) AS pz FROM particles),
+  (VALUES {_CORNERS}) c(a, b, d) GROUP BY ALL)"""
+
+
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    return density.cic(lenses.particles(spark, d), BOX, N, F.col("mass"))
+
+
+@query("d08_cic_density", f"WITH {lenses.PARTICLES}, {CIC} SELECT ix, iy, iz, round(density, 6) AS density FROM cic")
+def _(spark, d):
+    return grid(spark, d).select("ix", "iy", "iz", r6(F.col("density"), "density"))
+
+
+_OD = f"od AS (SELECT density / ((SELECT sum(mass) FROM particles) / {BOX**3}) AS od FROM cic)"
+_LOG = "CASE WHEN {v} <= 0 OR {v} < {lo} THEN -1 WHEN {v} >= {hi} THEN {n} ELSE least(greatest(floor((log10({v}) - log10({lo})) / ((log10({hi}) - log10({lo})) / {n})), 0), {n} - 1) END"
+
+
+@query(
+    "a09_overdensity_pdf",
+    f"""WITH {lenses.PARTICLES}, {CIC}, {_OD}, h AS (SELECT CAST({_LOG.format(v="od", lo="0.0137::DOUBLE", hi="41.7::DOUBLE", n=24)} AS INT) AS bin, count(*) AS count FROM od GROUP BY 1)
+    SELECT bin, count, round(count / ((SELECT sum(count) FROM h WHERE bin BETWEEN 0 AND 23) * 0.0137::DOUBLE * (pow(41.7::DOUBLE / 0.0137, (bin + 1) / 24.0::DOUBLE) - pow(41.7::DOUBLE / 0.0137, bin / 24.0::DOUBLE))), 6) AS pdf
+    FROM h WHERE bin BETWEEN 0 AND 23""",
+)
+def pdf_of_box(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: particles to cells to overdensities to their density of probability."""
+    mean = lenses.particles(spark, d).agg((F.sum("mass") / BOX**3).alias("mean"))
+    od = grid(spark, d).join(F.broadcast(mean)).select((F.col("density") / F.col("mean")).alias("od"))  # one row
+    hist = stats.counts(od, stats.log_bin(F.col("od"), 0.0137, 41.7, 24))
+    b, step = F.col("bin"), 41.7 / 0.0137
+    width = 0.0137 * (F.pow(F.lit(step), (b + 1) / 24.0) - F.pow(F.lit(step), b / 24.0))
+    return stats.pdf(hist, width, 24).select("bin", "count", r6(F.col("pdf"), "pdf"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return pdf_of_box(spark, sf_dir)
+
+
+@query("d03_projection", f"WITH {lenses.PARTICLES}, {CIC} SELECT ix, iy, round(sum(density) * {W}, 5) AS surface FROM cic GROUP BY ALL")
+def _(spark, d):
+    return density.project(grid(spark, d), ("ix", "iy"), W).select("ix", "iy", r6(F.col("surface"), "surface", 5))
+
+
+@query("f09_slice", f"WITH {lenses.PARTICLES}, {CIC} SELECT ix, iy, round(sum(density) * {W}, 5) AS surface FROM cic WHERE iz >= 2 AND iz < 6 GROUP BY ALL")
+def _(spark, d):
+    return density.project(grid(spark, d), ("ix", "iy"), W, 2, 6).select("ix", "iy", r6(F.col("surface"), "surface", 5))
+
+
+@query("d19_cell_velocity", f"WITH {lenses.PARTICLES} SELECT CAST(floor(x * {N} / {BOX}) AS INT) AS ix, CAST(floor(y * {N} / {BOX}) AS INT) AS iy, CAST(floor(z * {N} / {BOX}) AS INT) AS iz, count(*) AS n, round(avg(v), 6) AS v FROM particles GROUP BY 1, 2, 3")
+def _(spark, d):
+    return density.ngp(lenses.particles(spark, d), BOX, N, F.count("*").alias("n"), r6(F.avg("v"), "v"))
+
+
+_GRAD = " UNION ALL ".join(
+    f"SELECT {', '.join(f'CAST((i{a} + {step if a == axis else 0} + {N}) % {N} AS INT) AS i{a}' for a in 'xyz')}, {', '.join(f'density * ({sign if a == axis else 0}) / {2 * W} AS g{a}' for a in 'xyz')} FROM cic"
+    for axis in "xyz" for step, sign in ((1, -1), (-1, 1))
+)
+
+
+@query("d20_gradient", f"WITH {lenses.PARTICLES}, {CIC}, s AS ({_GRAD}) SELECT ix, iy, iz, round(sum(gx), 5) + 0 AS gx, round(sum(gy), 5) + 0 AS gy, round(sum(gz), 5) + 0 AS gz FROM s GROUP BY ALL")
+def _(spark, d):
+    return density.gradient(grid(spark, d), N, W).select("ix", "iy", "iz", *[(F.round(f"g{a}", 5) + 0).alias(f"g{a}") for a in "xyz"])
+
+
+@query("a17_grid_variance", f"WITH {lenses.PARTICLES}, {CIC} SELECT round(var_pop(density), 6) AS variance, round(min(density), 6) AS low, round(max(density), 6) AS high FROM cic")
+def _(spark, d):
+    return grid(spark, d).agg(r6(F.var_pop("density"), "variance"), r6(F.min("density"), "low"), r6(F.max("density"), "high"))
+
+
+_H = 3.0
+_R = int(2 * _H / W) + 1
+
+
+@query(
+    "d10_sph_2d",
+    f"""WITH {lenses.PARTICLES}, s AS (SELECT mass, floor(x / {W}) + a.d AS i, floor(y / {W}) + b.d AS j,
+      sqrt(pow((floor(x / {W}) + a.d + 0.5::DOUBLE) * {W} - x, 2) + pow((floor(y / {W}) + b.d + 0.5::DOUBLE) * {W} - y, 2)) / {_H} AS q
+      FROM particles, range(-{_R}, {_R + 1}) a(d), range(-{_R}, {_R + 1}) b(d))
+    SELECT CAST((i + {N}) % {N} AS INT) AS ix, CAST((j + {N}) % {N} AS INT) AS iy,
+      round(sum(mass * (0.25 * pow(greatest(2 - q, 0), 3) - pow(greatest(1 - q, 0), 3)) * (10.0::DOUBLE / (7 * pi() * {_H * _H}))), 4) AS surface FROM s WHERE q < 2 GROUP BY 1, 2""",
+)
+def _(spark, d):
+    return density.sph_2d(lenses.particles(spark, d), BOX, N, _H).select("ix", "iy", r6(F.col("surface"), "surface", 4))
+
+
+@query("a01_histogram", "WITH h AS (SELECT CAST(CASE WHEN l_quantity < 5.5 THEN -1 WHEN l_quantity >= 45.5 THEN 20 ELSE least(floor((l_quantity - 5.5::DOUBLE) * 20 / 40), 19) END AS INT) AS bin FROM lineitem) SELECT bin, count(*) AS count FROM h GROUP BY bin")
+def _(spark, d):
+    return stats.counts(lenses.table(spark, d, "lineitem").select("l_quantity"), stats.linear_bin(F.col("l_quantity"), 5.5, 45.5, 20))
+
+
+_L = _LOG.format(v="o_totalprice", lo="1234.5::DOUBLE", hi="456789.1::DOUBLE", n=30)
+
+
+@query("a02_histogram_log", f"SELECT CAST({_L} AS INT) AS bin, count(*) AS count FROM orders GROUP BY 1")
+def _(spark, d):
+    return stats.counts(lenses.table(spark, d, "orders").select("o_totalprice"), stats.log_bin(F.col("o_totalprice"), 1234.5, 456789.1, 30))
+
+
+@query("a03_weighted_histogram", f"SELECT CAST({_L} AS INT) AS bin, round(sum(o_totalprice), 2) AS weight FROM orders GROUP BY 1")
+def _(spark, d):
+    t = lenses.table(spark, d, "orders").select("o_totalprice")
+    return stats.counts(t, stats.log_bin(F.col("o_totalprice"), 1234.5, 456789.1, 30), F.col("o_totalprice")).select("bin", F.round("weight", 2).alias("weight"))
+
+
+@query(
+    "a06_jackknife",
+    f"""WITH {lenses.PARTICLES}, c AS (SELECT CAST(floor((mass - 0.5::DOUBLE) * 25 / 50) AS INT) AS bin, floor(x / 32) + 2 * floor(y / 32) + 4 * floor(z / 32) AS box, count(*) AS c FROM particles WHERE mass >= 0.5 AND mass < 50.5 GROUP BY ALL)
+    SELECT bin, round(sum(c) / 8.0::DOUBLE, 6) AS mean, round(sqrt((sum(c * c) - CAST(sum(c) AS DOUBLE) * sum(c) / 8) / 7 / 8), 6) AS error FROM c GROUP BY bin""",
+)
+def _(spark, d):
+    box = F.floor(F.col("x") / 32) + 2 * F.floor(F.col("y") / 32) + 4 * F.floor(F.col("z") / 32)
+    return stats.jackknife(lenses.particles(spark, d), stats.linear_bin(F.col("mass"), 0.5, 50.5, 25), box, 25, 8).select("bin", r6(F.col("mean"), "mean"), r6(F.col("error"), "error"))
+
+
+_SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
+_P = ", ".join(f"round(quantile_cont(o_totalprice, {q}), 4) AS p{round(q * 100)}" for q in _SHARES)
+
+
+@query("a08_class_statistics", f"SELECT coalesce(o_orderstatus, 'all') AS o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std, {_P} FROM orders GROUP BY ROLLUP (o_orderstatus)")
+def _(spark, d):
+    out = stats.percentiles(lenses.table(spark, d, "orders").select("o_orderstatus", "o_totalprice"), "o_totalprice", "o_orderstatus", _SHARES)
+    return out.select("o_orderstatus", "n", *[r6(F.col(c), c, 4) for c in ("mean", "std", *[f"p{round(q * 100)}" for q in _SHARES])])
+
+
+@query("a16_suffix_max", f"WITH {lenses.TREE} SELECT node, max(mass) OVER (PARTITION BY tree ORDER BY snap ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS suffix_max FROM nodes")
+def _(spark, d):
+    return stats.suffix_max(lenses.tree(spark, d), "mass", "tree", "snap").select("node", "suffix_max")
+
+
+@query("a22_power_law", f"WITH h AS (SELECT CAST({_L} AS INT) AS bin, count(*) AS count FROM orders GROUP BY 1) SELECT round(regr_slope(log10(count), bin), 6) AS slope, round(regr_intercept(log10(count), bin), 6) AS intercept FROM h WHERE bin BETWEEN 0 AND 29")
+def _(spark, d):
+    h = Q["a02_histogram_log"](spark, d).where(F.col("bin").between(0, 29))
+    return h.agg(r6(F.regr_slope(F.log10("count"), F.col("bin").cast("double")), "slope"), r6(F.regr_intercept(F.log10("count"), F.col("bin").cast("double")), "intercept"))
+
+
+@query("p02_lagrangian", f"WITH {lenses.LATTICE} SELECT pid, lx, ly, lz, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM lattice")
+def _(spark, d):
+    t, _n = lenses.lattice(spark, d)
+    return t.select("pid", "lx", "ly", "lz", *[r6(F.col(a), a) for a in "xyz"])
+
+
+@query("p06_validate_ids", "SELECT count(*) AS n, min(event_id) AS low, max(event_id) AS high, count(DISTINCT event_id) = count(*) AS is_unique FROM events")
+def _(spark, d):
+    return lenses.table(spark, d, "events").agg(F.count("*").alias("n"), F.min("event_id").alias("low"), F.max("event_id").alias("high"), (F.count_distinct("event_id") == F.count("*")).alias("is_unique"))
+
+
+_RHO = "3.0::DOUBLE * 70 * 70 * (0.3::DOUBLE * pow(1 + z, 3) + 0.7::DOUBLE) / (8 * pi() * 4.30091e-9::DOUBLE)"
+
+
+@query(
+    "p27_mass_radius",
+    f"WITH t AS (SELECT n_nationkey, n_nationkey / 10.0::DOUBLE AS z, 1e12::DOUBLE * (n_nationkey + 1) AS m FROM nation) SELECT n_nationkey, round(sqrt(0.3::DOUBLE * pow(1 + z, 3) + 0.7::DOUBLE), 6) AS hubble, round(cbrt(m / (4.0::DOUBLE / 3 * pi() * 200 * {_RHO})) * (1 + z), 6) AS r200c FROM t",
+)
+def _(spark, d):
+    t = lenses.table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") / 10.0).alias("z"), (1e12 * (F.col("n_nationkey") + 1)).alias("m"))
+    z = F.col("z")
+    return t.select("n_nationkey", r6(geo.hubble_frac(z, 0.3, 0.7), "hubble"), r6(geo.mass_to_radius(F.col("m"), geo.reference_density("200c", z, 70.0, 0.3, 0.7), 1 / (1 + z)), "r200c"))
+
+
+_TETRA = []
+for _path in density.PATHS:
+    _c, _walk = [0, 0, 0], ["000"]
+    for _axis in _path:
+        _c[_axis] = 1
+        _walk.append("".join(map(str, _c)))
+    _TETRA.append(_walk)
+_JOINS = " ".join(f"JOIN lattice p{a}{b}{c} ON p{a}{b}{c}.lx = (o.lx + {a}) % o.n AND p{a}{b}{c}.ly = (o.ly + {b}) % o.n AND p{a}{b}{c}.lz = (o.lz + {c}) % o.n" for a, b, c in density.CORNERS)
+
+
+def _edge(k: str, a: str) -> str:
+    diff = f"(p{k}.{a} - p000.{a})"
+    return f"(CASE WHEN {diff} > o.n / 2.0 THEN {diff} - o.n WHEN {diff} < -o.n / 2.0 THEN {diff} + o.n ELSE {diff} END)"
+
+
+def _volume(walk: list[str]) -> str:
+    u, v, w = ([_edge(k, a) for a in "xyz"] for k in walk[1:])
+    return f"abs({u[0]} * ({v[1]} * {w[2]} - {v[2]} * {w[1]}) - {u[1]} * ({v[0]} * {w[2]} - {v[2]} * {w[0]}) + {u[2]} * ({v[0]} * {w[1]} - {v[1]} * {w[0]})) / 6"
+
+
+_PARTS = " UNION ALL ".join(f"SELECT unnest([{', '.join(f'p{k}.pid' for k in walk)}]) AS pid, {_volume(walk)} AS v FROM lattice o {_JOINS}" for walk in _TETRA)
+
+
+@query("d07_tetra_vertex_density", f"WITH {lenses.LATTICE}, t AS ({_PARTS}) SELECT pid, count(*) AS n_tetra, round(sum(v) / 4, 5) AS volume FROM t GROUP BY pid")
+def _(spark, d):
+    t, n = lenses.lattice(spark, d)
+    return density.tetra_vertex(t, n, float(n)).select("pid", "n_tetra", r6(F.col("volume"), "volume", 5))
+
+
+def _crossing(a: str) -> str:
+    same = " AND ".join(f"o.l{b} = p.l{b}" for b in "xyz" if b != a)
+    diff = f"(p.{a} - o.{a})"
+    image = f"(CASE WHEN {diff} > o.n / 2.0 THEN {diff} - o.n WHEN {diff} < -o.n / 2.0 THEN {diff} + o.n ELSE {diff} END)"
+    h = f"(p.l{a} - o.l{a} + o.n) % o.n"
+    return f"SELECT DISTINCT unnest([o.pid, p.pid]) AS pid, '{a}' AS axis FROM lattice o JOIN lattice p ON {same} WHERE {h} BETWEEN 1 AND o.n // 4 - 1 AND {image} < 0"
+
+
+CLASSES = f"crossings AS ({' UNION ALL '.join(map(_crossing, 'xyz'))}), classes AS (SELECT l.pid, any_value(l.x) AS x, any_value(l.y) AS y, any_value(l.z) AS z, any_value(l.n) AS n, CAST(count(c.axis) AS INT) AS class FROM lattice l LEFT JOIN crossings c USING (pid) GROUP BY l.pid)"
+
+
+@query("m01_morphology", f"WITH {lenses.LATTICE}, {CLASSES} SELECT pid, class FROM classes")
+def _(spark, d):
+    t, n = lenses.lattice(spark, d)
+    return morphology.classify(t, n, float(n))
+
+
+@query("m03_fractions", f"WITH {lenses.LATTICE}, {CLASSES} SELECT class, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM classes) AS DOUBLE), 6) AS fraction FROM classes GROUP BY class")
+def _(spark, d):
+    return morphology.fractions(Q["m01_morphology"](spark, d)).select("class", "n", r6(F.col("fraction"), "fraction"))
+
+
+@query(
+    "m05_morphology_grid",
+    f"WITH {lenses.LATTICE}, {CLASSES}, g AS (SELECT CAST(floor(x * 4 / n) % 4 AS INT) AS ix, CAST(floor(y * 4 / n) % 4 AS INT) AS iy, CAST(floor(z * 4 / n) % 4 AS INT) AS iz, count(*) FILTER (class = 0) AS n0, count(*) FILTER (class = 1) AS n1, count(*) FILTER (class = 2) AS n2, count(*) FILTER (class = 3) AS n3 FROM classes GROUP BY 1, 2, 3) SELECT *, CASE greatest(n0, n1, n2, n3) WHEN n0 THEN 0 WHEN n1 THEN 1 WHEN n2 THEN 2 ELSE 3 END AS dominant FROM g",
+)
+def _(spark, d):
+    t, n = lenses.lattice(spark, d)
+    return morphology.deposit(morphology.classify(t, n, float(n)).join(t, "pid"), float(n), 4)
+
+
+@query("j03_overlaps", f"WITH {lenses.HALOS} SELECT a.hid AS i, b.hid AS j FROM halos a JOIN halos b ON a.snap = b.snap AND (a.r > b.r OR a.r = b.r AND a.hid < b.hid) WHERE pow((a.r + b.r) * 3, 2) >= pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)")
+def _(spark, d):
+    return halos.overlaps(lenses.halos(spark, d), 3.0, 8.0, "snap").select("i", "j")
+
+
+@query("j04_host_counts", f"WITH p AS ({S['j03_overlaps']}), b AS (SELECT i AS hid, 0 AS h, 1 AS s FROM p UNION ALL SELECT j, 1, 0 FROM p) SELECT hid, CAST(sum(h) AS BIGINT) AS n_hosts, CAST(sum(s) AS BIGINT) AS n_subs FROM b GROUP BY hid")
+def _(spark, d):
+    return halos.hosts(Q["j03_overlaps"](spark, d))
+
+
+def _image(a: str) -> str:
+    return f"(CASE WHEN t.{a} - c.{a} > 50 THEN t.{a} - c.{a} - 100 WHEN t.{a} - c.{a} < -50 THEN t.{a} - c.{a} + 100 ELSE t.{a} - c.{a} END)"
+
+
+_D = "sqrt(" + " + ".join(f"{_image(a)} * {_image(a)}" for a in "xyz") + ")"
+
+
+@query(
+    "j08_best_match",
+    f"""WITH {lenses.HALOS}, m AS (SELECT t.hid AS tid, c.hid, {_D} AS distance, {_D} + 0.3::DOUBLE * abs(log10(c.m / t.m)) AS score FROM halos t JOIN halos c ON c.snap = t.snap - 1 WHERE {_D} < 5 AND c.m > t.m * 0.05::DOUBLE)
+    SELECT tid, arg_min(hid, (score, hid)) AS hid, round(min(score), 6) AS score FROM m GROUP BY tid""",
+)
+def _(spark, d):
+    t = lenses.halos(spark, d)
+    targets = t.select(F.col("hid").alias("tid"), (F.col("snap") - 1).alias("snap"), "x", "y", "z", "m")
+    return halos.best_match(targets, t, HALO_BOX).select("tid", "hid", r6(F.col("score"), "score"))
+
+
+@query("s07_first_sub", "SELECT o_custkey AS grp, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY o_custkey) - count(*) AS BIGINT) AS first_sub FROM orders GROUP BY o_custkey")
+def _(spark, d):
+    return halos.first_sub(lenses.table(spark, d, "orders").select(F.col("o_custkey").alias("grp")))
+
+
+@query("s20_top_halos", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def _(spark, d):
+    return lenses.table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+
+
+@query("g06_main_branches", f"WITH RECURSIVE {lenses.TREE}, b AS (SELECT node AS root, node, main_prog, 0 AS step FROM nodes WHERE descendant IS NULL AND mass >= 150000 UNION ALL SELECT b.root, n.node, n.main_prog, step + 1 FROM b JOIN nodes n ON n.node = b.main_prog) SELECT root, node, step FROM b")
+def _(spark, d):
+    t = lenses.tree(spark, d)
+    depth = t.agg(F.max("snap")).first()[0] or 1
+    return trees.branches(t, t.where("descendant is null and mass >= 150000").select("node"), depth)
+
+
+_WALK = "SELECT *, x - lag(x) OVER (PARTITION BY tree ORDER BY snap) AS d FROM nodes"
+
+
+@query("w02_unwrap", f"WITH {lenses.TREE} SELECT node, round(x + {TREE_BOX} * sum(CASE WHEN d > {TREE_BOX / 2} THEN -1 WHEN d < -{TREE_BOX / 2} THEN 1 ELSE 0 END) OVER (PARTITION BY tree ORDER BY snap), 6) AS path FROM ({_WALK})")
+def _(spark, d):
+    return trees.unwrapped(lenses.tree(spark, d), TREE_BOX, "tree", "snap").select("node", r6(F.col("path"), "path"))
+
+
+@query("w04_branch_index", f"WITH {lenses.TREE} SELECT tree, count(*) AS length, min(snap) AS snap_min, max(snap) AS snap_max, max(mass) AS mass_max, arg_max(node, snap) AS root FROM nodes GROUP BY tree")
+def _(spark, d):
+    return trees.branch_index(lenses.tree(spark, d))
+
+
+@query("w05_mass_jumps", f"WITH {lenses.TREE}, b AS (SELECT *, lag(mass) OVER (PARTITION BY tree ORDER BY snap) AS before FROM nodes) SELECT tree, node, snap, mass, before FROM b WHERE abs(mass - before) > 0.5::DOUBLE * before")
+def _(spark, d):
+    return trees.jumps(lenses.tree(spark, d))
 
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def sql() -> dict:
-    return {}
+    return dict(S)
