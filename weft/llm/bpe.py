@@ -14,7 +14,9 @@ repeated rows and empty tables pass through; other columns are not read.
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
+import sys
 from functools import cache
 from itertools import chain
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import batch_of, pieces, table, texts
 
-CACHE, CHUNK_ROWS, DECODE_IDS = 800_000, 600_000, 400_000
+CACHE, CHUNK_ROWS, DECODE_IDS = 500_000, 300_000, 250_000
 SHORT = 4095  # pieces of up to so many bytes have their step's choice packed into one number
 
 _CONTRACT = """
@@ -54,30 +56,52 @@ def _codec(path: str, pattern: str):
     return Codec(path, pattern)
 
 
-class Codec:
-    """One worker's DuckDB connection with merge table and vocabulary, and its cache of encoded pieces."""
+@cache
+def _decoder(path: str):
+    return Decoder(path)
 
-    def __init__(self, path: str, pattern: str) -> None:
+
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def _trimmed(batches):
+    """Passes batches on; at the end hands freed memory back, as workers live on for other stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+class Worker:
+    """A worker's DuckDB connection."""
+
+    def __init__(self) -> None:
         import duckdb
-        import regex
 
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.find = regex.compile(pattern).findall
-        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.cache: dict[str, bytes] = {}
-        halves = [(a, b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None]
-        a, b, m = (pa.array(x, pa.int32()) for x in zip(*halves, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": "false"})
-        self._put("merges", {"a": a, "b": b, "m": m})
-        # A byte is kept as the character of its code, so that texts concatenate in SQL.
-        self._put("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "s": pa.array([t.decode("latin-1") for t in self.ranks])})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "180MB", "preserve_insertion_order": "false"})
 
     def _put(self, name: str, columns: dict) -> None:
         self.db.register("incoming", pa.table(columns))
         self.db.execute(f"create or replace table {name} as select * from incoming")
         self.db.unregister("incoming")
 
+
+class Codec(Worker):
+    """Merge table, and a cache of encoded pieces."""
+
+    def __init__(self, path: str, pattern: str) -> None:
+        import regex
+
+        super().__init__()
+        self.ranks = _ranks(path)
+        self.find = regex.compile(pattern).findall
+        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.cache: dict[str, bytes] = {}
+        halves = [(a, b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None]
+        self._put("merges", dict(zip("abm", (pa.array(x, pa.int32()) for x in zip(*halves, strict=True)), strict=True)))
+
     def learn(self, words) -> None:
         """Encodes pieces into the cache, as bytes of their ids (little-endian, 32 bits each)."""
         short: list[tuple[str, bytes]] = []
@@ -124,6 +148,15 @@ class Codec:
         offsets = np.cumsum([0, *map(len, ids)]) // 4
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
+
+class Decoder(Worker):
+    """Vocabulary; a byte is kept as the character of its code, so that texts concatenate in SQL."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        ranks = _ranks(path)
+        self._put("vocabulary", {"id": pa.array(ranks.values(), pa.int32()), "s": pa.array([t.decode("latin-1") for t in ranks])})
+
     def decode(self, ids: pa.ListArray) -> list[bytes]:
         """The bytes of each row's ids."""
         out, cuts = [b""] * len(ids), ids.offsets.to_numpy()
@@ -173,19 +206,19 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
     def run(batches):
         codec = _codec(path, pattern)
-        for batch in pieces(batches, "text", 4_000_000):
+        for batch in _trimmed(pieces(batches, "text", 2_500_000)):
             yield batch_of(_IDS, {"doc_id": batch.column("doc_id"), "ids": codec.encode(batch.column("text").to_pylist())})
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def digests(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Decodes the ids and returns digests of ids and decoded bytes."""
-    path, pattern = path or _vocabulary()[0], pattern or _vocabulary()[1]
+    path = path or _vocabulary()[0]
 
     def run(batches):
-        codec = _codec(path, pattern)
-        for batch in slices(batches):
+        codec = _decoder(path)
+        for batch in _trimmed(slices(batches)):
             ids = plain(batch)
             cuts, data = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
             yield batch_of(
@@ -201,13 +234,13 @@ def digests(encoded: DataFrame, path: str | None = None, pattern: str | None = N
     return encoded.select("doc_id", "ids").mapInArrow(run, DIGEST)
 
 
-def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and the decoded bytes."""
-    path, pattern = path or _vocabulary()[0], pattern or _vocabulary()[1]
+    path = path or _vocabulary()[0]
 
     def run(batches):
-        codec = _codec(path, pattern)
-        for batch in slices(batches):
+        codec = _decoder(path)
+        for batch in _trimmed(slices(batches)):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codec.decode(plain(batch)), pa.binary())], names=["doc_id", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
