@@ -14,9 +14,7 @@ repeated rows and empty tables pass through; other columns are not read.
 from __future__ import annotations
 
 import base64
-import ctypes
 import hashlib
-import sys
 from functools import cache
 from itertools import chain
 
@@ -25,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch_of, pieces, table, texts
+from .common import batch_of, pieces, table, texts, trim
 
 CACHE, CHUNK_ROWS, DECODE_IDS = 500_000, 300_000, 250_000
 SHORT = 4095  # pieces of up to so many bytes have their step's choice packed into one number
@@ -66,12 +64,12 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _trimmed(batches):
-    """Passes batches on; at the end hands freed memory back, as workers live on for other stages."""
+def _released(batches, *caches):
+    """Passes batches on; at the end drops what the worker keeps for the next task, where its memory is needed for other stages."""
     yield from batches
-    pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
+    for c in caches:
+        c.cache_clear()
+    trim()
 
 
 class Worker:
@@ -200,25 +198,26 @@ def _vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id and the ids of each whole text. ``path`` must be readable on every executor."""
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, release: bool = False) -> DataFrame:
+    """doc_id and the ids of each whole text. ``path`` must be readable on every executor. With ``release`` a worker
+    drops its tables and cache after each task: less memory between stages, more time."""
     path, pattern = path or _vocabulary()[0], pattern or _vocabulary()[1]
 
     def run(batches):
         codec = _codec(path, pattern)
-        for batch in _trimmed(pieces(batches, "text", 2_500_000)):
+        for batch in _released(pieces(batches, "text", 2_500_000), *[_codec] * release):
             yield batch_of(_IDS, {"doc_id": batch.column("doc_id"), "ids": codec.encode(batch.column("text").to_pylist())})
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
+def digests(encoded: DataFrame, path: str | None = None, release: bool = False) -> DataFrame:
     """Decodes the ids and returns digests of ids and decoded bytes."""
     path = path or _vocabulary()[0]
 
     def run(batches):
         codec = _decoder(path)
-        for batch in _trimmed(slices(batches)):
+        for batch in _released(slices(batches), *[_decoder] * release):
             ids = plain(batch)
             cuts, data = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
             yield batch_of(
@@ -234,13 +233,13 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, DIGEST)
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None, release: bool = False) -> DataFrame:
     """doc_id and the decoded bytes."""
     path = path or _vocabulary()[0]
 
     def run(batches):
         codec = _decoder(path)
-        for batch in _trimmed(slices(batches)):
+        for batch in _released(slices(batches), *[_decoder] * release):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codec.decode(plain(batch)), pa.binary())], names=["doc_id", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
