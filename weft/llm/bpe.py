@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import batch_of, pieces, table, texts, trim
 
-CACHE, CHUNK_ROWS, DECODE_IDS = 500_000, 300_000, 250_000
+CACHE, CHUNK_ROWS, DECODE_IDS = 900_000, 500_000, 250_000
 SHORT = 4095  # pieces of up to so many bytes have their step's choice packed into one number
 
 _CONTRACT = """
@@ -78,7 +78,7 @@ class Worker:
     def __init__(self) -> None:
         import duckdb
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "180MB", "preserve_insertion_order": "false"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": "false"})
 
     def _put(self, name: str, columns: dict) -> None:
         self.db.register("incoming", pa.table(columns))
