@@ -96,3 +96,9 @@ def cubic_kernel_2d(q: Column, h: float) -> Column:
 def zmajor_to_xmajor(pid: Column, n: int) -> Column:
     x, y, z = F.floor(pid / (n * n)), F.floor(pid / n) % n, pid % n
     return (x + y * n + z * n * n).cast("long")
+
+
+def snapshot_number(name: Column) -> Column:
+    """The snapshot in names such as snapshot_034.1.hdf5 or snapdir_034/..., -1 without one."""
+    found = F.regexp_extract(name, r"snap(?:shot|dir)_([0-9]+)", 1)
+    return F.when(found == "", -1).otherwise(found.cast("int"))

@@ -9,11 +9,12 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.geometry import cubic_kernel_2d, min_image, tetra_volume
+from weft.functions.geometry import cubic_kernel_2d, cubic_kernel_3d, min_image, tetra_volume
 
 CORNERS = tuple(itertools.product((0, 1), repeat=3))
 #: Six tetrahedra fill a cell: paths from corner (0,0,0) to (1,1,1) along the axes in each order.
 PATHS = tuple(itertools.permutations(range(3)))
+WALKS = tuple(tuple(CORNERS.index(tuple(int(path.index(a) < step) for a in range(3))) for step in range(4)) for path in PATHS)
 
 
 def cic(df: DataFrame, box: float, n: int, mass: Column, axes: str = "xyz") -> DataFrame:
@@ -43,20 +44,20 @@ def project(grid: DataFrame, keep: tuple[str, str], width: float, low: int | Non
     return grid.groupBy(*keep).agg((F.sum("density") * width).alias("surface"))
 
 
+def corner_cells(particles: DataFrame, n: int) -> DataFrame:
+    """A row for each lattice cell with its corner particles p0..p7, in one shuffle."""
+    to = [F.struct(*[F.pmod(F.col(f"l{a}") - d, F.lit(n)).cast("int").alias(f"c{a}") for a, d in zip("xyz", corner, strict=True)], F.lit(k).alias("k")) for k, corner in enumerate(CORNERS)]
+    rows = particles.select("pid", "x", "y", "z", F.explode(F.array(*to)).alias("t")).select("pid", "x", "y", "z", "t.*")
+    return rows.groupBy("cx", "cy", "cz").agg(*[F.max(F.when(F.col("k") == k, F.struct("pid", "x", "y", "z"))).alias(f"p{k}") for k in range(8)])
+
+
 def tetra_vertex(particles: DataFrame, n: int, box: float) -> DataFrame:
     """Density at lattice particles from the volumes of their tetrahedra: 24 mass parts over a quarter of each volume.
 
     Corners are gathered by one shuffle: each particle goes to the eight cells that it is a corner of."""
-    to = [F.struct(*[F.pmod(F.col(f"l{a}") - d, F.lit(n)).cast("int").alias(f"c{a}") for a, d in zip("xyz", corner, strict=True)], F.lit(k).alias("k")) for k, corner in enumerate(CORNERS)]
-    rows = particles.select("pid", "x", "y", "z", F.explode(F.array(*to)).alias("t")).select("pid", "x", "y", "z", "t.*")
-    cells = rows.groupBy("cx", "cy", "cz").agg(*[F.max(F.when(F.col("k") == k, F.struct("pid", "x", "y", "z"))).alias(f"p{k}") for k in range(8)])
-    index = {c: k for k, c in enumerate(CORNERS)}
+    cells = corner_cells(particles, n)
     tetras = []
-    for path in PATHS:
-        corner, walk = [0, 0, 0], [0]
-        for axis in path:
-            corner[axis] = 1
-            walk.append(index[tuple(corner)])
+    for walk in WALKS:
         points = [[F.col(f"p{walk[0]}.{a}") + min_image(F.col(f"p{k}.{a}") - F.col(f"p{walk[0]}.{a}"), box) for a in "xyz"] for k in walk]
         tetras.append(F.struct(F.array(*[F.col(f"p{k}.pid") for k in walk]).alias("pids"), tetra_volume(*points).alias("v")))
     per = cells.select(F.explode(F.array(*tetras)).alias("t")).select(F.explode("t.pids").alias("pid"), F.col("t.v").alias("v"))
@@ -83,3 +84,77 @@ def gradient(grid: DataFrame, n: int, width: float, value: str = "density") -> D
             sent.append(F.struct(*at, *[(F.col(value) * (sign if a == axis else 0.0) / (2 * width)).alias(f"g{a}") for a in "xyz"]))
     rows = grid.select(F.explode(F.array(*sent)).alias("s")).select("s.*")
     return rows.groupBy("ix", "iy", "iz").agg(*[F.sum(f"g{a}").alias(f"g{a}") for a in "xyz"])
+
+
+def samples(count: int) -> list[tuple[float, ...]]:
+    """Weights of the four corners at ``count`` even points of a tetrahedron, in steps of 1/1024.
+
+    An additive recurrence fills the cube; points outside the tetrahedron at the origin fold into it."""
+    base, out = 1.2207440846057596, []
+    for k in range(count):
+        s, t, u = (round((0.5 + (k + 1) * base**-i) % 1 * 1024) / 1024 for i in (1, 2, 3))
+        if s + t > 1:
+            s, t = 1 - s, 1 - t
+        if s + t + u > 1:
+            s, t, u = (s, 1 - u, 1 - s - t) if t + u > 1 else (1 - t - u, t, s + t + u - 1)
+        out.append((1 - s - t - u, s, t, u))
+    return out
+
+
+def tetra_density(particles: DataFrame, n: int, box: float, cells: int, count: int, mass: float = 1.0) -> DataFrame:
+    """Cells met by sample points of the lattice's tetrahedra: their number of points and density; each tetrahedron spreads a sixth of a mass."""
+    tetras = []
+    for o, *rest in WALKS:
+        sides = [F.struct(*[min_image(F.col(f"p{k}.{a}") - F.col(f"p{o}.{a}"), box).alias(a) for a in "xyz"]).alias(f"d{j}") for j, k in enumerate(rest, 1)]
+        tetras.append(F.struct(*[F.col(f"p{o}.{a}").alias(a) for a in "xyz"], *sides))
+    t = corner_cells(particles, n).select(F.explode(F.array(*tetras)).alias("t")).select("t.*")
+    pool = F.array(*[F.struct(*[F.lit(w).alias(f"w{i}") for i, w in enumerate(s)]) for s in samples(count)])
+
+    def place(s: Column) -> Column:
+        at = {a: F.col(a) + s["w1"] * F.col(f"d1.{a}") + s["w2"] * F.col(f"d2.{a}") + s["w3"] * F.col(f"d3.{a}") for a in "xyz"}
+        return F.struct(*[F.pmod(F.floor(v * cells / box), F.lit(cells)).cast("int").alias(f"i{a}") for a, v in at.items()])
+
+    points = t.select(F.explode(F.transform(pool, place)).alias("c")).select("c.*")
+    return points.groupBy("ix", "iy", "iz").agg(F.count("*").alias("n")).withColumn("density", F.col("n") * (mass / (6 * count) / (box / cells) ** 3))
+
+
+def sample(particles: DataFrame, grid: DataFrame, box: float, n: int, shift: float = 0.0) -> DataFrame:
+    """pid and the trilinear density at each particle; nodes lie at (index + shift) x width, missing cells are zeros."""
+    w = box / n
+    at = {a: F.col(a) / w - shift for a in "xyz"}
+    corners = []
+    for corner in CORNERS:
+        weight = F.lit(1.0)
+        for a, c in zip("xyz", corner, strict=True):
+            part = at[a] - F.floor(at[a])
+            weight = weight * (part if c else 1.0 - part)
+        corners.append(F.struct(*[F.pmod(F.floor(at[a]) + c, F.lit(n)).cast("int").alias(f"i{a}") for a, c in zip("xyz", corner, strict=True)], weight.alias("w")))
+    rows = particles.select("pid", F.explode(F.array(*corners)).alias("c")).select("pid", "c.*")
+    joined = rows.join(grid.select("ix", "iy", "iz", "density"), ["ix", "iy", "iz"], "left")
+    return joined.groupBy("pid").agg(F.sum(F.col("w") * F.coalesce("density", F.lit(0.0))).alias("density"))
+
+
+def sph_3d(df: DataFrame, box: float, n: int, h: float) -> DataFrame:
+    """Kernel-smoothed density on n cubed cells, scattered as in sph_2d."""
+    w = box / n
+    reach = int(2 * h / w) + 1
+    rows = df.select("x", "y", "z", "mass")
+    d2 = F.lit(0.0)
+    for a in "xyz":
+        first = F.floor(F.col(a) / w)
+        rows = rows.withColumn(f"i{a}", F.explode(F.sequence(first - reach, first + reach)))
+        off = (F.col(f"i{a}") + 0.5) * w - F.col(a)
+        rows = rows.where(F.abs(off) < 2 * h)  # before the next axis multiplies rows
+        d2 = d2 + off * off
+    rows = rows.withColumn("q", F.sqrt(d2) / h).where("q < 2")
+    return rows.groupBy(*[F.pmod(f"i{a}", F.lit(n)).cast("int").alias(f"i{a}") for a in "xyz"]).agg(F.sum(F.col("mass") * cubic_kernel_3d(F.col("q"), h)).alias("density"))
+
+
+def divergence(grid: DataFrame, n: int, width: float) -> DataFrame:
+    """Second-order periodic divergence of the sparse vector grid (vx, vy, vz)."""
+    sent = []
+    for axis in "xyz":
+        for step, sign in ((1, -1.0), (-1, 1.0)):
+            at = [F.pmod(F.col(f"i{a}") + (step if a == axis else 0), F.lit(n)).cast("int").alias(f"i{a}") for a in "xyz"]
+            sent.append(F.struct(*at, (F.col(f"v{axis}") * (sign / (2 * width))).alias("d")))
+    return grid.select(F.explode(F.array(*sent)).alias("s")).select("s.*").groupBy("ix", "iy", "iz").agg(F.sum("d").alias("divergence"))

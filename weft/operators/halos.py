@@ -55,3 +55,14 @@ def first_sub(subhalos: DataFrame) -> DataFrame:
     offset = parts.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return per.withColumn("inside", inside).join(offset, "part").select("grp", "n", (F.col("offset") + F.col("inside")).alias("first_sub"))
+
+
+def floor_lookup(points: DataFrame, ranges: DataFrame, block: int = 1024) -> DataFrame:
+    """The range (grp, start, length) that holds each idx; ranges are disjoint.
+
+    A range goes to every block of indices that it meets, so the join is on the block and a point meets at most
+    the ranges of one block."""
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("length") - 1) / block)
+    spread = ranges.where("length > 0").withColumn("block", F.explode(F.sequence(first, last)))
+    rows = points.withColumn("block", F.floor(F.col("idx") / block)).join(spread, "block")
+    return rows.where("idx >= start and idx < start + length").select("idx", "grp", "start")

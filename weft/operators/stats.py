@@ -38,14 +38,14 @@ def pdf(hist: DataFrame, width: Column, n: int) -> DataFrame:
     return inside.withColumn("pdf", F.try_divide(F.col("count").cast("double"), F.sum("count").over(Window.partitionBy()) * width))
 
 
-def jackknife(df: DataFrame, bin_: Column, subbox: Column, n_bins: int, n_boxes: int) -> DataFrame:
+def jackknife(df: DataFrame, bin_: Column, subbox: Column, n_bins: int, n_boxes: int, *by: str) -> DataFrame:
     """Mean and error of the leave-one-out means of bin counts, in closed form: mean and sample deviation / sqrt(S).
 
     Sums of counts and of their squares suffice, so boxes without rows count as zeros without a dense table."""
-    per = df.select(bin_.alias("bin"), subbox.alias("box")).where(F.col("bin").between(0, n_bins - 1)).groupBy("bin", "box").agg(F.count("*").alias("c"))
+    per = df.select(*by, bin_.alias("bin"), subbox.alias("box")).where(F.col("bin").between(0, n_bins - 1)).groupBy(*by, "bin", "box").agg(F.count("*").alias("c"))
     s = F.lit(float(n_boxes))
     total, squares = F.sum("c").cast("double"), F.sum(F.col("c") * F.col("c")).cast("double")
-    return per.groupBy("bin").agg((total / s).alias("mean"), F.sqrt((squares - total * total / s) / (s - 1) / s).alias("error"))
+    return per.groupBy(*by, "bin").agg((total / s).alias("mean"), F.sqrt((squares - total * total / s) / (s - 1) / s).alias("error"))
 
 
 def percentiles(df: DataFrame, value: str, by: str, shares: tuple[float, ...]) -> DataFrame:
@@ -57,3 +57,9 @@ def percentiles(df: DataFrame, value: str, by: str, shares: tuple[float, ...]) -
 def suffix_max(df: DataFrame, value: str, by: str, *order: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
     return df.withColumn("suffix_max", F.max(value).over(w))
+
+
+def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The product of sparse matrices (i, k, v) and (k, j, v)."""
+    rows = a.join(b.withColumnRenamed("v", "w"), "k")
+    return rows.groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))

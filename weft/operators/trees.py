@@ -39,3 +39,26 @@ def jumps(df: DataFrame, ratio: float = 0.5) -> DataFrame:
     """Steps at which a branch's mass changes by more than the ratio."""
     w = Window.partitionBy("tree").orderBy("snap")
     return df.withColumn("before", F.lag("mass").over(w)).where(F.abs(F.col("mass") - F.col("before")) > ratio * F.col("before")).select("tree", "node", "snap", "mass", "before")
+
+
+def progenitors(nodes: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(root, node, depth) of everything that merges into a root; rows missing from ``nodes`` prune what lies above them.
+
+    Every node holds a pointer to the descendant 2**k steps on; a chain of k's bits reaches any depth, so the joins
+    grow with the logarithm of the depth. Nodes found so far are joined to all those that point at them."""
+    parents = nodes.select("node")
+    up = nodes.where("descendant is not null").join(parents.withColumnRenamed("node", "descendant"), "descendant").select(F.col("node").alias("at"), F.col("descendant").alias("to"))
+    found, span = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")), 1
+    while span <= depth:
+        more = found.join(up, F.col("node") == F.col("to")).select("root", F.col("at").alias("node"), (F.col("depth") + span).alias("depth"))
+        found = found.unionByName(more)
+        further = up.select(F.col("at").alias("a"), F.col("to").alias("b"))
+        up = further.join(up, F.col("b") == F.col("at")).select(F.col("a").alias("at"), "to")
+        span *= 2
+    return found
+
+
+def nearest(df: DataFrame, snap: int) -> DataFrame:
+    """Each tree's node nearest to a snapshot, the earlier of two."""
+    best = F.min(F.struct(F.abs(F.col("snap") - snap).alias("off"), "snap", "node")).alias("b")
+    return df.groupBy("tree").agg(best).select("tree", "b.node", "b.snap")

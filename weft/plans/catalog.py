@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import geometry as geo
-from weft.operators import density, halos, morphology, stats, trees
+from weft.operators import density, fourier, halos, morphology, stats, trees
 from weft.sources import lenses
 from weft.sources.lenses import BOX, HALO_BOX, TREE_BOX
 
@@ -315,6 +315,214 @@ def _(spark, d):
     return trees.jumps(lenses.tree(spark, d))
 
 
+_K = 4
+_POOL = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for _w, a, b, c in density.samples(_K))
+_SIDES = " UNION ALL ".join(
+    "SELECT o.n, p000.x, p000.y, p000.z, " + ", ".join(f"{_edge(k, a)} AS d{j}{a}" for j, k in enumerate(walk[1:], 1) for a in "xyz") + f" FROM lattice o {_JOINS}" for walk in _TETRA
+)
+_AT = ", ".join(f"CAST((floor(({a} + w1 * d1{a} + w2 * d2{a} + w3 * d3{a}) * 4 / n) + 4) % 4 AS INT) AS i{a}" for a in "xyz")
+
+
+def sheet(spark: SparkSession, d: str) -> DataFrame:
+    t, n = lenses.lattice(spark, d)
+    return density.tetra_density(t, n, float(n), 4, _K)
+
+
+SHEET = f"sides AS ({_SIDES}), sheet AS (SELECT {_AT}, count(*) AS n, count(*) * ({1 / (6 * _K)}::DOUBLE / pow(any_value(n) / 4.0::DOUBLE, 3)) AS density FROM sides, (VALUES {_POOL}) pool(w1, w2, w3) GROUP BY 1, 2, 3)"
+
+
+@query("d01_tetra_density", f"WITH {lenses.LATTICE}, {SHEET} SELECT ix, iy, iz, n, round(density, 6) AS density FROM sheet")
+def _(spark, d):
+    return sheet(spark, d).select("ix", "iy", "iz", "n", r6(F.col("density"), "density"))
+
+
+@query("d04_tetra_slice", f"WITH {lenses.LATTICE}, {SHEET} SELECT ix, iy, round(sum(density) * (SELECT any_value(n) / 4.0::DOUBLE FROM lattice), 5) AS surface FROM sheet WHERE iz >= 1 AND iz < 3 GROUP BY ix, iy")
+def _(spark, d):
+    width = lenses.lattice(spark, d)[1] / 4.0
+    return density.project(sheet(spark, d), ("ix", "iy"), width, 1, 3).select("ix", "iy", r6(F.col("surface"), "surface", 5))
+
+
+_LCIC = f"""lcic AS (SELECT CAST((floor(x * 8 / n) + c.a) % 8 AS INT) AS ix, CAST((floor(y * 8 / n) + c.b) % 8 AS INT) AS iy, CAST((floor(z * 8 / n) + c.d) % 8 AS INT) AS iz,
+  sum((CASE c.a WHEN 1 THEN x * 8 / n - floor(x * 8 / n) ELSE 1 - x * 8 / n + floor(x * 8 / n) END) * (CASE c.b WHEN 1 THEN y * 8 / n - floor(y * 8 / n) ELSE 1 - y * 8 / n + floor(y * 8 / n) END)
+    * (CASE c.d WHEN 1 THEN z * 8 / n - floor(z * 8 / n) ELSE 1 - z * 8 / n + floor(z * 8 / n) END)) / pow(any_value(n) / 8.0::DOUBLE, 3) AS density
+  FROM lattice, (VALUES {_CORNERS}) c(a, b, d) GROUP BY 1, 2, 3)"""
+
+
+def _sampled(shift: str) -> str:
+    g = {a: f"({a} * 8 / n - {shift})" for a in "xyz"}
+    i = {a: f"CAST((floor({g[a]}) + c.{c} + 8) % 8 AS INT)" for a, c in zip("xyz", "abd", strict=True)}
+    weight = " * ".join(f"(CASE c.{c} WHEN 1 THEN {g[a]} - floor({g[a]}) ELSE 1 - {g[a]} + floor({g[a]}) END)" for a, c in zip("xyz", "abd", strict=True))
+    return f"WITH {lenses.LATTICE}, {_LCIC}, parts AS (SELECT pid, {', '.join(f'{i[a]} AS i{a}' for a in 'xyz')}, {weight} AS w FROM lattice, (VALUES {_CORNERS}) c(a, b, d)) SELECT pid, round(sum(w * coalesce(density, 0)), 6) AS density FROM parts LEFT JOIN lcic USING (ix, iy, iz) GROUP BY pid"
+
+
+def sampled(spark: SparkSession, d: str, shift: float) -> DataFrame:
+    t, n = lenses.lattice(spark, d)
+    cells = density.cic(t, float(n), 8, F.lit(1.0))
+    return density.sample(t, cells, float(n), 8, shift).select("pid", r6(F.col("density"), "density"))
+
+
+@query("m04_sample_corner", _sampled("0"))
+def _(spark, d):
+    return sampled(spark, d, 0.0)
+
+
+@query("d08_sample_centre", _sampled("0.5::DOUBLE"))
+def _(spark, d):
+    return sampled(spark, d, 0.5)
+
+
+_Q3 = " + ".join(f"pow((floor({a} / {W}) + {a}s.d + 0.5::DOUBLE) * {W} - {a}, 2)" for a in "xyz")
+
+
+@query(
+    "d11_sph_3d",
+    f"""WITH {lenses.PARTICLES}, s AS (SELECT mass, floor(x / {W}) + xs.d AS i, floor(y / {W}) + ys.d AS j, floor(z / {W}) + zs.d AS k, sqrt({_Q3}) / {_H} AS q
+      FROM particles, range(-{_R}, {_R + 1}) xs(d), range(-{_R}, {_R + 1}) ys(d), range(-{_R}, {_R + 1}) zs(d))
+    SELECT CAST((i + {N}) % {N} AS INT) AS ix, CAST((j + {N}) % {N} AS INT) AS iy, CAST((k + {N}) % {N} AS INT) AS iz,
+      round(sum(mass * (0.25::DOUBLE * pow(greatest(2 - q, 0), 3) - pow(greatest(1 - q, 0), 3)) / (pi() * {_H**3})), 5) AS density FROM s WHERE q < 2 GROUP BY 1, 2, 3""",
+)
+def _(spark, d):
+    return density.sph_3d(lenses.particles(spark, d), BOX, N, _H).select("ix", "iy", "iz", r6(F.col("density"), "density", 5))
+
+
+_DIV = " UNION ALL ".join(
+    f"SELECT {', '.join(f'CAST((i{a} + {step if a == axis else 0} + {N}) % {N} AS INT) AS i{a}' for a in 'xyz')}, v{axis} * ({sign}) / {2 * W} AS d FROM g" for axis in "xyz" for step, sign in ((1, -1), (-1, 1))
+)
+
+
+@query(
+    "d20_divergence",
+    f"WITH {lenses.PARTICLES}, g AS (SELECT CAST(floor(x * {N} / {BOX}) AS INT) AS ix, CAST(floor(y * {N} / {BOX}) AS INT) AS iy, CAST(floor(z * {N} / {BOX}) AS INT) AS iz, avg(v) AS vx, avg(mass) AS vy, avg(x) AS vz FROM particles GROUP BY 1, 2, 3), s AS ({_DIV}) SELECT ix, iy, iz, round(sum(d), 5) + 0 AS divergence FROM s GROUP BY ix, iy, iz",
+)
+def _(spark, d):
+    g = density.ngp(lenses.particles(spark, d), BOX, N, F.avg("v").alias("vx"), F.avg("mass").alias("vy"), F.avg("x").alias("vz"))
+    return density.divergence(g, N, W).select("ix", "iy", "iz", (F.round("divergence", 5) + 0).alias("divergence"))
+
+
+def _dft(src: str, dst: str, axis: str, sign: int) -> str:
+    others = ", ".join(f"i{a}" for a in "xyz" if a != axis)
+    return f"""{dst} AS (SELECT {others}, i{axis}, sum(re * cos(t) - im * sin(t)) AS re, sum(re * sin(t) + im * cos(t)) AS im
+  FROM (SELECT {others}, k.k AS i{axis}, re, im, {sign * 2}::DOUBLE * pi() * ((s.i{axis} * k.k) % {N}) / {N} AS t FROM {src} s, range({N}) k(k)) GROUP BY ALL)"""
+
+
+_MODE2 = " + ".join(f"pow(CASE WHEN i{a} < {N // 2} THEN i{a} ELSE i{a} - {N} END, 2)" for a in "xyz")
+_FORTH = f"f0 AS (SELECT ix, iy, iz, density AS re, 0::DOUBLE AS im FROM cic), {_dft('f0', 'f1', 'x', -1)}, {_dft('f1', 'f2', 'y', -1)}, {_dft('f2', 'f3', 'z', -1)}"
+
+
+@query(
+    "f04_power_spectrum",
+    f"""WITH {lenses.PARTICLES}, {CIC}, {_FORTH}, m AS (SELECT sqrt({_MODE2}) AS m, (re * re + im * im) / pow((SELECT sum(mass) / {BOX**3} FROM particles), 2) * {BOX**3} / {float(N) ** 6} AS p FROM f3 WHERE ix + iy + iz > 0)
+    SELECT CAST(floor(m) AS INT) AS bin, count(*) AS n_modes, round(avg(m) * 2 * pi() / {BOX}, 6) AS k, round(avg(p), 4) AS power FROM m WHERE m < {N // 2} GROUP BY 1""",
+)
+def _(spark, d):
+    mean = lenses.particles(spark, d).agg((F.sum("mass") / BOX**3).alias("mean"))
+    od = grid(spark, d).join(F.broadcast(mean)).select("ix", "iy", "iz", (F.col("density") / F.col("mean")).alias("od"))  # one row
+    spectrum = fourier.power_spectrum(od, N, BOX)  # a constant shift changes only the mode at zero, alone in bin 0
+    return spectrum.where("bin > 0").select("bin", "n_modes", r6(F.col("k"), "k"), r6(F.col("power"), "power", 4))
+
+
+_RADIUS = 6.0
+
+
+@query(
+    "f03_smooth_fourier",
+    f"WITH {lenses.PARTICLES}, {CIC}, {_FORTH}, w AS (SELECT ix, iy, iz, re * g AS re, im * g AS im FROM (SELECT *, exp(-({_MODE2}) * pow(2 * pi() / {BOX}, 2) * {_RADIUS**2 / 2}) AS g FROM f3)), {_dft('w', 'b1', 'x', 1)}, {_dft('b1', 'b2', 'y', 1)}, {_dft('b2', 'b3', 'z', 1)} SELECT CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, CAST(iz AS INT) AS iz, round(re / {N**3}, 5) AS density FROM b3",
+)
+def _(spark, d):
+    return fourier.smooth(grid(spark, d), N, BOX, _RADIUS).select("ix", "iy", "iz", r6(F.col("density"), "density", 5))
+
+
+_SIGMA = 0.8
+_WS = fourier.weights(_SIGMA)
+_WROWS = ", ".join(f"({j - len(_WS) // 2}, {w!r}::DOUBLE)" for j, w in enumerate(_WS))
+
+
+def _blur(src: str, dst: str, axis: str) -> str:
+    others = ", ".join(f"i{a}" for a in "xyz" if a != axis)
+    images = f"(SELECT {others}, density, unnest([i{axis}, -i{axis} - 1, {2 * N - 1} - i{axis}]) AS image FROM {src})"
+    return f"{dst} AS (SELECT {others}, CAST(image + w.d AS INT) AS i{axis}, sum(density * w.w) AS density FROM {images}, (VALUES {_WROWS}) w(d, w) WHERE image + w.d BETWEEN 0 AND {N - 1} GROUP BY ALL)"
+
+
+_BLURS = f"{_blur('cic', 's1', 'x')}, {_blur('s1', 's2', 'y')}, {_blur('s2', 's3', 'z')}"
+
+
+@query("f06_gaussian_smooth", f"WITH {lenses.PARTICLES}, {CIC}, {_BLURS} SELECT ix, iy, iz, round(density, 5) AS density FROM s3")
+def _(spark, d):
+    return fourier.blur(grid(spark, d), N, _SIGMA).select("ix", "iy", "iz", r6(F.col("density"), "density", 5))
+
+
+@query(
+    "a18_smoothing_quality",
+    f"WITH {lenses.PARTICLES}, {CIC}, {_BLURS}, p AS (SELECT cic.density AS a, s3.density AS b FROM cic JOIN s3 USING (ix, iy, iz)) SELECT round(corr(a, b), 6) AS correlation, round(sum(b) / sum(a), 6) AS mass_ratio, round(sqrt(avg(pow(b - a, 2))), 6) AS rmse, round(avg(abs(b - a) / a) FILTER (a > 0), 4) AS relative_change FROM p",
+)
+def _(spark, d):
+    before = grid(spark, d)
+    pairs = before.join(fourier.blur(before, N, _SIGMA, "density").withColumnRenamed("density", "after"), ["ix", "iy", "iz"])
+    return fourier.quality(pairs, "density", "after").select(*[r6(F.col(c), c) for c in ("correlation", "mass_ratio", "rmse")], r6(F.col("relative_change"), "relative_change", 4))
+
+
+@query("p37_box_selection", f"WITH {lenses.PARTICLES} SELECT round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, mass FROM particles WHERE {' AND '.join(f'(abs({a} - 3) <= 8 OR abs({a} - 3) >= {BOX - 8})' for a in 'xyz')}")
+def _(spark, d):
+    t = lenses.particles(spark, d)
+    near = [F.abs(geo.min_image(F.col(a) - 3.0, BOX)) <= 8.0 for a in "xyz"]
+    return t.where(near[0] & near[1] & near[2]).select(*[r6(F.col(a), a, 3) for a in "xyz"], "mass")
+
+
+@query("x02_histogram_2d", f"WITH {lenses.PARTICLES} SELECT CAST(least(floor(x * 20 / {BOX}), 19) AS INT) AS i, CAST(least(floor(y * 20 / {BOX}), 19) AS INT) AS j, count(*) AS count FROM particles WHERE z >= 16 AND z < 48 GROUP BY 1, 2")
+def _(spark, d):
+    t = lenses.particles(spark, d).where("z >= 16 and z < 48")
+    return t.groupBy(geo.cell(F.col("x"), BOX, 20).alias("i"), geo.cell(F.col("y"), BOX, 20).alias("j")).agg(F.count("*").alias("count"))
+
+
+@query("j06_floor_lookup", f"WITH s AS ({S['s07_first_sub']}) SELECT e.event_id AS idx, s.grp, s.first_sub AS start FROM events e ASOF JOIN s ON e.event_id >= s.first_sub WHERE e.event_id < (SELECT count(*) FROM orders)")
+def _(spark, d):
+    starts = Q["s07_first_sub"](spark, d)
+    return halos.floor_lookup(lenses.table(spark, d, "events").select(F.col("event_id").alias("idx")), starts.select("grp", F.col("first_sub").alias("start"), F.col("n").alias("length")))
+
+
+_FAMILY = "SELECT event_id AS node, CASE WHEN event_id > 0 THEN (event_id - 1) // 3 END AS descendant FROM events WHERE value >= 5"
+
+
+@query("g05_progenitors", f"WITH RECURSIVE n AS ({_FAMILY}), p AS (SELECT node AS root, node, 0 AS depth FROM n WHERE node BETWEEN 1 AND 9 UNION ALL SELECT p.root, n.node, p.depth + 1 FROM p JOIN n ON n.descendant = p.node) SELECT root, node, depth FROM p")
+def _(spark, d):
+    e = lenses.table(spark, d, "events")
+    nodes = e.where("value >= 5").select(F.col("event_id").alias("node"), F.when(F.col("event_id") > 0, F.floor((F.col("event_id") - 1) / 3)).alias("descendant"))
+    return trees.progenitors(nodes, nodes.where("node between 1 and 9").select("node"), 24)
+
+
+@query("g11_halo_at_snapshot", f"WITH {lenses.TREE} SELECT tree, arg_min(node, (abs(snap - 4), snap)) AS node, arg_min(snap, (abs(snap - 4), snap)) AS snap FROM nodes GROUP BY tree")
+def _(spark, d):
+    return trees.nearest(lenses.tree(spark, d), 4)
+
+
+_BOXES = 8
+
+
+@query(
+    "a07_conditional_jackknife",
+    f"""WITH r AS (SELECT unnest(['all', o_orderstatus]) AS cls, CAST(floor((o_totalprice - 1000::DOUBLE) * 20 / 400000) AS INT) AS bin, o_orderkey % {_BOXES} AS box FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 401000),
+    c AS (SELECT cls, bin, box, count(*) AS c FROM r GROUP BY ALL) SELECT cls, bin, round(sum(c) / 8.0::DOUBLE, 6) AS mean, round(sqrt((sum(c * c) - CAST(sum(c) AS DOUBLE) * sum(c) / 8) / 7 / 8), 6) AS error FROM c GROUP BY cls, bin""",
+)
+def _(spark, d):
+    t = lenses.table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.explode(F.array(F.lit("all"), F.col("o_orderstatus"))).alias("cls"))
+    out = stats.jackknife(t, stats.linear_bin(F.col("o_totalprice"), 1000.0, 401000.0, 20), F.col("o_orderkey") % _BOXES, 20, _BOXES, "cls")
+    return out.select("cls", "bin", r6(F.col("mean"), "mean"), r6(F.col("error"), "error"))
+
+
+@query("r03_matmul", "WITH e AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding) AS v FROM embeddings) SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(sum(a.v::DOUBLE * b.v), 4) AS v FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2")
+def _(spark, d):
+    e = lenses.table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    rows = e.select("vec_id", (F.col("i") + 1).alias("i"), F.col("v").cast("double").alias("v"))
+    return stats.matmul(rows.select(F.col("i"), F.col("vec_id").alias("k"), "v"), rows.select(F.col("vec_id").alias("k"), F.col("i").alias("j"), "v")).select("i", "j", r6(F.col("v"), "v", 4))
+
+
+@query("s25_snapshot_number", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 2 THEN -1 ELSE n_nationkey END AS snap FROM nation")
+def _(spark, d):
+    k = F.col("n_nationkey")
+    name = F.when(k % 3 == 0, F.format_string("snapshot_%03d.hdf5", k)).when(k % 3 == 1, F.format_string("snapdir_%03d/snapshot_%03d.1.hdf5", k, k)).otherwise("ics.hdf5")
+    return lenses.table(spark, d, "nation").select("n_nationkey", geo.snapshot_number(name).alias("snap"))
+
+
 def queries() -> dict:
     return dict(Q)
 
