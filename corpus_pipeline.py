@@ -37,7 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, and digests of them and of the decoded text."""
-    return bpe.digests(bpe.encode(docs, release=True), release=True)
+    return bpe.round_trip(docs, release=True)
 
 
 STAGES = [

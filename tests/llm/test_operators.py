@@ -239,4 +239,6 @@ def test_bpe(docs, empty):
     for r in got.collect():
         text = (texts()[r.doc_id] if r.doc_id < 100 else texts()[6]) or ""
         assert r.ids == known.encode_ordinary(text) and decoded[r.doc_id] == text.encode()
-    assert bpe.digests(bpe.encode(empty)).count() == 0
+    both = [sorted(x.collect()) for x in (bpe.digests(got), bpe.round_trip(docs), bpe.round_trip(docs, release=True))]
+    assert both[0] == both[1] == both[2] and len(both[0]) == docs.count()
+    assert bpe.digests(bpe.encode(empty)).count() == bpe.round_trip(empty).count() == 0
