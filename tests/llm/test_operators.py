@@ -112,6 +112,13 @@ def test_pii_terms(spark):
     assert "common" not in [s.m for s in marked[0].remove + marked[0].generalise]
 
 
+def test_pii_terms_of_a_value_found_once(spark):
+    rows = [(i, f"common words and filler{i % 20}") for i in range(10, 200)] + [(1, "nickname lives at a@b.example.com with common words and filler3")]
+    marked = {r.doc_id: r for r in pii.analyse(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [s.m for s in marked[1].remove] == ["nickname", "lives", "with"] and "common" not in [s.m for s in marked[1].generalise]
+    assert not any(r.remove or r.generalise for i, r in marked.items() if i >= 10)
+
+
 def brute_components(pairs):
     sets = {}
     for i, t in pairs:

@@ -8,9 +8,11 @@ patterns in time linear in the text and without recursion.
 The method: each distinct value found is a protected entity. With document counts over the whole corpus
 (N documents, n_e with the entity, n_t with the term, n_et where the term stands within ``WINDOW`` characters of
 the entity), a term discloses log(N n_et / (n_e n_t)) of the log(N / n_e) that the entity itself is worth. In
-documents with the entity, terms near it that disclose at least ``REMOVE`` of it in ``SUPPORT`` or more
-documents are removed, those from ``GENERALISE`` on replaced by their kind. Spans of kind ``remove`` and
-``generalise`` mark every occurrence of such a term in that document. Documents without personal data get no spans.
+documents with the entity, every term near it that discloses at least ``GENERALISE`` of it is marked, however few
+the documents: a value found once counts like any other. Those that disclose ``REMOVE`` or more are removed if they
+do so of log(N / n_et), too, what the pair itself is worth (the same for terms in all of the entity's documents, more
+for those in some of them), and replaced by their kind if not. Spans of kind ``remove`` and ``generalise`` mark every
+occurrence of such a term in that document. Documents without personal data get no spans.
 
 Shuffles: partial counts of terms, rows of (document, entity, term near it), and the texts of those
 documents only that hold personal data. Counts combine before each shuffle.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, table, texts, written
 
-WINDOW, SUPPORT, REMOVE, GENERALISE = 80, 3, 0.9, 0.6
+WINDOW, REMOVE, GENERALISE = 80, 0.9, 0.6
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -119,28 +121,29 @@ def near(found: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.select("doc_id", F.col("s.entity").alias("entity"), F.explode_outer(terms).alias("term")).distinct()
 
 
-def disclosing(docs: DataFrame, near_rows: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """entity, term, ratio of the pairs at or above the lower threshold."""
+def disclosing(docs: DataFrame, near_rows: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+    """entity, term, removed (or else generalised) of the pairs at or above the lower threshold."""
     n = docs.count()
-    seen = near_rows.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    seen = near_rows.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     entities = near_rows.groupBy("entity", "doc_id").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = texts(docs).select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
+    terms = texts(docs).select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     both = seen.join(entities, "entity").join(terms, "term").where(F.col("n_e") < n)
-    ratio = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e"))
-    return both.select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
+    bits = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    ratio, shrunk = (bits / F.log(F.lit(float(n)) / F.col(c)) for c in ("n_e", "n_et"))
+    return both.where(ratio >= generalise).select("entity", "term", (F.least(ratio, shrunk) >= remove).alias("removed"))
 
 
-def analyse(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+def analyse(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """doc_id, the base spans by kind, ``remove`` and ``generalise`` (spans of terms), and text where there is any span."""
     folder = shared_dir(docs.sparkSession)
     any_span = F.size(F.concat(*KINDS)) > 0
     found = with_spans(docs).withColumn("text", F.when(any_span, F.col("text")))
     found = written(found, f"{folder}/found")
     rows = written(near(found.where("text is not null")), f"{folder}/near")
-    verdicts = disclosing(docs, rows, support, generalise)
-    hit = rows.where("term is not null").join(verdicts, ["entity", "term"]).groupBy("doc_id", "term").agg(F.max("ratio").alias("ratio"))
+    verdicts = disclosing(docs, rows, remove, generalise)
+    hit = rows.where("term is not null").join(verdicts, ["entity", "term"]).groupBy("doc_id", "term").agg(F.max("removed").alias("removed"))
     pick = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("term"))))
-    per = hit.groupBy(F.col("doc_id").alias("_id")).agg(pick(F.col("ratio") >= remove).alias("t_remove"), pick(F.col("ratio") < remove).alias("t_generalise"))
+    per = hit.groupBy(F.col("doc_id").alias("_id")).agg(pick(F.col("removed")).alias("t_remove"), pick(~F.col("removed")).alias("t_generalise"))
     out = found.join(per, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
 
     def marked(terms: str) -> Column:
