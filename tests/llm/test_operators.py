@@ -119,6 +119,17 @@ def test_pii_terms_of_a_value_found_once(spark):
     assert not any(r.remove or r.generalise for i, r in marked.items() if i >= 10)
 
 
+def test_pii_terms_far_off(spark):
+    """A name in the heading counts and is marked; many values of one document and the words of values change nothing."""
+    body = " common words" * 50
+    rows = [(i, f"common words filler{i % 20}") for i in range(10, 200)]
+    for mails in ("a@b.example.com", " ".join(f"a{k}@b.example.com" for k in range(300))):
+        got = pii.analyse(spark.createDataFrame([*rows, (1, f"Nickname{body} {mails}{body} employer"), (None, f"Nameless{body} x@y.example.org")], "doc_id long, text string")).collect()
+        marked = {r.doc_id: r for r in got}
+        assert [s.m for s in marked[1].remove] == ["Nickname", "employer"] and [s.m for s in marked[None].remove] == ["Nameless"]
+        assert not any(r.generalise for r in got) and not any(r.remove for i, r in marked.items() if i and i >= 10)
+
+
 def brute_components(pairs):
     sets = {}
     for i, t in pairs:

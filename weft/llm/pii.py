@@ -6,16 +6,16 @@ last match (``\G``) and use possessive loops, which gives the leftmost non-overl
 patterns in time linear in the text and without recursion.
 
 The method: each distinct value found is a protected entity. With document counts over the whole corpus
-(N documents, n_e with the entity, n_t with the term, n_et where the term stands within ``WINDOW`` characters of
-the entity), a term discloses log(N n_et / (n_e n_t)) of the log(N / n_e) that the entity itself is worth. In
-documents with the entity, every term near it that discloses at least ``GENERALISE`` of it is marked, however few
+(N documents, n_e with the entity, n_t with the term, n_et with both, however far apart), a term discloses log(N n_et / (n_e n_t)) of the log(N / n_e) that the entity itself is worth. In
+documents with the entity, every term that discloses at least ``GENERALISE`` of it is marked, however few
 the documents: a value found once counts like any other. Those that disclose ``REMOVE`` or more are removed if they
 do so of log(N / n_et), too, what the pair itself is worth (the same for terms in all of the entity's documents, more
 for those in some of them), and replaced by their kind if not. Spans of kind ``remove`` and ``generalise`` mark every
-occurrence of such a term in that document. Documents without personal data get no spans.
+occurrence of such a term in that document. Documents without personal data get no spans. Terms are words outside
+base spans. Entities of the same documents disclose alike: they count once, so that a document with many values of
+its own makes no more rows than one with a single value.
 
-Shuffles: partial counts of terms, rows of (document, entity, term near it), and the texts of those
-documents only that hold personal data. Counts combine before each shuffle.
+Shuffles: partial counts of terms, rows of (document, entities, term), and the texts of those documents that hold personal data. Counts combine before each shuffle.
 
 Defined results: a null text is an empty one; rows that share doc_id share the terms to mark; in an empty corpus
 nothing is found; other columns are not read. Offsets are code points, ends exclusive.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, table, texts, written
 
-WINDOW, REMOVE, GENERALISE = 80, 0.9, 0.6
+REMOVE, GENERALISE = 0.9, 0.6
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -107,30 +107,45 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda t: F.length(t) >= 3)
 
 
-def near(found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct rows of doc_id, entity and a term that stands wholly within ``window`` characters of it."""
+def _outside() -> Column:
+    """The text with a blank for each base span (these may overlap)."""
+    spans = F.array_sort(F.concat(*[_spans_as(k, lambda s, k: F.lit(k).alias("by")) for k in KINDS]))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        gap = F.when(x["a"] > s["at"], F.substr("text", s["at"] + 1, x["a"] - s["at"])).otherwise(F.lit(""))
+        return F.struct(F.greatest(s["at"], x["b"]).alias("at"), F.array_append(s["out"], gap).alias("out"))
+
+    return F.aggregate(spans, zero, step, lambda s: F.array_join(F.array_append(s["out"], F.substr(F.col("text"), s["at"] + 1, F.length("text"))), " "))
+
+
+def holding(found: DataFrame, folder: str) -> DataFrame:
+    """Distinct rows of doc_id, grp (the entities of one set of documents), n_e, and a term of the document."""
     spans = F.concat(*[_spans_as(k, lambda s, k: _value(k, s["m"]).alias("entity")) for k in KINDS])
-    rows = found.select("doc_id", "text", F.explode(spans).alias("s"))
-    start = F.greatest(F.col("s.a") - window, F.lit(0))
-    left = F.substr("text", start + 1, F.col("s.a") - start)
-    right = F.substr("text", F.col("s.b") + 1, F.lit(window))
-    # What a window's edge cuts is no whole term.
-    left = F.when(start > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(F.length(right) == window, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    terms = F.array_distinct(F.concat(_terms(left), _terms(right)))
-    return rows.select("doc_id", F.col("s.entity").alias("entity"), F.explode_outer(terms).alias("term")).distinct()
-
-
-def disclosing(docs: DataFrame, near_rows: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
-    """entity, term, removed (or else generalised) of the pairs at or above the lower threshold."""
+    held = written(found.select("doc_id", F.explode(F.array_distinct(spans["entity"])).alias("entity")).distinct(), f"{folder}/held")
+    grps = held.groupBy("entity").agg(F.bit_xor(F.xxhash64("doc_id")).alias("grp"), F.count("*").alias("n_e"))
+    of = held.join(grps, "entity").select(F.col("doc_id").alias("_id"), "grp", "n_e").distinct()
+    terms = found.select("doc_id", F.explode("terms").alias("term")).distinct()
+    return terms.join(of, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "grp", "n_e", "term")
+
+
+def counted(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """term, n_t: the rows of ``docs`` that have it outside base spans."""
+    every = texts(docs).select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"), F.lit(1).alias("n"))
+    # Only what stands in spans alone has to be taken off again.
+    less = found.select(F.explode(F.array_except(F.array_distinct(_terms(F.col("text"))), "terms")).alias("term"), F.lit(-1).alias("n"))
+    more = found.select(F.explode(F.array_except("terms", F.array_distinct(_terms(F.col("text"))))).alias("term"), F.lit(1).alias("n"))
+    return every.unionByName(less).unionByName(more).groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, rows: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+    """grp, n_e, term, removed (or else generalised) of the pairs at or above the lower threshold."""
     n = docs.count()
-    seen = near_rows.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    entities = near_rows.groupBy("entity", "doc_id").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = texts(docs).select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    both = seen.join(entities, "entity").join(terms, "term").where(F.col("n_e") < n)
+    seen = rows.where(F.col("n_e") < n).groupBy("grp", "n_e", "term").agg(F.count("*").alias("n_et"))
+    both = seen.join(counted(docs, found), "term")
     bits = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     ratio, shrunk = (bits / F.log(F.lit(float(n)) / F.col(c)) for c in ("n_e", "n_et"))
-    return both.where(ratio >= generalise).select("entity", "term", (F.least(ratio, shrunk) >= remove).alias("removed"))
+    return both.where(ratio >= generalise).select("grp", "n_e", "term", (F.least(ratio, shrunk) >= remove).alias("removed"))
 
 
 def analyse(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
@@ -138,10 +153,11 @@ def analyse(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERAL
     folder = shared_dir(docs.sparkSession)
     any_span = F.size(F.concat(*KINDS)) > 0
     found = with_spans(docs).withColumn("text", F.when(any_span, F.col("text")))
-    found = written(found, f"{folder}/found")
-    rows = written(near(found.where("text is not null")), f"{folder}/near")
-    verdicts = disclosing(docs, rows, remove, generalise)
-    hit = rows.where("term is not null").join(verdicts, ["entity", "term"]).groupBy("doc_id", "term").agg(F.max("removed").alias("removed"))
+    found = written(found.withColumn("terms", F.when(any_span, F.array_distinct(_terms(_outside())))), f"{folder}/found")
+    held = found.where("text is not null")
+    rows = written(holding(held, folder), f"{folder}/rows")
+    verdicts = disclosing(docs, held, rows, remove, generalise)
+    hit = rows.join(verdicts, ["grp", "n_e", "term"]).groupBy("doc_id", "term").agg(F.max("removed").alias("removed"))
     pick = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("term"))))
     per = hit.groupBy(F.col("doc_id").alias("_id")).agg(pick(F.col("removed")).alias("t_remove"), pick(~F.col("removed")).alias("t_generalise"))
     out = found.join(per, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
