@@ -168,6 +168,16 @@ def test_jaccard_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_rows_without_an_id(spark):
+    """Rows that share a doc_id or have none go or stay by their own texts."""
+    a, b, c, bad = words(60, 1), words(60, 2), words(60, 3), "too short"
+    rows = [(None, a, "en", "s"), (None, b, "en", "s"), (None, b, "en", "s"), (None, bad, "en", "s"), (5, c, "en", "s"), (5, words(60, 4), "en", "s"), (5, bad, "en", "s"), (7, c + " end", "en", "s"), (3, b + " end", "en", "s"), (None, None, "en", "s"), (None, " ", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    key = lambda r: str(tuple(r))
+    assert sorted(quality.kept(docs).collect(), key=key) == sorted((r for r in rows if r[1] and len(r[1]) > 20), key=key)
+    assert sorted(jaccard.distinct_documents(docs).collect(), key=key) == sorted((rows[i] for i in (0, 4, 5, 6, 8, 9, 10)), key=key)
+
+
 def test_signatures_meet():
     """Sets within the threshold share a signature, also where segments are few and one-deletion rows are needed."""
     rng = np.random.default_rng(1)

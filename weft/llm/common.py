@@ -36,6 +36,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def text_hash() -> Column:
+    """64 bits of the text (null: empty), to tell apart rows that share a doc_id."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, pieces, shared_dir, table, texts, written
+from .common import batch_of, pieces, shared_dir, table, text_hash, texts, written
 from .graph import components
 
 N, NUM, DEN = 5, 4, 5  # words of an n-gram; similarity of NUM / DEN or more
@@ -222,8 +222,8 @@ def signatures(h: np.ndarray, deleting: frozenset[int]) -> np.ndarray:
     return np.concatenate([(k & ~_U(3)) | _U(kind) for k, kind in out]).astype(np.int64)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("band", pa.int32()), ("spare_own", pa.int64()), ("spare_low", pa.int64())])
-SETS = "doc_id long, n long, fp long, band int, spare_own long, spare_low long"
+_SETS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("band", pa.int32()), ("spare_own", pa.int64()), ("spare_low", pa.int64())])
+SETS = "doc_id long, t long, n long, fp long, band int, spare_own long, spare_low long"
 _ROWS = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 _SHARED = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("hub", pa.int64())])
 
@@ -234,7 +234,7 @@ def _describe(batches):
         for text in batch.column("text").to_pylist():
             h = shingles(text)
             rows.append((len(h), set_hash(h), *(spare(h) if len(h) else (0, 0, 0))))
-        yield batch_of(_SETS, {"doc_id": batch.column("doc_id")} | dict(zip(_SETS.names[1:], zip(*rows, strict=True), strict=True)))
+        yield batch_of(_SETS, {"doc_id": batch.column("doc_id"), "t": batch.column("t")} | dict(zip(_SETS.names[2:], zip(*rows, strict=True), strict=True)))
 
 
 def _sign(deleting: frozenset[int]):
@@ -376,7 +376,7 @@ class Join:
         return self.write(both.mapInArrow(_similar, "u long, v long").distinct(), f"{name}/edges")
 
     def run(self) -> DataFrame:
-        self.sets = self.write(self.docs.mapInArrow(_describe, SETS), "described")
+        self.sets = self.write(self.docs.withColumn("t", text_hash()).mapInArrow(_describe, SETS), "described")
         self.classes = self.write(
             self.sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("spare_own").alias("spare_own"), F.min("spare_low").alias("spare_low"), F.min("band").alias("band")), "classes"
         )
@@ -464,13 +464,13 @@ class Join:
         return rows.join(other, "gram").where((F.col("comp") < F.col("comp_b")) & (behind >= overlap)).select(F.col("fp").alias("a"), "b").distinct()
 
     def labelled(self, known: DataFrame) -> DataFrame:
-        """doc_id, n_shingles, component_id of every document."""
+        """doc_id, n_shingles, component_id of every document, with comp (its component, whatever the ids) and t (hash of its text)."""
         named = self.classes.join(known, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("comp"))
         named = self.write(named, "labels")
         least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        ids = named.join(least, "comp").select("fp", "component_id")
-        out = self.sets.select("doc_id", "n", "fp").where("n > 0").join(ids, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        return out.unionByName(self.sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        ids = named.join(least, "comp").select("fp", "comp", "component_id")
+        out = self.sets.select("doc_id", "t", "n", "fp").where("n > 0").join(ids, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "comp", "t")
+        return out.unionByName(self.sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("t").alias("comp"), "t"))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -480,13 +480,17 @@ def join(docs: DataFrame) -> DataFrame:
     equal sets are linked; repeated rows are returned as often as they stand there; a null doc_id is never
     least unless all of a component are null; an empty table gives an empty result; other columns are not read.
     Similarity is that of the 64-bit hashes of n-grams."""
-    return Join(docs).run()
+    return Join(docs).run().select("doc_id", "n_shingles", "component_id")
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that lead their components, with their own columns; of rows that share doc_id and text one stays."""
-    lead = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(lead, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of ``docs`` for each component, with its own columns: that of the least doc_id, whatever other texts share it.
+
+    Components count, not ids: rows without an id, or with one id, stay if their texts aren't linked. Of a component's
+    rows with the least doc_id the one with the least hash of its text stays; of rows that share doc_id and text one stays."""
+    lead = Join(docs).run().where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id"), "comp").agg(F.min("t").alias("_lead")).select("_id", "_lead").distinct()
+    rows = docs.withColumn("_t", text_hash())
+    return rows.join(lead, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_lead")), "left_semi").dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

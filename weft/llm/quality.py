@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, pieces, shared_dir, table, texts, written
+from .common import batch_of, pieces, shared_dir, table, text_hash, texts, written
 
 KEEP, LEAST, STEPS, CUT = 0.75, 200, 5, 100.0
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -30,8 +30,8 @@ FEATURES = {"x_length": 60, "x_symbols": 150, "x_lines": 120, "x_repeats": 80, "
 P = len(FEATURES)
 BINS = 600
 
-_STATS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string())] + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper")])
-STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_letters long, n_upper long"
+_STATS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("t", pa.int64())] + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper")])
+STATS = "doc_id long, lang string, source string, t long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_letters long, n_upper long"
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -67,17 +67,17 @@ def measures(text: str) -> tuple[int, ...]:
 def _measure(batches):
     for batch in pieces(batches, "text"):
         cols = list(zip(*map(measures, batch.column("text").to_pylist()), strict=True))
-        yield batch_of(_STATS, {c: batch.column(c) for c in ("doc_id", "lang", "source")} | dict(zip(_STATS.names[3:], cols, strict=True)))
+        yield batch_of(_STATS, {c: batch.column(c) for c in ("doc_id", "lang", "source", "t")} | dict(zip(_STATS.names[4:], cols, strict=True)))
 
 
 def stats(docs: DataFrame) -> DataFrame:
     """The measured statistics with the base verdict and the transformed vector."""
-    s = texts(docs, "lang", "source").mapInArrow(_measure, STATS)
+    s = texts(docs, "lang", "source").withColumn("t", text_hash()).mapInArrow(_measure, STATS)
     n, lines, letters = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "n_lines", "n_letters"))
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     whole = lambda c: F.round(c * 1000).cast("long")
     return s.select(
-        *_STATS.names[:8],
+        *_STATS.names[:9],
         failed.alias("base_failed"),
         whole(F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n)).alias("x_length"),
         whole(F.log1p(F.col("n_symbols") * 10 / n)).alias("x_symbols"),
@@ -165,13 +165,15 @@ def judge(docs: DataFrame) -> DataFrame:
     best = F.coalesce("m0", "m1", "m2")
     out = out.withColumn("mean", best["mean"]).withColumn("inverse", best["inverse"]).withColumn("distance", distance())
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)
-    return out.select(*_STATS.names[:8], "base_failed", *FEATURES, "distance", kept.alias("kept"))
+    return out.select(*_STATS.names[:9], "base_failed", *FEATURES, "distance", kept.alias("kept"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns; of rows that share a doc_id all go if one fails."""
-    good = judge(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("_kept")).where("_kept")
-    return docs.join(good, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that pass, with their own columns. A verdict is that of a text, language and source: rows that share a doc_id, or have none, stand each for itself."""
+    good = judge(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_good"), F.col("lang").alias("_lang"), F.col("source").alias("_source")).distinct()
+    rows = docs.withColumn("_t", text_hash())
+    own = rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_good")) & rows["lang"].eqNullSafe(F.col("_lang")) & rows["source"].eqNullSafe(F.col("_source"))
+    return rows.join(good, own, "left_semi").select(*docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
