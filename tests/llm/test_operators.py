@@ -226,6 +226,17 @@ def test_html(spark):
     assert html.align(["a", ["+", ["p"]], "z"], ["a", "x", "p", "z"]) == ["a", ["?", ["x"]], ["+", ["p"]], "z"]
 
 
+def test_html_slots(spark):
+    """Equal paths are told apart by the wrapper's slots: the first p is the template's, the one below h1 the article's."""
+    rows = [(i, f"http://h.example/{i}", f"<body><p>Welcome</p><h1>Title {i}</h1><p>{words(20, i)}</p></body>") for i in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == f"Title 2\n{words(20, 2)}"
+    slots = html.Slots(["a", ["?", ["x"]], ["+", ["b", ["?", [["+", ["c"]]]]]], "a"])
+    assert slots.match(["a", "b", "c", "c", "b", "c", "a"]) == [0, 2, 3, 3, 2, 3, 4]
+    many = [f"n{i % 7}x{i}" for i in range(900)]
+    assert len(html.align(many, [*many[:450], "new", *many[450:]])) == 901
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     sizes = {}

@@ -6,13 +6,14 @@ far: where they differ, what one side lacks becomes an optional group, adjoining
 ones, and differing strings become text slots. Equal streams count once, so the first shuffle carries a row for each
 distinct stream of a host and partition; streams are folded in ``SALTS`` parts per host and then the parts.
 
-A wrapper's slots are the paths of its text. Statistics of each slot over all pages of the host (pages, distinct
-strings, letters) decide which belong to the article: slots below article or main elements; without such,
-slots that aren't the same string on all pages and lie in the container with most text. Menus, headers,
-footers, sidebars, notices, adverts, forms and comments are left out by element or class name wherever they stand.
+A wrapper's slots are its leaves. Each page is matched against its host's wrapper, block by block from the left: on
+within the innermost repeated group, or that group again, or further on. Statistics of each slot over all pages of the
+host decide which belong to the article: slots below article or main elements; without such,
+slots that aren't the same string on all pages and lie in the container with most text. Menus, headers, footers, sidebars, notices, adverts, forms and comments are left
+out by element or class name wherever they stand. A page's text is that of its blocks in article slots.
 
-Wrappers are small, but there is one for each host: the join leaves broadcasting to the planner's size check,
-and splits a host that holds a third of the pages.
+Wrappers (compressed) are small, but there is one for each host: the joins leave broadcasting to the planner's size
+check, and split a host that holds a third of the pages.
 
 Defined results: null or empty html gives an empty text; a page without a host (null or odd url) belongs to the host
 ''; repeated rows are extracted alike; an empty table gives an empty result; other columns are not read.
@@ -24,7 +25,10 @@ import html as _html
 import json
 import re
 import zlib
+from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, pieces, shared_dir, table, written
 
-SALTS, ENOUGH_PAGES, LONGEST = 16, 3, 400
+SALTS, ENOUGH_PAGES = 16, 3
+#: Alignments of more cells are split, so that memory follows this.
+CELLS = 4_000_000
 # HTML's elements by role.
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -154,30 +160,53 @@ def _core(node):
     return node
 
 
+def _suffixes(a: np.ndarray, b: np.ndarray):
+    """Lengths of the longest common subsequences of a[i:] and b[j:], a row for each i from the last on."""
+    row = np.zeros(len(b) + 1, np.int32)
+    yield row
+    for x in a[::-1]:
+        row = np.append(np.maximum.accumulate(np.maximum(row[:-1], row[1:] + (b == x))[::-1])[::-1], np.int32(0))
+        yield row
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence."""
+    if len(a) > 1 and len(a) * len(b) > CELLS:
+        mid = len(a) // 2
+        for right in _suffixes(a[mid:], b):
+            pass
+        for left in _suffixes(a[:mid][::-1], b[::-1]):
+            pass
+        cut = int(np.argmax(left[::-1] + right))
+        return _common(a[:mid], b[:cut]) + [(i + mid, j + cut) for i, j in _common(a[mid:], b[cut:])]
+    best, out, i, j = list(_suffixes(a, b))[::-1], [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def align(wrapper: list, stream: list) -> list:
     """The union-free wrapper of both: common nodes by the longest common subsequence, the others optional."""
     if wrapper == stream:
         return wrapper
-    a, b = [_core(x) for x in wrapper], [_core(x) for x in stream]
+    ids: dict[str, int] = {}
+    a, b = (np.array([ids.setdefault(_core(x), len(ids)) for x in nodes], np.int64) for nodes in (wrapper, stream))
     lead = 0
     while lead < min(len(a), len(b)) and a[lead] == b[lead]:
         lead += 1
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, lead - 1, -1):
-        for j in range(len(b) - 1, lead - 1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out = [_join(x, y) for x, y in zip(wrapper[:lead], stream[:lead], strict=True)]
-    i = j = lead
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            out.append(_join(wrapper[i], stream[j]))
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append(_optional(wrapper[i]))
-            i += 1
-        else:
-            out.append(_optional(stream[j]))
-            j += 1
+    pairs = [(k, k) for k in range(lead)] + [(i + lead, j + lead) for i, j in _common(a[lead:], b[lead:])]
+    out, i, j = [], 0, 0
+    for x, y in [*pairs, (len(a), len(b))]:
+        out += map(_optional, wrapper[i:x] + stream[j:y])
+        if x < len(a):
+            out.append(_join(wrapper[x], stream[y]))
+        i, j = x + 1, y + 1
     return _merged(out)
 
 
@@ -204,7 +233,7 @@ def _marks(node):
 
 
 def _merged(nodes: list) -> list:
-    """Neighbours with one core become a repeated group; a wrapper longer than ``LONGEST`` keeps each core once."""
+    """Neighbours with one core become a repeated group."""
     out: list = []
     for n in nodes:
         if out and _core(out[-1]) == _core(n):
@@ -215,24 +244,64 @@ def _merged(nodes: list) -> list:
             out[-1] = ["?", [inner]] if opt else inner
         else:
             out.append(n)
-    if len(out) > LONGEST:
-        seen: dict = {}
-        for n in out:
-            seen.setdefault(_core(n), ["?", [["+", [n]]]] if isinstance(n, str) else n)
-        out = list(seen.values())
     return out
 
 
-def stream(page: str) -> tuple[list, dict[str, tuple[int, int, int, int]]]:
-    """The folded token stream of a page and for each slot: blocks, letters, least and greatest hash of its text."""
-    nodes, slots = [], {}
-    for path, text in blocks(page):
-        key = "/".join(path)
-        nodes.append(key)
-        h = zlib.crc32(text.encode())
-        n, letters, low, high = slots.get(key, (0, 0, h, h))
-        slots[key] = (n + 1, letters + len(text), min(low, h), max(high, h))
-    return fold(nodes), slots
+def stream(page: str) -> list:
+    """The folded token stream of a page."""
+    return fold(["/".join(path) for path, _ in blocks(page)])
+
+
+class Slots:
+    """The leaves of a wrapper, and the one that each block of a page fills."""
+
+    def __init__(self, wrapper: list) -> None:
+        self.paths: list[str] = []
+        self.groups: list[list[list[int]]] = []  # of each leaf the repeated groups around it, innermost first
+        self._add(wrapper, [])
+        self.at: dict[str, list[int]] = {}
+        for k, p in enumerate(self.paths):
+            self.at.setdefault(p, []).append(k)
+
+    def _add(self, nodes: list, around: list) -> None:
+        for node in nodes:
+            if isinstance(node, str):
+                self.paths.append(node)
+                self.groups.append(around)
+            elif node[0] == "+":
+                begin = len(self.paths)
+                span: list[int] = [begin, begin]
+                self._add(node[1], [span, *around])
+                span[1] = len(self.paths) - 1
+            else:
+                self._add(node[1], around)
+
+    def match(self, paths: list[str]) -> list[int]:
+        """The slot of each block; -1 for a path that the wrapper doesn't have."""
+        out, now = [], -1
+        for p in paths:
+            places = self.at.get(p)
+            if not places:
+                out.append(-1)
+                continue
+            k = bisect_right(places, now)
+            ahead = places[k] if k < len(places) else None
+            to = None
+            for begin, end in self.groups[now] if now >= 0 else ():
+                if ahead is not None and ahead <= end:
+                    to = ahead
+                elif (i := bisect_left(places, begin)) < k:
+                    to = places[i]
+                if to is not None:
+                    break
+            now = to if to is not None else ahead if ahead is not None else places[k - 1]
+            out.append(now)
+        return out
+
+
+@lru_cache(8)
+def _slots(wrapper: bytes) -> Slots:
+    return Slots(json.loads(zlib.decompress(wrapper)))
 
 
 def excluded(path: tuple[str, ...] | list[str]) -> bool:
@@ -243,36 +312,50 @@ def excluded(path: tuple[str, ...] | list[str]) -> bool:
     return False
 
 
-def article_slots(slots: dict[str, tuple[int, int, bool]]) -> list[str]:
-    """The slots that hold the article; slots: path -> (pages, letters, same string on all pages)."""
-    open_ = {p: x for p, x in slots.items() if not excluded(p.split("/"))}
-    main = [p for p in open_ if MAIN & {t.split(".")[0] for t in p.split("/")}]
+def article_slots(slots: dict[int, tuple[str, int, bool]]) -> list[int]:
+    """The slots that hold the article; slots: slot -> (path, letters, same string on all pages)."""
+    open_ = {k: x for k, x in slots.items() if not excluded(x[0].split("/"))}
+    main = [k for k, x in open_.items() if MAIN & {t.split(".")[0] for t in x[0].split("/")}]
     if main:
         return sorted(main)
-    varied = {p: x for p, x in open_.items() if not (x[2] and x[0] >= ENOUGH_PAGES)}
+    varied = {k: x for k, x in open_.items() if not x[2]}
     mass: dict[str, int] = {}
-    for p, (_, letters, _) in varied.items():
+    for p, letters, _ in varied.values():
         up = p.rpartition("/")[0]
         mass[up] = mass.get(up, 0) + letters
     if not mass:
         return sorted(varied)
     root = max(mass, key=lambda u: (mass[u], u))
-    return sorted(p for p in varied if p == root or p.startswith(root + "/") or not root)
+    return sorted(k for k, x in varied.items() if x[0] == root or x[0].startswith(root + "/") or not root)
 
 
-_READ = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("slot", pa.string()), ("blocks", pa.int64()), ("letters", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
-READ = "host string, wrapper string, slot string, blocks long, letters long, low long, high long"
+def _read(batches):
+    """Rows of (host, stream)."""
+    for batch in pieces(batches, "html"):
+        nodes = [json.dumps(stream(page), separators=(",", ":")) for page in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(nodes, pa.string())], names=["host", "wrapper"])
 
 
-def _read(batches):
-    """Rows of two kinds: (host, stream) and (host, slot with its statistics)."""
+_FILLED = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("path", pa.string())] + [(n, pa.int64()) for n in ("pages", "letters", "low", "high")])
+FILLED = "host string, slot int, path string, pages long, letters long, low long, high long"
+
+
+def _fill(batches):
+    """Rows of (host, slot): pages that have it, letters, least and greatest hash of its text."""
     for batch in pieces(batches, "html"):
-        rows = []
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            nodes, slots = stream(page)
-            rows.append((host, json.dumps(nodes, separators=(",", ":")), None, None, None, None, None))
-            rows += [(host, None, slot, n, letters, low, high) for slot, (n, letters, low, high) in slots.items()]
-        yield batch_of(_READ, dict(zip(_READ.names, zip(*rows, strict=True), strict=True)))
+        found: dict[tuple[str, int], tuple] = {}
+        for host, page, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
+            slots, rows = _slots(wrapper), [("/".join(path), text) for path, text in blocks(page)]
+            of: dict[int, tuple[str, list[str]]] = {}
+            for k, (key, text) in zip(slots.match([key for key, _ in rows]), rows, strict=True):
+                of.setdefault(k, (key, []))[1].append(text)
+            for k, (key, parts) in of.items():
+                h = zlib.crc32("\n".join(parts).encode())
+                _, n, letters, low, high = found.get((host, k), (key, 0, 0, h, h))
+                found[host, k] = (key, n + 1, letters + sum(map(len, parts)), min(low, h), max(high, h))
+        rows = [(*k, *x) for k, x in found.items()]
+        if rows:
+            yield batch_of(_FILLED, dict(zip(_FILLED.names, zip(*rows, strict=True), strict=True)))
 
 
 def _fold(frame: pd.DataFrame) -> str:
@@ -286,8 +369,12 @@ def _fold_part(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [key[0]], "wrapper": [_fold(frame)]})
 
 
+def _fold_host(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"host": [key[0]], "wrapper": [zlib.compress(_fold(frame).encode())]})
+
+
 def _decide(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    slots = {r.slot: (int(r.pages), int(r.letters), r.low == r.high) for r in frame.itertuples()}
+    slots = {int(r.slot): (r.path, int(r.letters), r.low == r.high and r.pages >= ENOUGH_PAGES) for r in frame.itertuples() if r.slot >= 0}
     return pd.DataFrame({"host": [key[0]], "article": [article_slots(slots)]})
 
 
@@ -297,44 +384,41 @@ def hosted(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), article (paths of the slots that hold the article), from all pages."""
-    read = hosted(pages).select("host", "html").mapInArrow(_read, READ)
-    read = written(read.groupBy("host", "wrapper", "slot").agg(F.count("*").alias("pages"), F.sum("letters").alias("letters"), F.min("low").alias("low"), F.max("high").alias("high")), f"{shared_dir(pages.sparkSession)}/read")
-    streams = read.where("slot is null").select("host", "wrapper", (F.abs(F.hash("wrapper")) % SALTS).alias("salt"))
-    parts = streams.groupBy("host", "salt").applyInPandas(_fold_part, "host string, wrapper string")
-    whole = parts.groupBy("host").applyInPandas(_fold_part, "host string, wrapper string")
-    # A slot's paths are bounded by the wrapper's: one row for each host and path.
-    decided = read.where("slot is not null").groupBy("host").applyInPandas(_decide, "host string, article array<string>")
-    return whole.join(decided, "host", "left")
+    """host, wrapper (compressed JSON), article (the wrapper's slots that hold the article), from all pages."""
+    folder = shared_dir(pages.sparkSession)
+    read = hosted(pages).select("host", "html").mapInArrow(_read, "host string, wrapper string").distinct()
+    parts = read.withColumn("salt", F.abs(F.hash("wrapper")) % SALTS).groupBy("host", "salt").applyInPandas(_fold_part, "host string, wrapper string")
+    whole = written(parts.groupBy("host").applyInPandas(_fold_host, "host string, wrapper binary"), f"{folder}/whole")
+    filled = hosted(pages).join(whole, "host").select("host", "html", "wrapper").mapInArrow(_fill, FILLED)
+    # A host's slots are bounded by its wrapper: one row for each.
+    told = filled.groupBy("host", "slot").agg(F.min("path").alias("path"), F.sum("pages").alias("pages"), F.sum("letters").alias("letters"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return whole.join(told.groupBy("host").applyInPandas(_decide, "host string, article array<int>"), "host", "left")
 
 
 TEXT = "page_id long, url string, text string, n_chars long"
 _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
-def main_text(page: str, article) -> str:
-    """The blocks in the slots of the host's article; of a page with none of these, those that it would have as a host of its own."""
-    slots, own, found = frozenset(article or ()), {}, []
-    for path, text in blocks(page):
-        key = "/".join(path)
-        own[key] = (1, own.get(key, (1, 0, True))[1] + len(text), True)
-        found.append((key, text))
-    if not slots.intersection(own):
-        slots = frozenset(article_slots(own))
-    return "\n".join(t for key, t in found if key in slots)
+def main_text(page: str, slots: Slots, article) -> str:
+    """The blocks in the article slots of the host's wrapper; of a page that fills none of these, those that it would have as a host of its own."""
+    article, rows = frozenset(article or ()), [("/".join(path), text) for path, text in blocks(page)]
+    at = slots.match([key for key, _ in rows])
+    if not article.intersection(at):
+        at, article = range(len(rows)), frozenset(article_slots({k: (key, len(text), False) for k, (key, text) in enumerate(rows)}))
+    return "\n".join(text for k, (_, text) in zip(at, rows, strict=True) if k in article)
 
 
 def _extract(batches):
     for batch in pieces(batches, "html"):
-        texts = [main_text(h, a) for h, a in zip(batch.column("html").to_pylist(), batch.column("article").to_pylist(), strict=True)]
+        texts = [main_text(h, _slots(w), a) for h, w, a in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "article")), strict=True)]
         yield batch_of(_TEXT, {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": [len(t) for t in texts]})
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     found = written(wrappers(pages), f"{shared_dir(pages.sparkSession)}/wrappers")
-    both = hosted(pages).join(found.select("host", "article"), "host", "left")
-    return both.select("page_id", "url", "html", "article").mapInArrow(_extract, TEXT)
+    both = hosted(pages).join(found, "host")
+    return both.select("page_id", "url", "html", "wrapper", "article").mapInArrow(_extract, TEXT)
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
