@@ -237,6 +237,15 @@ def test_html_slots(spark):
     assert len(html.align(many, [*many[:450], "new", *many[450:]])) == 901
 
 
+def test_html_sections(spark):
+    """An article split over containers, and copies of a page among others."""
+    page = "<body><div class=top>Site name</div><div class=content><h1>Title {0}</h1><div class=intro><p>Intro {0}</p></div><div class=body><p>{1}</p></div>{2}</div></body>"
+    own = "<div class=extra><p>said here only</p></div>"
+    rows = [(i, page.format(i, words(20, i), "")) for i in range(8)] + [(20 + i, page.format(99, words(20, 99), own)) for i in range(3)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame([(i, f"http://h.example/{i}", x) for i, x in rows], "page_id long, url string, html string")).collect()}
+    assert got[3] == f"Title 3\nIntro 3\n{words(20, 3)}" and all(got[20 + i] == f"Title 99\nIntro 99\n{words(20, 99)}\nsaid here only" for i in range(3))
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     sizes = {}

@@ -8,8 +8,9 @@ distinct stream of a host and partition; streams are folded in ``SALTS`` parts p
 
 A wrapper's slots are its leaves. Each page is matched against its host's wrapper, block by block from the left: on
 within the innermost repeated group, or that group again, or further on. Statistics of each slot over all pages of the
-host decide which belong to the article: slots below article or main elements; without such,
-slots that aren't the same string on all pages and lie in the container with most text. Menus, headers, footers, sidebars, notices, adverts, forms and comments are left
+host decide which belong to the article: slots below article or main elements; without such, all but those of the
+template, whose string is the same on all pages that have it, these being ``ENOUGH_PAGES`` and half of the host's at
+least and not copies of one page. Menus, headers, footers, sidebars, notices, adverts, forms and comments are left
 out by element or class name wherever they stand. A page's text is that of its blocks in article slots.
 
 Wrappers (compressed) are small, but there is one for each host: the joins leave broadcasting to the planner's size
@@ -312,21 +313,11 @@ def excluded(path: tuple[str, ...] | list[str]) -> bool:
     return False
 
 
-def article_slots(slots: dict[int, tuple[str, int, bool]]) -> list[int]:
-    """The slots that hold the article; slots: slot -> (path, letters, same string on all pages)."""
+def article_slots(slots: dict[int, tuple[str, bool]]) -> list[int]:
+    """The slots that hold the article; slots: slot -> (path, of the template)."""
     open_ = {k: x for k, x in slots.items() if not excluded(x[0].split("/"))}
     main = [k for k, x in open_.items() if MAIN & {t.split(".")[0] for t in x[0].split("/")}]
-    if main:
-        return sorted(main)
-    varied = {k: x for k, x in open_.items() if not x[2]}
-    mass: dict[str, int] = {}
-    for p, letters, _ in varied.values():
-        up = p.rpartition("/")[0]
-        mass[up] = mass.get(up, 0) + letters
-    if not mass:
-        return sorted(varied)
-    root = max(mass, key=lambda u: (mass[u], u))
-    return sorted(k for k, x in varied.items() if x[0] == root or x[0].startswith(root + "/") or not root)
+    return sorted(main or (k for k, x in open_.items() if not x[1]))
 
 
 def _read(batches):
@@ -336,26 +327,26 @@ def _read(batches):
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(nodes, pa.string())], names=["host", "wrapper"])
 
 
-_FILLED = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("path", pa.string())] + [(n, pa.int64()) for n in ("pages", "letters", "low", "high")])
-FILLED = "host string, slot int, path string, pages long, letters long, low long, high long"
+_FILLED = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("path", pa.string())] + [(n, pa.int64()) for n in ("pages", "low", "high", "page_low", "page_high")])
+FILLED = "host string, slot int, path string, pages long, low long, high long, page_low long, page_high long"
 
 
 def _fill(batches):
-    """Rows of (host, slot): pages that have it, letters, least and greatest hash of its text."""
+    """Rows of (host, slot): pages that have it, least and greatest hash of its text and of those pages; slot -1 stands for the page."""
     for batch in pieces(batches, "html"):
         found: dict[tuple[str, int], tuple] = {}
         for host, page, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
-            slots, rows = _slots(wrapper), [("/".join(path), text) for path, text in blocks(page)]
-            of: dict[int, tuple[str, list[str]]] = {}
-            for k, (key, text) in zip(slots.match([key for key, _ in rows]), rows, strict=True):
+            slots, rows = _slots(wrapper), [("/".join(path), path, text) for path, text in blocks(page)]
+            of: dict[int, tuple[str, list[str]]] = {-1: ("", [])}
+            whole = zlib.crc32("\n".join(text for _, path, text in rows if not excluded(path)).encode())
+            for k, (key, _, text) in zip(slots.match([key for key, _, _ in rows]), rows, strict=True):
                 of.setdefault(k, (key, []))[1].append(text)
             for k, (key, parts) in of.items():
                 h = zlib.crc32("\n".join(parts).encode())
-                _, n, letters, low, high = found.get((host, k), (key, 0, 0, h, h))
-                found[host, k] = (key, n + 1, letters + sum(map(len, parts)), min(low, h), max(high, h))
+                _, n, low, high, least, most = found.get((host, k), (key, 0, h, h, whole, whole))
+                found[host, k] = (key, n + 1, min(low, h), max(high, h), min(least, whole), max(most, whole))
         rows = [(*k, *x) for k, x in found.items()]
-        if rows:
-            yield batch_of(_FILLED, dict(zip(_FILLED.names, zip(*rows, strict=True), strict=True)))
+        yield batch_of(_FILLED, dict(zip(_FILLED.names, zip(*rows, strict=True), strict=True)))
 
 
 def _fold(frame: pd.DataFrame) -> str:
@@ -374,7 +365,8 @@ def _fold_host(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _decide(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    slots = {int(r.slot): (r.path, int(r.letters), r.low == r.high and r.pages >= ENOUGH_PAGES) for r in frame.itertuples() if r.slot >= 0}
+    total = int(frame["pages"][frame["slot"] == -1].sum())
+    slots = {int(r.slot): (r.path, r.low == r.high and r.page_low < r.page_high and r.pages >= max(ENOUGH_PAGES, total / 2)) for r in frame.itertuples() if r.slot >= 0}
     return pd.DataFrame({"host": [key[0]], "article": [article_slots(slots)]})
 
 
@@ -391,8 +383,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
     whole = written(parts.groupBy("host").applyInPandas(_fold_host, "host string, wrapper binary"), f"{folder}/whole")
     filled = hosted(pages).join(whole, "host").select("host", "html", "wrapper").mapInArrow(_fill, FILLED)
     # A host's slots are bounded by its wrapper: one row for each.
-    told = filled.groupBy("host", "slot").agg(F.min("path").alias("path"), F.sum("pages").alias("pages"), F.sum("letters").alias("letters"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return whole.join(told.groupBy("host").applyInPandas(_decide, "host string, article array<int>"), "host", "left")
+    told = filled.groupBy("host", "slot").agg(F.min("path").alias("path"), F.sum("pages").alias("pages"), *[F.min(c).alias(c) for c in ("low", "page_low")], *[F.max(c).alias(c) for c in ("high", "page_high")])
+    return whole.join(told.groupBy("host").applyInPandas(_decide, "host string, article array<int>"), "host")
 
 
 TEXT = "page_id long, url string, text string, n_chars long"
@@ -404,7 +396,7 @@ def main_text(page: str, slots: Slots, article) -> str:
     article, rows = frozenset(article or ()), [("/".join(path), text) for path, text in blocks(page)]
     at = slots.match([key for key, _ in rows])
     if not article.intersection(at):
-        at, article = range(len(rows)), frozenset(article_slots({k: (key, len(text), False) for k, (key, text) in enumerate(rows)}))
+        at, article = range(len(rows)), frozenset(article_slots({k: (key, False) for k, (key, _) in enumerate(rows)}))
     return "\n".join(text for k, (_, text) in zip(at, rows, strict=True) if k in article)
 
 
