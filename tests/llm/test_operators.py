@@ -276,6 +276,14 @@ def test_quality(spark, docs, empty):
     assert all(kept[i] for i in range(400)) and not any(kept[900 + i] for i in range(20))
 
 
+def test_quality_small_groups(spark):
+    """A language and source of some tens of rows is judged by its own rows."""
+    rows = [(i, words(60, i), "en", "s") for i in range(40)] + [(900 + i, " ".join(x + "***" for x in words(60, i).split()), "en", "s") for i in range(2)]
+    rows += [(2000 + i, " ".join(x + "***" for x in words(60, i).split()), "en", "code") for i in range(60)]
+    got = {r.doc_id: (r.kept, r.distance) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(x is not None for _, x in got.values()) and all(keep == (i not in (900, 901)) for i, (keep, _) in got.items())
+
+
 def test_bpe(docs, empty):
     import public_tokenizers as public
     import tiktoken

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, pieces, shared_dir, table, text_hash, texts, written
 
-KEEP, LEAST, STEPS, CUT = 0.75, 200, 5, 100.0
+KEEP, LEAST, STEPS, CUT = 0.75, 30, 5, 100.0
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: Statistic vectors in thousandths, with the least standard deviation that each is taken to have.
 FEATURES = {"x_length": 60, "x_symbols": 150, "x_lines": 120, "x_repeats": 80, "x_upper": 60}
