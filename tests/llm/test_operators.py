@@ -130,6 +130,27 @@ def test_pii_terms_far_off(spark):
         assert not any(r.generalise for r in got) and not any(r.remove for i, r in marked.items() if i and i >= 10)
 
 
+def test_pii_long_texts(spark):
+    """Tens of thousands of candidates in one text, a run of a million digits, and many words beside a value."""
+    rng = random.Random(3)
+    cards = " x ".join("".join(rng.choice("0123456789") for _ in range(16)) for _ in range(20_000))
+    many = " ".join(f"w{'abcdefghij'[k % 10] * 3}{'klmnopqrst'[k // 10 % 10] * 2}{'uvwxyz'[k // 100 % 6]}" for k in range(60_000)) + " a@b.example.com"
+    rows = [(1, cards), (2, "7" * 1_000_000), (3, many), (4, "other text"), (5, "")]
+    got = {r.doc_id: r for r in pii.analyse(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", cards) if luhn(m[0])]
+    assert [(s.a, s.b) for s in got[1].card] == want and len(want) > 1000 and not got[2].card
+    assert len(got[3].remove) == 60_000 and all(many[s.a : s.b] == s.m for s in got[3].remove[::500])
+
+
+def test_pii_sanitised(spark):
+    """Overlapping spans are cut as one; characters beyond 16 bits count as one; ties and repeated rows stay apart."""
+    rows = [(1, "\U0001f600 name at 1.2.3.4@b.example.com or 10.0.0.1 end")] * 2 + [(None, None)] + [(i, "plain or end at words") for i in range(10, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.text for r in pii.sanitised(docs).collect()]
+    assert len(got) == 2 and set(got) == {"\U0001f600 [term] at [email] or [ip] end"}
+    assert pii.analyse(docs).count() == len(rows)
+
+
 def brute_components(pairs):
     sets = {}
     for i, t in pairs:
@@ -298,3 +319,23 @@ def test_bpe(docs, empty):
     both = [sorted(x.collect()) for x in (bpe.digests(got), bpe.round_trip(docs), bpe.round_trip(docs, release=True))]
     assert both[0] == both[1] == both[2] and len(both[0]) == docs.count()
     assert bpe.digests(bpe.encode(empty)).count() == bpe.round_trip(empty).count() == 0
+
+
+def test_bpe_long_pieces(spark):
+    """Unbroken runs, encoded in parallel steps, give tiktoken's ids."""
+    import public_tokenizers as public
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public.path("byte_bpe_50k.tiktoken"), "rb"))}
+    known = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(11)
+    rows = ["a" * 5000, "abc" * 900, "x" + " " * 3000, "".join(rng.choice("etaoinshr") for _ in range(100_000)), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8000))]
+    for _ in range(30):
+        letters = "".join(rng.sample("abcdefghijklmnopqrstuvwxyz\xe9\u6f22\u5b57ABC", rng.randint(1, 10)))
+        rows.append("".join(rng.choice(letters) * rng.randint(1, rng.choice((1, 3, 9))) for _ in range(400)))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in bpe.encode(docs).collect():
+        assert r.ids == known.encode_ordinary(rows[r.doc_id])
+    codec = bpe.Codec(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    codec.consistent = False  # what a file gets whose tokens don't encode to themselves
+    assert codec.encode(rows[5:8]).to_pylist() == [known.encode_ordinary(t) for t in rows[5:8]]
