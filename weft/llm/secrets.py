@@ -5,7 +5,8 @@ text. A ledger holds one row for every (blob, rule version) pair that has been s
 found. A scan groups the versions by address, takes the pairs that the ledger lacks, scans each such
 text once, appends to the ledger, and joins the findings back to all paths that hold the blob.
 
-One shuffle carries one text per blob (copies collapse in the map-side aggregate). The join back
+Addresses that the ledger holds drop out before texts move: a scan over known versions shuffles addresses
+only. Of unseen blobs one text each is shuffled (copies collapse in the map-side aggregate). The join back
 carries addresses and findings only; a blob that a third of all paths share is a skewed probe side of
 a plain equi-join, which adaptive execution splits.
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, pieces, shared_dir, table, texts
+from .common import batch_of, pieces, shared_dir, table, texts, written
 
 RULE_VERSION = "2"
 #: Kinds in the order that breaks ties between spans; the first three are the base.
@@ -35,11 +36,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # Runs of hex digits are maximal, so those of 16 and more are the long ones among the matches of [0-9a-f]+.
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _MORE = (
-    ("private_key", "-----BEGIN", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?")),
-    ("jwt", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("forge_token", "gh", re.compile(r"\bgh[oprsu]_[A-Za-z0-9]{36,}")),
-    ("chat_token", "xox", re.compile(r"\bxox[abeoprs]-[A-Za-z0-9-]{10,}")),
-    ("url_login", "://", re.compile(r"\b[a-z][a-z0-9+]{1,15}://[^\s:@/]{1,64}:[^\s:@/]{3,64}@[A-Za-z0-9.-]+")),
+    ("private_key", "-----BEGIN", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", re.A)),
+    ("jwt", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.A)),
+    ("forge_token", "gh", re.compile(r"\bgh[oprsu]_[A-Za-z0-9]{36,}", re.A)),
+    ("chat_token", "xox", re.compile(r"\bxox[abeoprs]-[A-Za-z0-9-]{10,}", re.A)),
+    ("url_login", "://", re.compile(r"\b[a-z][a-z0-9+]{1,15}://[^\s:@/]{1,64}:[^\s:@/]{3,64}@[A-Za-z0-9.-]+", re.A)),
 )
 
 FOUND = "blob binary, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -84,9 +85,16 @@ def addressed(docs: DataFrame) -> DataFrame:
 
 def scan_new(docs: DataFrame, ledger: DataFrame | None, rule_version: str = RULE_VERSION) -> DataFrame:
     """Ledger rows for the (blob, rule version) pairs of ``docs`` that ``ledger`` lacks."""
-    blobs = addressed(docs).groupBy("blob").agg(F.first("text").alias("text"))
+    versions = addressed(docs)
     if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+        # Addresses first: texts whose blob the ledger has are never shuffled or sorted. What is unseen is written, so that its size is known to the join.
+        seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
+        unseen = written(versions.select("blob").distinct().join(seen, "blob", "left_anti"), f"{shared_dir(docs.sparkSession)}/unseen")
+        if unseen.isEmpty():
+            versions = versions.where(F.lit(False))
+        else:
+            versions = versions.join(unseen, "blob", "left_semi")
+    blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
     return blobs.select("blob", "text").mapInArrow(_scan, FOUND).withColumn("rule_version", F.lit(rule_version))
 
 
