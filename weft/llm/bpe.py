@@ -2,7 +2,12 @@
 
 Texts are cut into pieces by the tokenizer's pattern. The pieces that a worker hasn't met are encoded by
 one recursive query: token-position rows join the merge table on (token, next token), each piece's
-leftmost pair of least rank is contracted, until no piece has a pair. Decoding joins the ids with the
+leftmost pair of least rank is contracted, until no piece has a pair. Pieces of more than ``SHORT`` bytes, which would
+take a step for each pair, contract in a step all pairs that no lesser pair can reach: a token that began with a
+lesser pair would have to span what lies between, so pairs are compared within twice the length of the longest token
+of the piece's bytes; of runs of equal pairs that overlap every second one is taken from the run's start. That gives the same
+ids where every token of the ranks file encodes to itself, which a worker checks when it meets its first long piece;
+for other files long pieces contract one pair a step, too. Decoding joins the ids with the
 vocabulary and concatenates in the order of positions. There is no shuffle; the merge table and
 the vocabulary are built in each worker from the ranks file, and a worker's memory is bounded by the slice of
 a batch, the longest text and a cache of ``CACHE`` pieces, which is emptied when full.
@@ -15,7 +20,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import cache
+import os
+import tempfile
+from functools import cache, cached_property
 from itertools import chain
 
 import numpy as np
@@ -26,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import batch_of, pieces, table, texts, trim
 
 CACHE, CHUNK_ROWS, DECODE_IDS = 900_000, 500_000, 250_000
-SHORT = 4095  # pieces of up to so many bytes have their step's choice packed into one number
+SHORT = 255  # pieces of up to so many bytes contract one pair a step
+ROUNDS = 32  # steps of a long piece that one query keeps
 
 _CONTRACT = """
 with recursive step(k, w, p, e, t) as (
@@ -41,10 +49,34 @@ with recursive step(k, w, p, e, t) as (
 ends as (select w, max(k) as k from step group by w)
 select w, list(t order by p) as ids from step join ends using (w, k) group by w
 """
+# The choice of a step is one number: rank, and places of up to SHORT + 1.
 _PACKED = _CONTRACT.format(
     pack="(m.m::bigint << 40) + (x.p::bigint << 28) + (y.p::bigint << 14) + y.e",
     unpack="(z >> 40)::integer as m, ((z >> 28) & 4095)::integer as p, ((z >> 14) & 4095)::integer as mid, (z & 4095)::integer as e",
 )
+_FAR = """
+with recursive step(k, w, p, e, t) as (
+  select 0, w, p, e, t from seed
+  union all
+  select k + 1, w, p, case when c then e2 else e end, case when c then r else t end from (
+    select *, lag(c, 1, false) over o as gone, bool_or(c) over (partition by w) as moved from (
+      select *, coalesce((row_number() over u) % 2 = 1 and first_value(below >= r) over u and above >= r, false) as c from (
+        select *, sum(case when r = before then 0 else 1 end) over o as run from (
+          select *, lag(r) over o as before,
+            min(r) over (partition by w order by p range between {reach} preceding and current row) as below,
+            min(r) over (partition by w order by p range between current row and {reach} following) as above
+          from (
+            select x.*, m.m as r from (select *, lead(t) over o as t2, lead(e) over o as e2 from step window o as (partition by w order by p)) x
+            left join merges m on x.t = m.a and x.t2 = m.b)
+          window o as (partition by w order by p))
+        window o as (partition by w order by p))
+      window u as (partition by w, run order by p))
+    window o as (partition by w order by p))
+  where moved and not gone and k < {rounds}
+),
+ends as (select w, max(k) as k from step group by w)
+select k, w, p, e, t from step join ends using (w, k)
+"""
 _WIDE = _CONTRACT.format(pack="(m.m, x.p, y.p, y.e)", unpack="z[1] as m, z[2] as p, z[3] as mid, z[4] as e")
 _DECODE = "select d, string_agg(s, '' order by i) as text from encoded join vocabulary using (id) group by d"
 
@@ -78,7 +110,10 @@ class Worker:
     def __init__(self) -> None:
         import duckdb
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": "false"})
+        # What exceeds the memory limit is spilled where Spark itself spills, not into the working folder.
+        local = os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")[0]
+        config = {"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": "false", "temp_directory": os.path.join(local, f"duckdb-{os.getpid()}")}
+        self.db = duckdb.connect(config=config)
 
     def _put(self, name: str, columns: dict) -> None:
         self.db.register("incoming", pa.table(columns))
@@ -120,21 +155,58 @@ class Codec(Worker):
                 short, rows = [], 0
         if short:
             self._contract(short, _PACKED)
-        for pair in wide:
-            self._contract([pair], _WIDE)
-
-    def _contract(self, todo: list[tuple[str, bytes]], query: str) -> None:
-        n = np.fromiter((len(raw) for _, raw in todo), np.int64, len(todo))
-        flat = np.frombuffer(b"".join(raw for _, raw in todo), np.uint8)
-        w = np.repeat(np.arange(len(todo), dtype=np.int32), n)
+        while wide:
+            taken, rows = [], 0
+            while wide and (not taken or rows + len(wide[-1][1]) <= CHUNK_ROWS):
+                taken.append(wide.pop())
+                rows += len(taken[-1][1])
+            self._contract_far(taken) if self.consistent else self._contract(taken, _WIDE)
+
+    def _seed(self, raws: list[bytes]) -> None:
+        n = np.fromiter(map(len, raws), np.int64, len(raws))
+        flat = np.frombuffer(b"".join(raws), np.uint8)
+        w = np.repeat(np.arange(len(raws), dtype=np.int32), n)
         p = (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
         self._put("seed", {"w": w, "p": p, "e": p + 1, "t": self.byte[flat]})
+
+    def _contracted(self, raws: list[bytes], query: str):
+        """(place in ``raws``, bytes of its ids)."""
+        self._seed(raws)
         got = self.db.sql(query).to_arrow_table().combine_chunks()
         at, ids = got.column(0).to_pylist(), got.column(1).chunk(0)
         cuts = ids.offsets.to_numpy() * 4
         data = ids.values.to_numpy().astype("<u4").tobytes()
-        for k, a, b in zip(at, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            self.cache[todo[k][0]] = data[a:b]
+        return ((k, data[a:b]) for k, a, b in zip(at, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+    def _contract(self, todo: list[tuple[str, bytes]], query: str) -> None:
+        for k, ids in self._contracted([raw for _, raw in todo], query):
+            self.cache[todo[k][0]] = ids
+
+    def _contract_far(self, todo: list[tuple[str, bytes]]) -> None:
+        self._seed([raw for _, raw in todo])
+        used = frozenset(b"".join(raw for _, raw in todo))
+        query = _FAR.format(reach=2 * max(len(t) for t in self.ranks if used.issuperset(t)), rounds=ROUNDS)
+        while True:
+            # A query keeps the rows of its steps; the last ones begin the next query, until none moves.
+            got = self.db.sql(query).to_arrow_table()
+            self._put("seed", {c: got.column(c) for c in ("w", "p", "e", "t")})
+            if pc.max(got.column("k")).as_py() < ROUNDS:
+                break
+        got = got.sort_by([("w", "ascending"), ("p", "ascending")])
+        w, t = got.column("w").to_numpy(), got.column("t").to_numpy().astype("<u4")
+        cuts = np.searchsorted(w, np.arange(len(todo) + 1))
+        for (word, _), a, b in zip(todo, cuts[:-1], cuts[1:], strict=True):
+            self.cache[word] = t[a:b].tobytes()
+
+    @cached_property
+    def consistent(self) -> bool:
+        """Every token is what its own bytes encode to."""
+        tokens = [t for t in self.ranks if len(t) > 1]
+        for at in range(0, len(tokens), 20_000):
+            some = tokens[at : at + 20_000]
+            if any(len(ids) != 4 for _, ids in self._contracted(some, _WIDE)):
+                return False
+        return True
 
     def encode(self, batch: list[str]) -> pa.ListArray:
         cut = [self.find(t) for t in batch]
