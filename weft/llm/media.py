@@ -3,9 +3,10 @@
 ``store`` keeps each text as a transport stream: its UTF-8 bytes, filled with 255 up to a positive multiple of
 576, are cut into access units, each unit a PES packet with a presentation time, the packets
 spread over 188-byte transport packets behind a program association and a program map table.
-``inspect`` reads stored bytes back: it checks sync bytes, section CRCs and continuity counters,
-follows PAT and PMT to the elementary stream, reassembles its PES packets, and lists time stamps with the
-random-access flag. Both are row-wise Arrow functions: no shuffle, memory bounded by a slice of a batch.
+``inspect`` reads stored bytes back: it checks sync bytes, adaptation fields, section CRCs and the continuity counters of
+tables and streams, follows PAT and PMT to the elementary stream, reassembles its PES packets, and lists time stamps with the
+random-access flag. A packet sent twice, as the format allows, counts once; sections may span packets; what is
+damaged is counted and left out. Both are row-wise Arrow functions: no shuffle, memory bounded by a slice of a batch.
 
 Defined results: a null text is an empty one, stored as one block of 576 times 255; equal texts
 give equal streams and features; repeated rows and empty tables pass through; other columns are not read.
@@ -29,6 +30,7 @@ BLOCK = 576
 UNIT = 10 * BLOCK  # bytes of an access unit
 PMT_PID, ES_PID, PROGRAM, PRIVATE, STREAM_ID = 0x1000, 0x100, 1, 0x06, 0xBD
 CLOCK, UNIT_TICKS, RAP_EVERY = 90_000, 3_600, 4  # a unit lasts 1/25 s; every fourth is a random-access point
+FIELD = 8  # bytes of the adaptation field of a unit's first packet: its length, flags, and the clock reference
 PES_HEAD = 14
 
 
@@ -67,6 +69,10 @@ def _pts(t: int) -> bytes:
     return bytes((0x21 | (t >> 29) & 0x0E, (t >> 22) & 0xFF, 0x01 | (t >> 14) & 0xFE, (t >> 7) & 0xFF, 0x01 | (t << 1) & 0xFE))
 
 
+def _pcr(t: int) -> bytes:
+    return ((t & (1 << 33) - 1) << 15 | 0x7E00).to_bytes(6, "big")
+
+
 def padded(data: bytes) -> bytes:
     return data.ljust(max(1, -(-len(data) // BLOCK)) * BLOCK, b"\xff")
 
@@ -77,9 +83,9 @@ def mux(payload: bytes) -> bytes:
     for k in range(-(-len(payload) // UNIT)):
         unit = payload[k * UNIT : (k + 1) * UNIT]
         rap = k % RAP_EVERY == 0
-        pes = b"\0\0\1" + struct.pack(">BHBBB", STREAM_ID, len(unit) + PES_HEAD - 6, 0x84, 0x80, 5) + _pts(k * UNIT_TICKS & (1 << 33) - 1) + unit
-        # The first packet has an adaptation field of 2 bytes with the random-access flag; the last one is filled up by one.
-        first = pes[: BODY - 2]
+        pes = b"\0\0\1" + struct.pack(">BHBBB", STREAM_ID, len(unit) + PES_HEAD - 6, 0x84, 0x80, 5) + _pts((k + 1) * UNIT_TICKS & (1 << 33) - 1) + unit
+        # The first packet has an adaptation field with the clock reference and the random-access flag; the last one is filled up by one.
+        first = pes[: BODY - FIELD]
         rest = pes[len(first) :]
         full, last = divmod(len(rest), BODY)
         n = 1 + full + bool(last)
@@ -90,12 +96,13 @@ def mux(payload: bytes) -> bytes:
         rows[:, 2] = ES_PID & 0xFF
         rows[:, 3] = 0x10 | (counter + np.arange(n)) & 15
         counter = (counter + n) & 15
-        fill = BODY - 2 - len(first)
+        fill = BODY - FIELD - len(first)
         rows[0, 3] |= 0x20
-        rows[0, 4] = 1 + fill
-        rows[0, 5] = 0x40 if rap else 0
-        rows[0, 6 : 6 + fill] = 255
-        rows[0, 6 + fill :] = np.frombuffer(first, np.uint8)
+        rows[0, 4] = FIELD - 1 + fill
+        rows[0, 5] = 0x50 if rap else 0x10
+        rows[0, 6:12] = np.frombuffer(_pcr(k * UNIT_TICKS), np.uint8)
+        rows[0, 12 : 12 + fill] = 255
+        rows[0, 12 + fill :] = np.frombuffer(first, np.uint8)
         body = np.frombuffer(rest, np.uint8)
         if full:
             rows[1 : 1 + full, 4:] = body[: full * BODY].reshape(full, BODY)
@@ -112,11 +119,11 @@ def mux(payload: bytes) -> bytes:
 
 
 class Stream:
-    """What ``demux`` reads: program -> {pid: stream type}, errors, and the units of one elementary stream."""
+    """What ``demux`` reads: program -> {pid: stream type}, errors, and the units of the elementary streams."""
 
     def __init__(self) -> None:
         self.programs: dict[int, dict[int, int]] = {}
-        self.packets = self.sync_errors = self.crc_errors = self.continuity_errors = 0
+        self.packets = self.sync_errors = self.field_errors = self.crc_errors = self.continuity_errors = self.unit_errors = self.duplicates = 0
         self.units: list[tuple[int | None, bool, bytes]] = []  # (time stamp, random access, bytes)
 
     @property
@@ -124,63 +131,134 @@ class Stream:
         return b"".join(u[2] for u in self.units)
 
 
-def _read_section(row: np.ndarray, start: int, out: Stream) -> bytes | None:
-    raw = row[start:].tobytes()
-    s = raw[1 + raw[0] :]
-    size = 3 + (struct.unpack(">H", s[1:3])[0] & 0x0FFF)
-    if size > len(s) or crc32_mpeg(s[:size]):
+class _Packets:
+    """Whole packets with a sound header, as rows of bytes."""
+
+    def __init__(self, data: bytes, out: Stream) -> None:
+        rows = np.frombuffer(data, np.uint8)[: len(data) // PACKET * PACKET].reshape(-1, PACKET)
+        out.packets = len(rows)
+        good = rows[:, 0] == SYNC
+        out.sync_errors = int((~good).sum())
+        field = rows[:, 4].astype(np.int32) * (rows[:, 3] >> 5 & 1)
+        sound = good & (field <= np.where(rows[:, 3] & 0x10, PACKET - 6, PACKET - 5))
+        out.field_errors = int((good & ~sound).sum())
+        self.rows = rows = rows[sound]
+        self.pid = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
+        self.has_field = rows[:, 3] & 0x20 != 0
+        self.start = np.where(self.has_field, 5 + field[sound], 4)
+        self.begins = rows[:, 1] & 0x40 != 0
+        self.flags = np.where(self.has_field & (self.start > 5), rows[:, 5], 0)
+
+    def of(self, pid: int, out: Stream) -> tuple[np.ndarray, np.ndarray]:
+        """The packets of a pid that carry payload, each once, and whether packets are missing before each."""
+        at = np.flatnonzero((self.pid == pid) & (self.rows[:, 3] & 0x10 != 0))
+        if not len(at):
+            return at, np.empty(0, bool)
+        cc = self.rows[at, 3] & 15
+        step = np.concatenate(([1], (cc[1:] - cc[:-1]) & 15))
+        same = np.flatnonzero(step == 0)
+        twice = np.zeros(len(at), bool)
+        twice[same] = (self.rows[at[same]] == self.rows[at[same - 1]]).all(axis=1)
+        again = twice & np.concatenate(([False], twice[:-1]))  # a packet may be sent twice, not three times
+        gap = (step != 1) & ~twice & (self.flags[at] & 0x80 == 0)
+        out.duplicates += int(twice.sum())
+        out.continuity_errors += int((gap | again).sum())
+        return at[~twice], gap[~twice]
+
+    def body(self, i: int) -> bytes:
+        return self.rows[i, self.start[i] :].tobytes()
+
+
+def _sections(packets: _Packets, pid: int, out: Stream):
+    """Table id, number and body of the whole sections of a pid; a section may span packets, a packet hold several."""
+    held: bytes | None = None
+    for i, gap in zip(*packets.of(pid, out), strict=True):
+        body = packets.body(i)
+        if gap and held:
+            out.crc_errors += 1
+            held = None
+        if packets.begins[i]:
+            new = 1 + body[0] if body else 1
+            if held:
+                if (yield from _cut(held + body[1:new], out)):
+                    out.crc_errors += 1
+            held = body[new:] if new <= len(body) else None
+        elif held is not None:
+            held += body
+        if held:
+            held = yield from _cut(held, out)
+    if held:
         out.crc_errors += 1
+
+
+def _cut(data: bytes, out: Stream):
+    """Yields the whole sections at the front; returns what is left."""
+    while len(data) >= 3 and data[0] != 0xFF:
+        size = 3 + (struct.unpack(">H", data[1:3])[0] & 0x0FFF)
+        if size > len(data):
+            return data
+        if size < 12 or crc32_mpeg(data[:size]):
+            out.crc_errors += 1
+        else:
+            yield data[0], struct.unpack(">H", data[3:5])[0], data[8 : size - 4]
+        data = data[size:]
+    return b"" if not data or data[0] == 0xFF else data
+
+
+def _streams(section: bytes) -> dict[int, int]:
+    """pid -> stream type of a program map."""
+    at, out = 4 + (struct.unpack(">H", section[2:4])[0] & 0x0FFF) if len(section) >= 4 else 0, {}
+    while at and at + 5 <= len(section):
+        kind, p, more = struct.unpack(">BHH", section[at : at + 5])
+        out[p & 0x1FFF] = kind
+        at += 5 + (more & 0x0FFF)
+    return out
+
+
+def _unit(pes: bytes) -> tuple[int | None, bytes] | None:
+    """Time stamp and body of a PES packet; None if its header is damaged or it is shorter than it says."""
+    if len(pes) < 9 or pes[:3] != b"\0\0\1" or 9 + pes[8] > len(pes):
+        return None
+    t = None
+    if pes[7] & 0x80:
+        if pes[8] < 5:
+            return None
+        p = pes[9:14]
+        t = (p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1
+    size = struct.unpack(">H", pes[4:6])[0]
+    if size and 6 + size > len(pes):
         return None
-    return s[8 : size - 4]
+    return t, pes[9 + pes[8] : 6 + size if size else len(pes)]
 
 
 def demux(data: bytes) -> Stream:
-    """Parses a transport stream of whole packets; damaged packets are counted and left out."""
+    """Parses a transport stream of whole packets; what is damaged is counted and left out, whatever the bytes are."""
     out = Stream()
-    rows = np.frombuffer(data, np.uint8)[: len(data) // PACKET * PACKET].reshape(-1, PACKET)
-    out.packets = len(rows)
-    good = rows[:, 0] == SYNC
-    out.sync_errors = int((~good).sum())
-    rows = rows[good]
-    pid = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
-    control = rows[:, 3] >> 4 & 3
-    start = np.where(control & 2, 5 + rows[:, 4].astype(np.int32), 4)
-    begins = (rows[:, 1] & 0x40) != 0
+    packets = _Packets(data, out)
     maps: dict[int, int] = {}
-    for i in np.flatnonzero((pid == 0) & begins):
-        if s := _read_section(rows[i], start[i], out):
-            maps |= {p & 0x1FFF: n for n, p in struct.iter_unpack(">HH", s) if n}
-    for i in np.flatnonzero(np.isin(pid, list(maps)) & begins) if maps else ():
-        if s := _read_section(rows[i], start[i], out):
-            at, streams = 4 + (struct.unpack(">H", s[2:4])[0] & 0x0FFF), {}
-            while at + 5 <= len(s):
-                kind, p, more = struct.unpack(">BHH", s[at : at + 5])
-                streams[p & 0x1FFF] = kind
-                at += 5 + (more & 0x0FFF)
-            out.programs[maps[int(pid[i])]] = streams
-    for es in sorted({p for x in out.programs.values() for p in x}):
-        at = np.flatnonzero((pid == es) & ((control & 1) != 0))
-        if not len(at):
-            continue
-        cc = rows[at, 3] & 15
-        out.continuity_errors += int((((cc[1:] - cc[:-1]) & 15) != 1).sum())
-        heads = np.flatnonzero(begins[at])
-        for a, b in zip(heads, [*heads[1:], len(at)], strict=True):
+    for table, _, s in _sections(packets, 0, out):
+        if table == 0:
+            maps |= {p & 0x1FFF: n for n, p in struct.iter_unpack(">HH", s[: len(s) // 4 * 4]) if n}
+    for pid in sorted(maps):
+        for table, number, s in _sections(packets, pid, out):
+            if table == 2:
+                out.programs[number] = _streams(s)
+    for es in sorted({p for x in out.programs.values() for p in x} - {0} - set(maps)):
+        at, gap = packets.of(es, out)
+        heads = np.flatnonzero(packets.begins[at])
+        out.unit_errors += bool(len(at) and not (len(heads) and heads[0] == 0))  # packets before the first unit begins
+        for a, b in zip(heads, [*heads, len(at)][1:], strict=True):
             part = at[a:b]
-            first, whole = rows[part[0]], start[part] == 4
+            whole = packets.start[part] == 4
             if len(part) > 2 and whole[1:-1].all():
-                pes = first[start[part[0]] :].tobytes() + rows[part[1:-1], 4:].tobytes() + rows[part[-1], start[part[-1]] :].tobytes()
+                pes = packets.body(part[0]) + packets.rows[part[1:-1], 4:].tobytes() + packets.body(part[-1])
+            else:
+                pes = b"".join(map(packets.body, part))
+            unit = None if gap[a + 1 : b].any() else _unit(pes)
+            if unit is None:
+                out.unit_errors += 1
             else:
-                pes = b"".join(rows[i, start[i] :].tobytes() for i in part)
-            if pes[:3] != b"\0\0\1":
-                continue
-            t = None
-            if pes[7] & 0x80:
-                p = pes[9:14]
-                t = (p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1
-            size = struct.unpack(">H", pes[4:6])[0]
-            flagged = bool(rows[part[0], 3] & 0x20 and rows[part[0], 4] and rows[part[0], 5] & 0x40)
-            out.units.append((t, flagged, pes[9 + pes[8] : 6 + size if size else len(pes)]))
+                out.units.append((unit[0], bool(packets.flags[part[0]] & 0x40), unit[1]))
     return out
 
 
@@ -193,7 +271,7 @@ def feature(s: Stream) -> str:
     p = counts[counts > 0] / max(1, len(body))
     programs = ";".join(f"{n}={','.join(f'{k}:{v}' for k, v in sorted(x.items()))}" for n, x in sorted(s.programs.items()))
     return (
-        f"programs {programs} packets {s.packets} sync {s.sync_errors} crc {s.crc_errors} continuity {s.continuity_errors} units {len(s.units)} "
+        f"programs {programs} packets {s.packets} sync {s.sync_errors} field {s.field_errors} crc {s.crc_errors} continuity {s.continuity_errors} duplicates {s.duplicates} units {len(s.units)} damaged {s.unit_errors} "
         f"pts {min(times, default=-1)}-{max(times, default=-1)} rap {len(raps)} last_rap {max(raps, default=-1)} entropy {max(0.0, -float((p * np.log2(p)).sum())):.4f}"
     )
 
