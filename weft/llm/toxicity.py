@@ -2,15 +2,16 @@
 
 Words are hashed into buckets; buckets have embeddings; filters of widths 1 to 3 run over the whole text, each
 is pooled to its maximum, and a logistic layer scores the pooled features. Training uses a bounded sample of
-labelled rows (``SAMPLE``, the rows of least hash; a fixed number, so their broadcast and the driver's share
-are bounded). A held-back part of the sample sets the score's scale and, by language, the thresholds.
+labelled rows: those of least hash, ``SAMPLE`` at most, as many as hold ``SAMPLE_WORDS`` words in all; each text in
+it is whole. Executors hash its words, so the driver gets bucket numbers, 4 bytes a word, and no text. A held-back part of the sample sets the score's scale and, by language, the thresholds.
 
 Scoring is one Arrow function over all documents: filters are precomputed per bucket, so a text costs a few table
 look-ups per word; there is no shuffle of texts. labels, lang, source and doc_id are no inputs of the score;
 the thresholds by language give the extra column flagged_by_lang only.
 
 Defined results: a null or empty text is scored as a text without known words; an empty table gives an empty result; without
-any label of both kinds the score is 0 everywhere; repeated rows are scored alike; other columns are not read.
+any label of both kinds the score is 0 everywhere; repeated rows are scored alike, and train once; of texts that
+share a doc_id the one of least hash trains; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, pieces, table, texts
+from .common import batch_of, pieces, shared_dir, table, texts, written
 
-SAMPLE, SEED = 6000, 7
+SAMPLE, SAMPLE_WORDS, SEED = 6000, 6_000_000, 7
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 20, 8, 6, (1, 2, 3)
 EPOCHS, RATE, BATCH, LEAST_DOCS, DECAY = 6, 0.05, 32, 3, 1e-4
 PASS = 0.7
@@ -161,11 +162,10 @@ def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k])
 
 
-def train(rows: list[tuple[str, str | None, int]]) -> tuple[Net, dict[str, float]]:
-    """The network and the scores at which each language's F1 is best; rows: (text, lang, label)."""
+def train(rows: list[tuple[list[int], str | None, int]]) -> tuple[Net, dict[str, float]]:
+    """The network and the scores at which each language's F1 is best; rows: (buckets of the words, lang, label)."""
     y = np.array([r[2] for r in rows], np.int64)
-    hasher = Hasher()
-    xs = [hasher.text(r[0] or "") for r in rows]
+    xs = [np.array(r[0], np.int64) for r in rows]
     if not y.any() or y.all():
         net = Net(np.empty(0, np.int64), np.empty(0))
         net.a, net.shift = 0.0, 0.0
@@ -206,11 +206,35 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[tuple[str, str | None, int]]:
-    """At most ``size`` labelled texts outside the held-out third, chosen by hash."""
-    some = labels.where("toxic is not null and doc_id is not null").where(~held_out()).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    rows = texts(docs, "lang").join(F.broadcast(some), "doc_id").select("doc_id", "text", "lang", "toxic").collect()
-    return [(r.text, r.lang, int(r.toxic)) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+_HASHED = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("lang", pa.string()), ("toxic", pa.int32()), ("n", pa.int64()), ("buckets", pa.list_(pa.int32()))])
+HASHED = "doc_id long, t long, lang string, toxic int, n long, buckets array<int>"
+
+
+def _hash(batches):
+    hasher = Hasher()
+    for batch in pieces(batches, "text"):
+        found = [hasher.text(t).astype(np.int32) for t in batch.column("text").to_pylist()]
+        yield batch_of(_HASHED, {c: batch.column(c) for c in ("doc_id", "t", "lang", "toxic")} | {"n": [len(x) for x in found], "buckets": found})
+
+
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, most_words: int = SAMPLE_WORDS) -> list[tuple[list[int], str | None, int]]:
+    """Buckets, language and label of at most ``size`` labelled texts outside the held-out third, chosen by hash, with ``most_words`` words at most."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    some = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(*order).limit(size)
+    # Up to ``size`` rows of two numbers: broadcast by a bound, not by an estimate.
+    rows = texts(docs, "lang").withColumn("t", F.xxhash64("text")).join(F.broadcast(some), "doc_id").select("doc_id", "t", "lang", "toxic", "text").mapInArrow(_hash, HASHED)
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("t", "lang", "toxic", "n", "buckets")).alias("r")).select("doc_id", "r.*")
+    one = written(one.withColumn("place", F.xxhash64("doc_id")), f"{shared_dir(docs.sparkSession)}/sample")
+    total, last = 0, None
+    for r in sorted(one.select("place", "doc_id", "n").collect()):
+        total += r.n
+        if total > most_words:
+            break
+        last = (r.place, r.doc_id)
+    if last is None:
+        return []
+    upto = (F.col("place") < last[0]) | ((F.col("place") == last[0]) & (F.col("doc_id") <= last[1]))
+    return [(r.buckets, r.lang, r.toxic) for r in sorted(one.where(upto).collect(), key=lambda r: r.doc_id)]
 
 
 SCORED = "doc_id long, lang string, score double"
