@@ -4,14 +4,16 @@ A page is read into a token stream of container tags (with their classes) and te
 sub-streams fold into repeated groups. The streams of a host are aligned one after another with the wrapper so
 far: where they differ, what one side lacks becomes an optional group, adjoining equal groups become repeated
 ones, and differing strings become text slots. Equal streams count once, so the first shuffle carries a row for each
-distinct stream of a host and partition; streams are folded in ``SALTS`` parts per host and then the parts.
+distinct stream of a host and partition. A host's streams are folded in a tree: about ``FAN`` of them, or of the
+wrappers of the level below, in a task's group, with as many levels as the largest host needs.
 
 A wrapper's slots are its leaves. Each page is matched against its host's wrapper, block by block from the left: on
 within the innermost repeated group, or that group again, or further on. Statistics of each slot over all pages of the
 host decide which belong to the article: slots below article or main elements; without such, all but those of the
-template, whose string is the same on all pages that have it, these being ``ENOUGH_PAGES`` and half of the host's at
-least and not copies of one page. Menus, headers, footers, sidebars, notices, adverts, forms and comments are left
-out by element or class name wherever they stand. A page's text is that of its blocks in article slots.
+template, whose string is the same on all pages that have it, these being half of the host's at least and not copies
+of one page. Where less than a tenth of a host's text varies, its pages are copies and have no template. Menus, headers, footers, sidebars, notices, adverts, forms and comments are left
+out by element or class name wherever they stand, but for the header of an article, which holds its headline. Class names that tell of a state ("no-sidebar",
+"comments-open") don't count. A page's text is that of its blocks in article slots.
 
 Wrappers (compressed) are small, but there is one for each host: the joins leave broadcasting to the planner's size
 check, and split a host that holds a third of the pages.
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, pieces, shared_dir, table, written
 
-SALTS, ENOUGH_PAGES = 16, 3
+FAN = 64
+COPIES = 0.1  # the share of a host's text that varies at least, unless its pages are copies
 #: Alignments of more cells are split, so that memory follows this.
 CELLS = 4_000_000
 # HTML's elements by role.
@@ -52,12 +55,25 @@ OUT_NAMES = frozenset(
 )
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 MAIN = frozenset(("article", "main"))
+IN_HEAD = frozenset("base link meta".split()) | RAW
+# Words of class names that tell of a state: "no-sidebar", "has-menu"; "comments-open", "sidebar-left".
+NOT_FIRST = frozenset("no not non without with has hide hidden is".split())
+NOT_LAST = frozenset("open opened closed on off left right enabled disabled fixed sticky active true false none".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Quotes open a value after an equals sign only; elsewhere they are part of a name.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
+def words_of_names(value: str):
+    """The words of class names, without those that tell of a state."""
+    for name in value.lower().split():
+        found = _NAME.findall(name)
+        if len(found) < 2 or found[0] not in NOT_FIRST and found[-1] not in NOT_LAST:
+            yield from found
+
+
 def events(page: str):
     """('open', tag, names) / ('close', tag, None) of containers and ('text', string, None); inline tags are dropped, br is a blank."""
     at, end = 0, len(page)
@@ -84,7 +100,7 @@ def events(page: str):
         if m[1]:
             yield "close", tag, None
             continue
-        names = tuple(sorted({n for a in _ATTRIBUTE.finditer(m[3]) for n in _NAME.findall((a[2] or a[3] or a[4] or "").lower())})) if m[3] else ()
+        names = tuple(sorted({n for a in _ATTRIBUTE.finditer(m[3]) for n in words_of_names(a[2] or a[3] or a[4] or "")})) if m[3] else ()
         yield "open", tag, names
         if tag in VOID or m[3].endswith("/"):
             yield "close", tag, None
@@ -100,17 +116,17 @@ def blocks(page: str):
         parts.clear()
         return [(tuple(k for _, k in stack), text)] if text else []
 
-    head = False
+    head = False  # ends with its tag, or with anything that can't stand in it
     for kind, what, names in events(page):
         if kind == "text":
+            head = head and not what.strip()
             if not head:
                 parts.append(what)
             continue
         if what == "head":
             head = kind == "open"
             continue
-        if head and what == "body":
-            head = False
+        head = head and what in IN_HEAD
         yield from flush()
         if kind == "open":
             if what in CLOSES_P and any(t == "p" for t, _ in stack):
@@ -306,10 +322,12 @@ def _slots(wrapper: bytes) -> Slots:
 
 
 def excluded(path: tuple[str, ...] | list[str]) -> bool:
+    inside = False  # of an article
     for part in path:
         tag, *names = part.split(".")
-        if tag in OUT_TAGS or tag not in ("html", "body", "main", "article") and any(n in OUT_NAMES or n in OUT_ROLES for n in names) or tag == "article" and "comment" in names:
+        if tag in OUT_TAGS and not (tag == "header" and inside) or tag not in ("html", "body", "main", "article") and any((n in OUT_NAMES or n in OUT_ROLES) and not (inside and n == tag == "header") for n in names) or tag == "article" and "comment" in names:
             return True
+        inside |= tag in MAIN
     return False
 
 
@@ -327,12 +345,12 @@ def _read(batches):
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(nodes, pa.string())], names=["host", "wrapper"])
 
 
-_FILLED = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("path", pa.string())] + [(n, pa.int64()) for n in ("pages", "low", "high", "page_low", "page_high")])
-FILLED = "host string, slot int, path string, pages long, low long, high long, page_low long, page_high long"
+_FILLED = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("path", pa.string())] + [(n, pa.int64()) for n in ("pages", "low", "high", "page_low", "page_high", "chars")])
+FILLED = "host string, slot int, path string, pages long, low long, high long, page_low long, page_high long, chars long"
 
 
 def _fill(batches):
-    """Rows of (host, slot): pages that have it, least and greatest hash of its text and of those pages; slot -1 stands for the page."""
+    """Rows of (host, slot): pages that have it, least and greatest hash of its text and of those pages, its characters; slot -1 stands for the page."""
     for batch in pieces(batches, "html"):
         found: dict[tuple[str, int], tuple] = {}
         for host, page, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
@@ -343,8 +361,8 @@ def _fill(batches):
                 of.setdefault(k, (key, []))[1].append(text)
             for k, (key, parts) in of.items():
                 h = zlib.crc32("\n".join(parts).encode())
-                _, n, low, high, least, most = found.get((host, k), (key, 0, h, h, whole, whole))
-                found[host, k] = (key, n + 1, min(low, h), max(high, h), min(least, whole), max(most, whole))
+                _, n, low, high, least, most, chars = found.get((host, k), (key, 0, h, h, whole, whole, 0))
+                found[host, k] = (key, n + 1, min(low, h), max(high, h), min(least, whole), max(most, whole), chars + sum(map(len, parts)))
         rows = [(*k, *x) for k, x in found.items()]
         yield batch_of(_FILLED, dict(zip(_FILLED.names, zip(*rows, strict=True), strict=True)))
 
@@ -366,8 +384,12 @@ def _fold_host(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 
 def _decide(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     total = int(frame["pages"][frame["slot"] == -1].sum())
-    slots = {int(r.slot): (r.path, r.low == r.high and r.page_low < r.page_high and r.pages >= max(ENOUGH_PAGES, total / 2)) for r in frame.itertuples() if r.slot >= 0}
-    return pd.DataFrame({"host": [key[0]], "article": [article_slots(slots)]})
+    rows = [r for r in frame.itertuples() if r.slot >= 0]
+    fixed = {r.slot for r in rows if r.low == r.high and r.page_low < r.page_high and 2 * r.pages >= total}
+    chars = [(r.slot in fixed, r.chars) for r in rows if not excluded(r.path.split("/"))]
+    if sum(n for x, n in chars if not x) < COPIES * sum(n for _, n in chars):
+        fixed = set()
+    return pd.DataFrame({"host": [key[0]], "article": [article_slots({int(r.slot): (r.path, r.slot in fixed) for r in rows})]})
 
 
 def hosted(pages: DataFrame) -> DataFrame:
@@ -378,12 +400,16 @@ def hosted(pages: DataFrame) -> DataFrame:
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (compressed JSON), article (the wrapper's slots that hold the article), from all pages."""
     folder = shared_dir(pages.sparkSession)
-    read = hosted(pages).select("host", "html").mapInArrow(_read, "host string, wrapper string").distinct()
-    parts = read.withColumn("salt", F.abs(F.hash("wrapper")) % SALTS).groupBy("host", "salt").applyInPandas(_fold_part, "host string, wrapper string")
+    parts = written(hosted(pages).select("host", "html").mapInArrow(_read, "host string, wrapper string").distinct(), f"{folder}/streams")
+    most, level = parts.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0, 0
+    while most > FAN:
+        # Groups of about FAN in the largest host; the hash differs by level, so that those of a group part again.
+        most, level = -(-most // FAN), level + 1
+        parts = parts.groupBy("host", F.pmod(F.xxhash64("wrapper", F.lit(level)), F.lit(most)).alias("part")).applyInPandas(_fold_part, "host string, wrapper string")
     whole = written(parts.groupBy("host").applyInPandas(_fold_host, "host string, wrapper binary"), f"{folder}/whole")
     filled = hosted(pages).join(whole, "host").select("host", "html", "wrapper").mapInArrow(_fill, FILLED)
     # A host's slots are bounded by its wrapper: one row for each.
-    told = filled.groupBy("host", "slot").agg(F.min("path").alias("path"), F.sum("pages").alias("pages"), *[F.min(c).alias(c) for c in ("low", "page_low")], *[F.max(c).alias(c) for c in ("high", "page_high")])
+    told = filled.groupBy("host", "slot").agg(F.min("path").alias("path"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), *[F.min(c).alias(c) for c in ("low", "page_low")], *[F.max(c).alias(c) for c in ("high", "page_high")])
     return whole.join(told.groupBy("host").applyInPandas(_decide, "host string, article array<int>"), "host")
 
 
