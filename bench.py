@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from weft.plans import catalog
 
-HEADLINE = ("d08_cic_density", "a09_overdensity_pdf", "d10_sph_2d", "d07_tetra_vertex_density", "m01_morphology", "m05_morphology_grid", "a06_jackknife", "a08_class_statistics", "j03_overlaps", "j08_best_match", "g06_main_branches", "w02_unwrap")
+HEADLINE = ("d08_cic_density", "a10_volume_pdf", "d10_sph_2d", "d07_tetra_vertex_density", "m01_morphology", "m05_morphology_grid", "a06_jackknife", "a08_class_statistics", "j03_overlaps", "j08_best_match", "g06_main_branches", "w02_unwrap")
 
 
 def main() -> None:

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from weft.plans import catalog
@@ -21,7 +22,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple(None if x != x else round(x, 4) if isinstance(x, float) else x for x in r) for r in frame.itertuples(index=False, name=None))
+    return sorted((tuple(None if pd.isna(x) else round(x, 4) if isinstance(x, float) else x for x in r) for r in frame.itertuples(index=False, name=None)), key=lambda r: [(x is None, str(x) if isinstance(x, str) else x if x is not None else 0) for x in r])
 
 
 @pytest.mark.parametrize("name", sorted(catalog.sql()))

@@ -2,29 +2,56 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.geometry import min_image
+from weft.functions.geometry import mass_to_radius, min_image, reference_density
+
+
+def _cells(a: str, reach, cell: float):
+    """The cells along an axis that a sphere meets."""
+    return F.sequence(F.floor((F.col(a) - reach) / cell), F.floor((F.col(a) + reach) / cell))
 
 
 def overlaps(halos: DataFrame, multiple: float, cell: float, *by: str) -> DataFrame:
     """Pairs (i, j), the larger radius first (ties: lesser id), whose spheres of multiple x radius meet; plain distances.
 
-    ``cell`` is at least the largest multiple x (r + r). Each halo is sent to the cells around its own, so pairs meet in
-    the cell of the larger one: an equi-join in which adaptive execution splits crowded cells."""
-    at = lambda a: F.floor(F.col(a) / cell).cast("int")
-    big = halos.select(*by, F.col("hid").alias("i"), *[F.col(a).alias(f"{a}1") for a in "xyz"], F.col("r").alias("r1"), *[at(a).alias(f"c{a}") for a in "xyz"])
-    around = F.array(*[F.struct(*[(at(a) + d).alias(f"c{a}") for a, d in zip("xyz", step, strict=True)]) for step in itertools.product((-1, 0, 1), repeat=3)])
-    small = halos.select(*by, F.col("hid").alias("j"), "x", "y", "z", "r", F.explode(around).alias("c")).select(*by, "j", "x", "y", "z", "r", "c.*")
+    The larger halo stays in its cell, the smaller is sent to all cells that could hold a larger one, given the largest
+    radius there is: no pair is lost, whatever the cell. Twice the usual reach makes that eight cells or fewer. Pairs meet by an
+    equi-join in which adaptive execution splits crowded cells."""
+    most = halos.agg(F.max("r").alias("r_max"))  # one row
+    big = halos.select(*by, F.col("hid").alias("i"), *[F.col(a).alias(f"{a}1") for a in "xyz"], F.col("r").alias("r1"), *[F.floor(F.col(a) / cell).alias(f"c{a}") for a in "xyz"])
+    small = halos.join(F.broadcast(most)).withColumn("reach", (F.col("r") + F.col("r_max")) * multiple)
+    for a in "xyz":
+        small = small.withColumn(f"c{a}", F.explode(_cells(a, F.col("reach"), cell)))
+    small = small.select(*by, F.col("hid").alias("j"), "x", "y", "z", "r", "cx", "cy", "cz")
     d2 = sum((F.col(f"{a}1") - F.col(a)) * (F.col(f"{a}1") - F.col(a)) for a in "xyz")
     larger = (F.col("r1") > F.col("r")) | ((F.col("r1") == F.col("r")) & (F.col("i") < F.col("j")))
     reach = (F.col("r1") + F.col("r")) * multiple
     return big.join(small, [*by, "cx", "cy", "cz"]).where(larger & (reach * reach >= d2)).select(*by, "i", "j")
 
 
+def adjacency(pairs: DataFrame) -> DataFrame:
+    """hid with the sorted ids of its hosts (larger) and its subhalos (smaller); a halo's lists are bounded by what lies within its reach."""
+    both = pairs.select(F.col("i").alias("hid"), F.lit(None).cast("long").alias("host"), F.col("j").alias("sub")).unionByName(pairs.select(F.col("j").alias("hid"), F.col("i").alias("host"), F.lit(None).cast("long").alias("sub")))
+    return both.groupBy("hid").agg(F.array_sort(F.collect_list("host")).alias("hosts"), F.array_sort(F.collect_list("sub")).alias("subs"))
+
+
+def neighbours(points: DataFrame, centres: DataFrame, radius: float, box: float, axes: str = "xyz") -> DataFrame:
+    """(cid, pid, distance) of all points strictly within ``radius`` of a centre, the short way around the box.
+
+    Cells of twice the radius or more: a centre is sent to the two cells along each axis that its sphere meets."""
+    n = max(1, int(box // (2 * radius)))
+    w = box / n
+    sent = centres.select("cid", *[F.col(a).alias(f"c{a}") for a in axes])
+    for a in axes:
+        cells = F.array_distinct(F.transform(F.sequence(F.floor((F.col(f"c{a}") - radius) / w), F.floor((F.col(f"c{a}") + radius) / w)), lambda k: F.pmod(k, F.lit(n))))
+        sent = sent.withColumn(f"k{a}", F.explode(cells))
+    held = points.select("pid", *axes, *[F.least(F.floor(F.col(a) / w), F.lit(n - 1)).alias(f"k{a}") for a in axes])
+    d = F.sqrt(sum(min_image(F.col(a) - F.col(f"c{a}"), box) * min_image(F.col(a) - F.col(f"c{a}"), box) for a in axes))
+    return sent.join(held, [f"k{a}" for a in axes]).select("cid", "pid", d.alias("distance")).where(F.col("distance") < radius)
+
+
 def hosts(pairs: DataFrame) -> DataFrame:
     """Counts of hosts (larger) and subhalos (smaller) of each halo in a pair."""
     both = pairs.select(F.col("i").alias("hid"), F.lit(0).alias("h"), F.lit(1).alias("s")).unionByName(pairs.select(F.col("j").alias("hid"), F.lit(1).alias("h"), F.lit(0).alias("s")))
@@ -33,12 +60,14 @@ def hosts(pairs: DataFrame) -> DataFrame:
 
 def best_match(targets: DataFrame, catalog: DataFrame, box: float, reach: float = 5.0, least: float = 0.05, weight: float = 0.3) -> DataFrame:
     """Each target's best match in the same snapshot: within reach (strict), mass above least x the target's (strict), the
-    least distance + weight x |log10 mass ratio|, ties to the least id. Cells of size reach or more wrap around."""
-    n = int(box // reach)
-    at = lambda a, d=0: F.pmod(F.least(F.floor(F.col(a) * n / box), F.lit(n - 1)) + d, F.lit(n)).cast("int")
-    around = F.array_distinct(F.array(*[F.struct(*[at(a, d).alias(f"c{a}") for a, d in zip("xyz", step, strict=True)]) for step in itertools.product((-1, 0, 1), repeat=3)]))
-    t = targets.select("tid", "snap", *[F.col(a).alias(f"t{a}") for a in "xyz"], F.col("m").alias("tm"), F.explode(around).alias("c")).select("tid", "snap", "tx", "ty", "tz", "tm", "c.*")
-    c = catalog.select("snap", "hid", "x", "y", "z", "m", *[at(a).alias(f"c{a}") for a in "xyz"])
+    least distance + weight x |log10 mass ratio|, ties to the least id. Cells of twice the reach or more wrap around, so a target is sent to eight of them."""
+    n = max(1, int(box // (2 * reach)))
+    w = box / n
+    t = targets.select("tid", "snap", *[F.col(a).alias(f"t{a}") for a in "xyz"], F.col("m").alias("tm"))
+    for a in "xyz":
+        cells = F.array_distinct(F.transform(F.sequence(F.floor((F.col(f"t{a}") - reach) / w), F.floor((F.col(f"t{a}") + reach) / w)), lambda k: F.pmod(k, F.lit(n))))
+        t = t.withColumn(f"c{a}", F.explode(cells))
+    c = catalog.select("snap", "hid", "x", "y", "z", "m", *[F.pmod(F.least(F.floor(F.col(a) / w), F.lit(n - 1)), F.lit(n)).alias(f"c{a}") for a in "xyz"])
     d = F.sqrt(sum(min_image(F.col(f"t{a}") - F.col(a), box) * min_image(F.col(f"t{a}") - F.col(a), box) for a in "xyz"))
     rows = t.join(c, ["snap", "cx", "cy", "cz"]).withColumn("distance", d).where((F.col("distance") < reach) & (F.col("m") > F.col("tm") * least))
     score = F.col("distance") + F.when((F.col("m") > 0) & (F.col("tm") > 0), weight * F.abs(F.log10(F.col("m") / F.col("tm")))).otherwise(0.0)
@@ -58,11 +87,35 @@ def first_sub(subhalos: DataFrame) -> DataFrame:
 
 
 def floor_lookup(points: DataFrame, ranges: DataFrame, block: int = 1024) -> DataFrame:
-    """The range (grp, start, length) that holds each idx; ranges are disjoint.
+    """The range (grp, start, length) that holds each idx, or nulls; ranges are disjoint.
 
     A range goes to every block of indices that it meets, so the join is on the block and a point meets at most
     the ranges of one block."""
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("length") - 1) / block)
-    spread = ranges.where("length > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    rows = points.withColumn("block", F.floor(F.col("idx") / block)).join(spread, "block")
-    return rows.where("idx >= start and idx < start + length").select("idx", "grp", "start")
+    spread = ranges.where("length > 0").withColumn("block_b", F.explode(F.sequence(first, last)))
+    rows = points.withColumn("block", F.floor(F.col("idx") / block))
+    inside = (F.col("block") == F.col("block_b")) & (F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("start") + F.col("length"))
+    return rows.join(spread, inside, "left").select("idx", "grp", "start")
+
+
+def of_group(subhalos: DataFrame, group: int) -> DataFrame:
+    """The subhalos of a group in order of rank."""
+    return subhalos.where(F.col("grp") == group).orderBy("rank")
+
+
+def catalog_order(subhalos: DataFrame) -> DataFrame:
+    """Subhalos with their index in the order of (group, rank): prefix sums over groups, then the place inside the group."""
+    w = Window.partitionBy("grp").orderBy("rank", "hid")
+    return subhalos.withColumn("inside", F.row_number().over(w) - 1).join(first_sub(subhalos).select("grp", "first_sub"), "grp").select("hid", "grp", "rank", (F.col("first_sub") + F.col("inside")).alias("idx"), "first_sub")
+
+
+def shifted(groups: DataFrame, shard_sizes: DataFrame) -> DataFrame:
+    """Groups of several shards with ``first_sub`` moved by the subhalos of the shards before; -1 (none) stays. Shards are counted, one row for each."""
+    before = F.coalesce(F.sum("n_subs").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return groups.join(shard_sizes.select("shard", before.alias("before")), "shard").withColumn("first_sub", F.when(F.col("first_sub") >= 0, F.col("first_sub") + F.col("before")).otherwise(-1)).drop("before")
+
+
+def by_radius(halos: DataFrame, kind: str, z: float, h0: float, omega_m: float, omega_l: float) -> DataFrame:
+    """hid, x, y, z, m, r with the radius that the mass has by the definition ``kind``, the largest first."""
+    rho = reference_density(kind, F.lit(z), h0, omega_m, omega_l)
+    return halos.select("hid", "x", "y", "z", "m", mass_to_radius(F.col("m"), rho, F.lit(1 / (1 + z))).alias("r")).orderBy(F.desc("r"), "hid")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,6 @@ def linear_bin(v: Column, low: float, high: float, n: int) -> Column:
 
 def log_bin(v: Column, low: float, high: float, n: int) -> Column:
     """As linear_bin over log10; values of 0 and less lie below."""
-    import math
-
     a, w = math.log10(low), (math.log10(high) - math.log10(low)) / n
     inside = F.least(F.greatest(F.floor((F.log10(v) - a) / w), F.lit(0)), F.lit(n - 1))
     return F.when(v.isNull() | F.isnan(v), None).when((v <= 0) | (v < low), -1).when(v >= high, n).otherwise(inside).cast("int")
@@ -49,9 +49,114 @@ def jackknife(df: DataFrame, bin_: Column, subbox: Column, n_bins: int, n_boxes:
 
 
 def percentiles(df: DataFrame, value: str, by: str, shares: tuple[float, ...]) -> DataFrame:
-    """Exact percentiles, mean and population deviation of all rows and of each group."""
+    """Exact percentiles, mean and population deviation of all rows and of each group, in one pass (a rollup)."""
     aggs = [F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), *[F.percentile(value, F.lit(q)).alias(f"p{round(q * 100)}") for q in shares]]
-    return df.groupBy(by).agg(*aggs).unionByName(df.agg(*aggs).select(F.lit("all").alias(by), "*"))
+    return df.withColumn(by, F.col(by).cast("string")).rollup(by).agg(*aggs).withColumn(by, F.coalesce(by, F.lit("all")))
+
+
+def value_range(df: DataFrame, value: str) -> DataFrame:
+    """One row: least, greatest, and least positive value."""
+    v = F.col(value)
+    return df.agg(F.min(v).alias("low"), F.max(v).alias("high"), F.min(F.when(v > 0, v)).alias("low_positive"))
+
+
+def auto_range(df: DataFrame, value: str, log: bool = False) -> tuple[float, float]:
+    """The ends of a histogram over all values: a hair above the greatest, from the least (positive one, if ``log``) on."""
+    r = value_range(df, value).first()
+    if log:
+        if r.low_positive is None:
+            raise ValueError("no value is positive")
+        return r.low_positive, r.high * 1.001
+    return r.low, r.high + (r.high - r.low) * 1e-10
+
+
+def centres(low: float, high: float, n: int, log: bool = False) -> list[float]:
+    """Middles of bins: of the logarithms, if ``log``."""
+    edges = log_edges(low, high, n) if log else [low + (high - low) * k / n for k in range(n + 1)]
+    return [(a * b) ** 0.5 if log else (a + b) / 2 for a, b in zip(edges, edges[1:])]
+
+
+def edge(k: Column, low: float, high: float, n: int) -> Column:
+    """The k-th edge of bins that are even in the logarithm."""
+    return low * F.pow(F.lit(high / low), k.cast("double") / float(n))
+
+
+def weighted_pdf(df: DataFrame, value: str, weight: Column, low: float, high: float, n: int, *by: str) -> DataFrame:
+    """bin, count, pdf of the in-range values (of each group), each with a weight: its share of the weights over the bin's width."""
+    v = F.col(value)
+    rows = df.select(*by, log_bin(v, low, high, n).alias("bin"), weight.alias("w")).where(F.col("bin").between(0, n - 1))
+    hist = rows.groupBy(*by, "bin").agg(F.count("*").alias("count"), F.sum("w").alias("w"))
+    width = edge(F.col("bin") + 1, low, high, n) - edge(F.col("bin"), low, high, n)
+    # A window over bins: n rows for each group at most.
+    return hist.withColumn("pdf", F.try_divide(F.col("w"), F.sum("w").over(Window.partitionBy(*by)) * width)).drop("w")
+
+
+def leave_one_out_pdf(df: DataFrame, bin_: Column, subbox: Column, n_bins: int, n_boxes: int, width: float) -> DataFrame:
+    """bin, pdf and error of the jackknife proper: PDFs of all rows but one subbox's, normalised by all values of these, in or out of range."""
+    rows = df.select(bin_.alias("bin"), subbox.alias("box"))
+    per = rows.groupBy("box", "bin").agg(F.count("*").alias("c"))
+    boxes = per.groupBy("box").agg(F.sum("c").alias("in_box"))
+    total = boxes.agg(F.sum("in_box").alias("total"))  # one row
+    inside = per.where(F.col("bin").between(0, n_bins - 1))
+    bins = inside.groupBy("bin").agg(F.sum("c").alias("in_bin"))
+    # Small: n_boxes rows times n_bins rows, built from the boxes that there are.
+    dense = bins.join(F.broadcast(boxes.join(F.broadcast(total)))).join(inside, ["box", "bin"], "left")
+    one = dense.select("bin", ((F.col("in_bin") - F.coalesce("c", F.lit(0))) / ((F.col("total") - F.col("in_box")) * width)).alias("x"))
+    s = float(n_boxes)
+    return one.groupBy("bin").agg(F.avg("x").alias("pdf"), F.sqrt(F.var_pop("x") * (s - 1)).alias("error"))
+
+
+def power_law(bins: DataFrame, low: float, high: float, n: int, fit_low: float, fit_high: float) -> DataFrame:
+    """Slope and intercept of log10 pdf against log10 of the bin's middle, over middles in [fit_low, fit_high]."""
+    middle = F.sqrt(edge(F.col("bin"), low, high, n) * edge(F.col("bin") + 1, low, high, n))
+    rows = bins.where(F.col("pdf") > 0).select(F.log10(middle).alias("x"), F.log10("pdf").alias("y"), middle.alias("m")).where(F.col("m").between(fit_low, fit_high))
+    return rows.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+
+
+def agreement(pairs: DataFrame, a: str, b: str, least: float = 0.999) -> DataFrame:
+    """One row: correlation of two maps, their mean and greatest relative difference after division by their means, and whether they agree."""
+    means = pairs.agg(F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"))  # one row
+    x, y = F.col(a) / F.col("mean_a"), F.col(b) / F.col("mean_b")
+    off = F.when(x > 0, F.abs(y - x) / x)
+    out = pairs.join(F.broadcast(means)).agg(F.corr(x, y).alias("correlation"), F.avg(off).alias("mean_difference"), F.max(off).alias("most_difference"))
+    return out.withColumn("passes", F.col("correlation") > least)
+
+
+def match_rate(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.agg(F.avg(F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)).alias("match_rate"))
+
+
+def count_quality(cells: DataFrame, n_cells: int, count: str = "n", low: int = 2) -> DataFrame:
+    """One row over all cells, met or not: how many are empty, how many hold few, and the mean count."""
+    met = cells.agg(F.count("*").alias("rows"), F.count_if(F.col(count) == 0).alias("zeros"), F.count_if(F.col(count) < low).alias("few"), F.coalesce(F.sum(count), F.lit(0)).alias("total"))
+    missing = F.lit(n_cells) - F.col("rows")
+    return met.select((F.col("zeros") + missing).alias("n_zero"), (F.col("few") + missing).alias("n_low"), (F.col("total") / float(n_cells)).alias("mean_count"))
+
+
+def void_masked(cells: DataFrame, value: str, count: str, threshold: int = 2, floor_share: float = 0.05) -> DataFrame:
+    """Adds ``masked``: cells with few particles get the given percentile of the others' values (0 if there are none)."""
+    floor = cells.agg(F.percentile(F.when(F.col(count) >= threshold, F.col(value)), F.lit(floor_share)).alias("_floor"))  # one row
+    return cells.join(F.broadcast(floor)).withColumn("masked", F.when(F.col(count) < threshold, F.coalesce("_floor", F.lit(0.0))).otherwise(F.col(value))).drop("_floor")
+
+
+def log_ready(df: DataFrame, value: str, share: float = 0.1) -> DataFrame:
+    """Adds ``floored``: values below a share of the least positive one are lifted to that."""
+    least = df.agg((F.min(F.when(F.col(value) > 0, F.col(value))) * share).alias("_least"))  # one row
+    return df.join(F.broadcast(least)).withColumn("floored", F.greatest(F.col(value), "_least")).drop("_least")
+
+
+def sigma_squared(power: DataFrame, radius: float, window, cell: float | None = None) -> DataFrame:
+    """One row: the variance of the field smoothed by ``window(k, radius)``, by trapezoids over (k, power); with the cells' own window, if ``cell`` is given."""
+    k = F.col("k")
+    w2 = window(k, radius) * window(k, radius)
+    if cell is not None:
+        x = k * (cell / 2)
+        s = F.when(x == 0, 1.0).otherwise(F.sin(x) / x)
+        w2 = w2 * s * s * s * s * s * s
+    f = (k * k * F.col("power") * w2 / (2 * math.pi**2)).alias("f")
+    order = Window.orderBy("k")  # a spectrum has a row for each shell
+    steps = power.select("k", f).select(((F.lead("k").over(order) - F.col("k")) * (F.lead("f").over(order) + F.col("f")) / 2).alias("part"))
+    return steps.agg(F.sum("part").alias("sigma_squared"))
 
 
 def suffix_max(df: DataFrame, value: str, by: str, *order: str) -> DataFrame:
@@ -59,6 +164,12 @@ def suffix_max(df: DataFrame, value: str, by: str, *order: str) -> DataFrame:
     return df.withColumn("suffix_max", F.max(value).over(w))
 
 
+def gram(df: DataFrame, vector: str, size: int) -> DataFrame:
+    """(i, j, v) of the products of a vector column summed over all rows, indices from 1: outer products are added up inside each task, size x size rows a task leave it."""
+    pairs = F.flatten(F.transform(vector, lambda a, i: F.transform(vector, lambda b, j: F.struct((i + 1).alias("i"), (j + 1).alias("j"), (a.cast("double") * b.cast("double")).alias("v")))))
+    return df.select(F.inline(pairs)).groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     """The product of sparse matrices (i, k, v) and (k, j, v)."""
     rows = a.join(b.withColumnRenamed("v", "w"), "k")

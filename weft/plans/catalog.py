@@ -51,16 +51,20 @@ _OD = f"od AS (SELECT density / ((SELECT sum(mass) FROM particles) / {BOX**3}) A
 _LOG = "CASE WHEN {v} <= 0 OR {v} < {lo} THEN -1 WHEN {v} >= {hi} THEN {n} ELSE least(greatest(floor((log10({v}) - log10({lo})) / ((log10({hi}) - log10({lo})) / {n})), 0), {n} - 1) END"
 
 
+CELLS = f"cells AS (SELECT CAST(i % {N} AS INT) AS ix, CAST(i // {N} % {N} AS INT) AS iy, CAST(i // {N * N} AS INT) AS iz, coalesce(density, 0) AS density FROM range({N**3}) r(i) LEFT JOIN cic ON ix = i % {N} AND iy = i // {N} % {N} AND iz = i // {N * N})"
+
+
 @query(
-    "a09_overdensity_pdf",
-    f"""WITH {lenses.PARTICLES}, {CIC}, {_OD}, h AS (SELECT CAST({_LOG.format(v="od", lo="0.0137::DOUBLE", hi="41.7::DOUBLE", n=24)} AS INT) AS bin, count(*) AS count FROM od GROUP BY 1)
+    "a10_volume_pdf",
+    f"""WITH {lenses.PARTICLES}, {CIC}, {CELLS}, {_OD.replace("FROM cic", "FROM cells")}, h AS (SELECT CAST({_LOG.format(v="od", lo="0.0137::DOUBLE", hi="41.7::DOUBLE", n=24)} AS INT) AS bin, count(*) AS count FROM od GROUP BY 1)
     SELECT bin, count, round(count / ((SELECT sum(count) FROM h WHERE bin BETWEEN 0 AND 23) * 0.0137::DOUBLE * (pow(41.7::DOUBLE / 0.0137, (bin + 1) / 24.0::DOUBLE) - pow(41.7::DOUBLE / 0.0137, bin / 24.0::DOUBLE))), 6) AS pdf
     FROM h WHERE bin BETWEEN 0 AND 23""",
 )
 def pdf_of_box(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: particles to cells to overdensities to their density of probability."""
+    """The flagship: particles to cells to overdensities to their density of probability; an empty cell lies below the range."""
+    cells = density.dense(grid(spark, d), N, "density")
     mean = lenses.particles(spark, d).agg((F.sum("mass") / BOX**3).alias("mean"))
-    od = grid(spark, d).join(F.broadcast(mean)).select((F.col("density") / F.col("mean")).alias("od"))  # one row
+    od = cells.join(F.broadcast(mean)).select((F.col("density") / F.col("mean")).alias("od"))  # one row
     hist = stats.counts(od, stats.log_bin(F.col("od"), 0.0137, 41.7, 24))
     b, step = F.col("bin"), 41.7 / 0.0137
     width = 0.0137 * (F.pow(F.lit(step), (b + 1) / 24.0) - F.pow(F.lit(step), b / 24.0))
@@ -86,20 +90,37 @@ def _(spark, d):
     return density.ngp(lenses.particles(spark, d), BOX, N, F.count("*").alias("n"), r6(F.avg("v"), "v"))
 
 
-_GRAD = " UNION ALL ".join(
-    f"SELECT {', '.join(f'CAST((i{a} + {step if a == axis else 0} + {N}) % {N} AS INT) AS i{a}' for a in 'xyz')}, {', '.join(f'density * ({sign if a == axis else 0}) / {2 * W} AS g{a}' for a in 'xyz')} FROM cic"
-    for axis in "xyz" for step, sign in ((1, -1), (-1, 1))
-)
+def _seen(src: str, values: tuple[str, ...], reach: int) -> str:
+    """FROM clause: every cell that is, or has a neighbour, in ``src``, with the values around it as in density.around."""
+    steps = [(a, d) for a in "xyz" for d in range(-reach, reach + 1) if d]
+    place = lambda axis, d: ", ".join(f"CAST((i{a} - ({d if a == axis else 0}) + {N}) % {N} AS INT) AS i{a}" for a in "xyz")
+    keys = " UNION ".join(f"SELECT {place(a, d)} FROM {src}" for a, d in [("x", 0), *steps])
+    joins = " ".join(
+        f"LEFT JOIN {src} {a}_{'p' if d > 0 else 'm'}{abs(d)} ON " + " AND ".join(f"{a}_{'p' if d > 0 else 'm'}{abs(d)}.i{b} = (k.i{b} + ({d if a == b else 0}) + {N}) % {N}" for b in "xyz") for a, d in steps
+    )
+    cols = ", ".join(f"coalesce({a}_{'p' if d > 0 else 'm'}{abs(d)}.{v}, 0) AS {v}_{a}_{'p' if d > 0 else 'm'}{abs(d)}" for v in values for a, d in steps)
+    return f"(SELECT k.ix, k.iy, k.iz, {cols} FROM ({keys}) k {joins})"
+
+
+def _slope(v: str, a: str, order: int = 2) -> str:
+    if order == 2:
+        return f"(({v}_{a}_p1 - {v}_{a}_m1) / {2 * W})"
+    return f"((8.0::DOUBLE * ({v}_{a}_p1 - {v}_{a}_m1) - ({v}_{a}_p2 - {v}_{a}_m2)) / {12 * W})"
 
 
-@query("d20_gradient", f"WITH {lenses.PARTICLES}, {CIC}, s AS ({_GRAD}) SELECT ix, iy, iz, round(sum(gx), 5) + 0 AS gx, round(sum(gy), 5) + 0 AS gy, round(sum(gz), 5) + 0 AS gz FROM s GROUP BY ALL")
+@query("d20_gradient", f"WITH {lenses.PARTICLES}, {CIC} SELECT ix, iy, iz, {', '.join(f'round({_slope("density", a)}, 5) + 0 AS g{a}' for a in 'xyz')} FROM {_seen('cic', ('density',), 1)}")
 def _(spark, d):
     return density.gradient(grid(spark, d), N, W).select("ix", "iy", "iz", *[(F.round(f"g{a}", 5) + 0).alias(f"g{a}") for a in "xyz"])
 
 
-@query("a17_grid_variance", f"WITH {lenses.PARTICLES}, {CIC} SELECT round(var_pop(density), 6) AS variance, round(min(density), 6) AS low, round(max(density), 6) AS high FROM cic")
+@query("d20_gradient_4", f"WITH {lenses.PARTICLES}, {CIC} SELECT ix, iy, iz, {', '.join(f'round({_slope("density", a, 4)}, 5) + 0 AS g{a}' for a in 'xyz')} FROM {_seen('cic', ('density',), 2)}")
+def _(spark, d):
+    return density.gradient(grid(spark, d), N, W, order=4).select("ix", "iy", "iz", *[(F.round(f"g{a}", 5) + 0).alias(f"g{a}") for a in "xyz"])
+
+
+@query("a17_grid_variance", f"WITH {lenses.PARTICLES}, {CIC}, {CELLS} SELECT round(var_pop(density), 6) AS variance, round(min(density), 6) AS low, round(max(density), 6) AS high FROM cells")
 def _(spark, d):
-    return grid(spark, d).agg(r6(F.var_pop("density"), "variance"), r6(F.min("density"), "low"), r6(F.max("density"), "high"))
+    return density.dense(grid(spark, d), N, "density").agg(r6(F.var_pop("density"), "variance"), r6(F.min("density"), "low"), r6(F.max("density"), "high"))
 
 
 _H = 3.0
@@ -147,7 +168,7 @@ def _(spark, d):
     return stats.jackknife(lenses.particles(spark, d), stats.linear_bin(F.col("mass"), 0.5, 50.5, 25), box, 25, 8).select("bin", r6(F.col("mean"), "mean"), r6(F.col("error"), "error"))
 
 
-_SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
+_SHARES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 _P = ", ".join(f"round(quantile_cont(o_totalprice, {q}), 4) AS p{round(q * 100)}" for q in _SHARES)
 
 
@@ -162,10 +183,17 @@ def _(spark, d):
     return stats.suffix_max(lenses.tree(spark, d), "mass", "tree", "snap").select("node", "suffix_max")
 
 
-@query("a22_power_law", f"WITH h AS (SELECT CAST({_L} AS INT) AS bin, count(*) AS count FROM orders GROUP BY 1) SELECT round(regr_slope(log10(count), bin), 6) AS slope, round(regr_intercept(log10(count), bin), 6) AS intercept FROM h WHERE bin BETWEEN 0 AND 29")
+_EDGE = "(1234.5::DOUBLE * pow(456789.1::DOUBLE / 1234.5::DOUBLE, {k} / 30.0::DOUBLE))"
+_MIDDLE = f"sqrt({_EDGE.format(k='bin')} * {_EDGE.format(k='(bin + 1)')})"
+
+
+@query(
+    "a22_power_law",
+    f"WITH h AS (SELECT CAST({_L} AS INT) AS bin, count(*) AS count FROM orders GROUP BY 1), p AS (SELECT {_MIDDLE} AS m, count / ((SELECT sum(count) FROM h WHERE bin BETWEEN 0 AND 29) * ({_EDGE.format(k='(bin + 1)')} - {_EDGE.format(k='bin')})) AS pdf FROM h WHERE bin BETWEEN 0 AND 29) SELECT round(regr_slope(log10(pdf), log10(m)), 6) AS slope, round(regr_intercept(log10(pdf), log10(m)), 6) AS intercept FROM p WHERE m BETWEEN 20000 AND 400000",
+)
 def _(spark, d):
-    h = Q["a02_histogram_log"](spark, d).where(F.col("bin").between(0, 29))
-    return h.agg(r6(F.regr_slope(F.log10("count"), F.col("bin").cast("double")), "slope"), r6(F.regr_intercept(F.log10("count"), F.col("bin").cast("double")), "intercept"))
+    h = stats.weighted_pdf(lenses.table(spark, d, "orders").select("o_totalprice"), "o_totalprice", F.lit(1.0), 1234.5, 456789.1, 30)
+    return stats.power_law(h, 1234.5, 456789.1, 30, 20000.0, 400000.0).select(r6(F.col("slope"), "slope"), r6(F.col("intercept"), "intercept"))
 
 
 @query("p02_lagrangian", f"WITH {lenses.LATTICE} SELECT pid, lx, ly, lz, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM lattice")
@@ -209,52 +237,102 @@ def _edge(k: str, a: str) -> str:
 
 def _volume(walk: list[str]) -> str:
     u, v, w = ([_edge(k, a) for a in "xyz"] for k in walk[1:])
-    return f"abs({u[0]} * ({v[1]} * {w[2]} - {v[2]} * {w[1]}) - {u[1]} * ({v[0]} * {w[2]} - {v[2]} * {w[0]}) + {u[2]} * ({v[0]} * {w[1]} - {v[1]} * {w[0]})) / 6"
+    return f"abs({u[0]} * ({v[1]} * {w[2]} - {v[2]} * {w[1]}) - {u[1]} * ({v[0]} * {w[2]} - {v[2]} * {w[0]}) + {u[2]} * ({v[0]} * {w[1]} - {v[1]} * {w[0]})) "
 
 
 _PARTS = " UNION ALL ".join(f"SELECT unnest([{', '.join(f'p{k}.pid' for k in walk)}]) AS pid, {_volume(walk)} AS v FROM lattice o {_JOINS}" for walk in _TETRA)
 
 
-@query("d07_tetra_vertex_density", f"WITH {lenses.LATTICE}, t AS ({_PARTS}) SELECT pid, count(*) AS n_tetra, round(sum(v) / 4, 5) AS volume FROM t GROUP BY pid")
+VERTICES = f"t AS ({_PARTS}), vols AS (SELECT pid, count(*) AS n_tetra, sum(v) / 24.0::DOUBLE AS volume, CASE WHEN sum(v) > 0 THEN count(*) / 24.0::DOUBLE / (sum(v) / 24.0::DOUBLE) ELSE 0 END AS raw FROM t GROUP BY pid)"
+
+
+@query("d07_tetra_vertex_density", f"WITH {lenses.LATTICE}, {VERTICES} SELECT pid, n_tetra, round(volume, 5) AS volume, round(raw / (SELECT avg(raw) FROM vols), 5) AS density FROM vols")
 def _(spark, d):
     t, n = lenses.lattice(spark, d)
-    return density.tetra_vertex(t, n, float(n)).select("pid", "n_tetra", r6(F.col("volume"), "volume", 5))
+    return density.tetra_vertex(t, n, float(n)).select("pid", "n_tetra", r6(F.col("volume"), "volume", 5), r6(F.col("density"), "density", 5))
 
 
-def _crossing(a: str) -> str:
-    same = " AND ".join(f"o.l{b} = p.l{b}" for b in "xyz" if b != a)
+@query(
+    "d07_volume_stats",
+    f"WITH {lenses.LATTICE}, {VERTICES}, f AS (SELECT greatest(volume, (SELECT min(volume) FILTER (volume > 0) / 1e20 FROM vols)) AS v FROM vols) SELECT round(min(v), 6) AS low, round(max(v), 6) AS high, round(exp(avg(ln(v))), 6) AS geometric_mean, round(stddev_pop(v), 6) AS deviation, round(stddev_pop(ln(v)), 6) AS log_deviation FROM f",
+)
+def _(spark, d):
+    t, n = lenses.lattice(spark, d)
+    return density.volume_stats(density.tetra_vertex(t, n, float(n))).select(*[r6(F.col(c), c) for c in ("low", "high", "geometric_mean", "deviation", "log_deviation")])
+
+
+def _moved(a: str) -> str:
     diff = f"(p.{a} - o.{a})"
-    image = f"(CASE WHEN {diff} > o.n / 2.0 THEN {diff} - o.n WHEN {diff} < -o.n / 2.0 THEN {diff} + o.n ELSE {diff} END)"
-    h = f"(p.l{a} - o.l{a} + o.n) % o.n"
-    return f"SELECT DISTINCT unnest([o.pid, p.pid]) AS pid, '{a}' AS axis FROM lattice o JOIN lattice p ON {same} WHERE {h} BETWEEN 1 AND o.n // 4 - 1 AND {image} < 0"
+    return f"(CASE WHEN {diff} > o.n / 2.0 THEN {diff} - o.n WHEN {diff} < -o.n / 2.0 THEN {diff} + o.n ELSE {diff} END)"
 
 
-CLASSES = f"crossings AS ({' UNION ALL '.join(map(_crossing, 'xyz'))}), classes AS (SELECT l.pid, any_value(l.x) AS x, any_value(l.y) AS y, any_value(l.z) AS z, any_value(l.n) AS n, CAST(count(c.axis) AS INT) AS class FROM lattice l LEFT JOIN crossings c USING (pid) GROUP BY l.pid)"
+def _crossing(bit: int, way: dict[str, int]) -> str:
+    """Pairs of sites along a direction of the lattice that stand in reversed order."""
+    met = " AND ".join(f"p.l{a} = (o.l{a} + h.h * ({way.get(a, 0)}) + o.n) % o.n" for a in "xyz")
+    order = " + ".join(f"{sign} * {_moved(a)}" for a, sign in way.items())
+    return f"SELECT DISTINCT unnest([o.pid, p.pid]) AS pid, {bit} AS bit FROM lattice o JOIN range(1, 100) h(h) ON h.h < o.n // 4 JOIN lattice p ON {met} WHERE {order} < 0"
 
 
-@query("m01_morphology", f"WITH {lenses.LATTICE}, {CLASSES} SELECT pid, class FROM classes")
-def _(spark, d):
+_AXES = [_crossing(morphology.AXES[a], {a: 1}) for a in "xyz"]
+_DIAGONAL = [_crossing(bit, {u: 1, v: sign}) for across in "xyz" for u, v in [[a for a in "xyz" if a != across]] for bit, sign in zip(morphology.DIAGONALS[across], (1, -1), strict=True)]
+
+
+def _classes(ways: list[str]) -> str:
+    sets = ", ".join(f"bit_count(f & {m})" for m in (7, 25, 98, 388))
+    return f"crossings AS ({' UNION ALL '.join(ways)}), flags AS (SELECT l.pid, any_value(l.x) AS x, any_value(l.y) AS y, any_value(l.z) AS z, any_value(l.n) AS n, CAST(coalesce(bit_or(c.bit), 0) AS INTEGER) AS f FROM lattice l LEFT JOIN crossings c USING (pid) GROUP BY l.pid), classes AS (SELECT *, CAST(greatest({sets}) AS INT) AS class FROM flags)"
+
+
+CLASSES = _classes(_AXES + _DIAGONAL)
+
+
+def classes(spark: SparkSession, d: str) -> DataFrame:
     t, n = lenses.lattice(spark, d)
     return morphology.classify(t, n, float(n))
 
 
-@query("m03_fractions", f"WITH {lenses.LATTICE}, {CLASSES} SELECT class, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM classes) AS DOUBLE), 6) AS fraction FROM classes GROUP BY class")
+@query("m01_morphology", f"WITH {lenses.LATTICE}, {CLASSES} SELECT pid, f AS flags, class FROM classes")
 def _(spark, d):
-    return morphology.fractions(Q["m01_morphology"](spark, d)).select("class", "n", r6(F.col("fraction"), "fraction"))
+    t, n = lenses.lattice(spark, d)
+    return morphology.crossings(t, n, float(n)).select("pid", "flags", morphology.class_of().alias("class"))
 
 
-@query(
-    "m05_morphology_grid",
-    f"WITH {lenses.LATTICE}, {CLASSES}, g AS (SELECT CAST(floor(x * 4 / n) % 4 AS INT) AS ix, CAST(floor(y * 4 / n) % 4 AS INT) AS iy, CAST(floor(z * 4 / n) % 4 AS INT) AS iz, count(*) FILTER (class = 0) AS n0, count(*) FILTER (class = 1) AS n1, count(*) FILTER (class = 2) AS n2, count(*) FILTER (class = 3) AS n3 FROM classes GROUP BY 1, 2, 3) SELECT *, CASE greatest(n0, n1, n2, n3) WHEN n0 THEN 0 WHEN n1 THEN 1 WHEN n2 THEN 2 ELSE 3 END AS dominant FROM g",
-)
+@query("m01_cartesian", f"WITH {lenses.LATTICE}, {_classes(_AXES)} SELECT pid, class FROM classes")
+def _(spark, d):
+    t, n = lenses.lattice(spark, d)
+    return morphology.classify(t, n, float(n), cartesian_only=True)
+
+
+_SHARES_SQL = "SELECT class, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM classes) AS DOUBLE), 6) AS fraction, (SELECT count(*) FILTER (class = 0) FROM classes) >= 0.99::DOUBLE * (SELECT count(*) FROM classes) AS linear FROM classes GROUP BY class"
+
+
+@query("m03_fractions", f"WITH {lenses.LATTICE}, {CLASSES} {_SHARES_SQL}")
 def _(spark, d):
+    return morphology.fractions(classes(spark, d)).select("class", "n", r6(F.col("fraction"), "fraction"), "linear")
+
+
+_GRID_OF_CLASSES = """g AS (SELECT CAST(floor(x * 8 / n) % 8 AS INT) AS ix, CAST(floor(y * 8 / n) % 8 AS INT) AS iy, CAST(floor(z * 8 / n) % 8 AS INT) AS iz, count(*) FILTER (class = 0) AS n0, count(*) FILTER (class = 1) AS n1, count(*) FILTER (class = 2) AS n2, count(*) FILTER (class = 3) AS n3 FROM classes GROUP BY 1, 2, 3),
+    a AS (SELECT CAST(i % 8 AS INT) AS ix, CAST(i // 8 % 8 AS INT) AS iy, CAST(i // 64 AS INT) AS iz, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, coalesce(n3, 0) AS n3 FROM range(512) r(i) LEFT JOIN g ON ix = i % 8 AND iy = i // 8 % 8 AND iz = i // 64),
+    b AS (SELECT *, CASE greatest(n0, n1, n2, n3) WHEN n0 THEN 0 WHEN n1 THEN 1 WHEN n2 THEN 2 ELSE 3 END AS dominant FROM a)"""
+
+
+def classes_on_grid(spark: SparkSession, d: str) -> DataFrame:
     t, n = lenses.lattice(spark, d)
-    return morphology.deposit(morphology.classify(t, n, float(n)).join(t, "pid"), float(n), 4)
+    return morphology.deposit(morphology.classify(t, n, float(n)).join(t, "pid"), float(n), 8)
+
+
+@query("m05_morphology_grid", f"WITH {lenses.LATTICE}, {CLASSES}, {_GRID_OF_CLASSES} SELECT *, {', '.join(f'round(coalesce(n{c} / nullif(CAST(n0 + n1 + n2 + n3 AS DOUBLE), 0), 0), 6) AS f{c}' for c in range(4))} FROM b")
+def _(spark, d):
+    return classes_on_grid(spark, d).select("ix", "iy", "iz", "n0", "n1", "n2", "n3", "dominant", *[r6(F.col(f"f{c}"), f"f{c}") for c in range(4)])
+
+
+@query("m05_volume_fractions", f"WITH {lenses.LATTICE}, {CLASSES}, {_GRID_OF_CLASSES} SELECT dominant AS class, count(*) AS n, round(count(*) / 512.0::DOUBLE, 6) AS fraction FROM b GROUP BY 1")
+def _(spark, d):
+    return morphology.volume_fractions(classes_on_grid(spark, d)).select("class", "n", r6(F.col("fraction"), "fraction"))
 
 
 @query("j03_overlaps", f"WITH {lenses.HALOS} SELECT a.hid AS i, b.hid AS j FROM halos a JOIN halos b ON a.snap = b.snap AND (a.r > b.r OR a.r = b.r AND a.hid < b.hid) WHERE pow((a.r + b.r) * 3, 2) >= pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)")
 def _(spark, d):
-    return halos.overlaps(lenses.halos(spark, d), 3.0, 8.0, "snap").select("i", "j")
+    return halos.overlaps(lenses.halos(spark, d), 3.0, 16.0, "snap").select("i", "j")
 
 
 @query("j04_host_counts", f"WITH p AS ({S['j03_overlaps']}), b AS (SELECT i AS hid, 0 AS h, 1 AS s FROM p UNION ALL SELECT j, 1, 0 FROM p) SELECT hid, CAST(sum(h) AS BIGINT) AS n_hosts, CAST(sum(s) AS BIGINT) AS n_subs FROM b GROUP BY hid")
@@ -293,8 +371,7 @@ def _(spark, d):
 @query("g06_main_branches", f"WITH RECURSIVE {lenses.TREE}, b AS (SELECT node AS root, node, main_prog, 0 AS step FROM nodes WHERE descendant IS NULL AND mass >= 150000 UNION ALL SELECT b.root, n.node, n.main_prog, step + 1 FROM b JOIN nodes n ON n.node = b.main_prog) SELECT root, node, step FROM b")
 def _(spark, d):
     t = lenses.tree(spark, d)
-    depth = t.agg(F.max("snap")).first()[0] or 1
-    return trees.branches(t, t.where("descendant is null and mass >= 150000").select("node"), depth)
+    return trees.branches(t, t.where("descendant is null and mass >= 150000").select("node"))
 
 
 _WALK = "SELECT *, x - lag(x) OVER (PARTITION BY tree ORDER BY snap) AS d FROM nodes"
@@ -385,18 +462,24 @@ def _(spark, d):
     return density.sph_3d(lenses.particles(spark, d), BOX, N, _H).select("ix", "iy", "iz", r6(F.col("density"), "density", 5))
 
 
-_DIV = " UNION ALL ".join(
-    f"SELECT {', '.join(f'CAST((i{a} + {step if a == axis else 0} + {N}) % {N} AS INT) AS i{a}' for a in 'xyz')}, v{axis} * ({sign}) / {2 * W} AS d FROM g" for axis in "xyz" for step, sign in ((1, -1), (-1, 1))
-)
+_VECTORS = f"g AS (SELECT CAST(floor(x * {N} / {BOX}) AS INT) AS ix, CAST(floor(y * {N} / {BOX}) AS INT) AS iy, CAST(floor(z * {N} / {BOX}) AS INT) AS iz, avg(v) AS vx, avg(mass) AS vy, avg(x) AS vz FROM particles GROUP BY 1, 2, 3)"
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return density.ngp(lenses.particles(spark, d), BOX, N, F.avg("v").alias("vx"), F.avg("mass").alias("vy"), F.avg("x").alias("vz"))
+
+
+@query("d20_divergence", f"WITH {lenses.PARTICLES}, {_VECTORS} SELECT ix, iy, iz, round({_slope('vx', 'x')} + {_slope('vy', 'y')} + {_slope('vz', 'z')}, 5) + 0 AS divergence FROM {_seen('g', ('vx', 'vy', 'vz'), 1)}")
+def _(spark, d):
+    return density.divergence(vectors(spark, d), N, W).select("ix", "iy", "iz", (F.round("divergence", 5) + 0).alias("divergence"))
 
 
 @query(
-    "d20_divergence",
-    f"WITH {lenses.PARTICLES}, g AS (SELECT CAST(floor(x * {N} / {BOX}) AS INT) AS ix, CAST(floor(y * {N} / {BOX}) AS INT) AS iy, CAST(floor(z * {N} / {BOX}) AS INT) AS iz, avg(v) AS vx, avg(mass) AS vy, avg(x) AS vz FROM particles GROUP BY 1, 2, 3), s AS ({_DIV}) SELECT ix, iy, iz, round(sum(d), 5) + 0 AS divergence FROM s GROUP BY ix, iy, iz",
+    "d20_curl",
+    f"WITH {lenses.PARTICLES}, {_VECTORS} SELECT ix, iy, iz, round({_slope('vz', 'y')} - {_slope('vy', 'z')}, 5) + 0 AS cx, round({_slope('vx', 'z')} - {_slope('vz', 'x')}, 5) + 0 AS cy, round({_slope('vy', 'x')} - {_slope('vx', 'y')}, 5) + 0 AS cz FROM {_seen('g', ('vx', 'vy', 'vz'), 1)}",
 )
 def _(spark, d):
-    g = density.ngp(lenses.particles(spark, d), BOX, N, F.avg("v").alias("vx"), F.avg("mass").alias("vy"), F.avg("x").alias("vz"))
-    return density.divergence(g, N, W).select("ix", "iy", "iz", (F.round("divergence", 5) + 0).alias("divergence"))
+    return density.curl(vectors(spark, d), N, W).select("ix", "iy", "iz", *[(F.round(f"c{a}", 5) + 0).alias(f"c{a}") for a in "xyz"])
 
 
 def _dft(src: str, dst: str, axis: str, sign: int) -> str:
@@ -474,20 +557,20 @@ def _(spark, d):
     return t.groupBy(geo.cell(F.col("x"), BOX, 20).alias("i"), geo.cell(F.col("y"), BOX, 20).alias("j")).agg(F.count("*").alias("count"))
 
 
-@query("j06_floor_lookup", f"WITH s AS ({S['s07_first_sub']}) SELECT e.event_id AS idx, s.grp, s.first_sub AS start FROM events e ASOF JOIN s ON e.event_id >= s.first_sub WHERE e.event_id < (SELECT count(*) FROM orders)")
+@query("j06_floor_lookup", f"WITH s AS ({S['s07_first_sub']}) SELECT e.event_id * 2 AS idx, s.grp, s.first_sub AS start FROM events e LEFT JOIN s ON e.event_id * 2 >= s.first_sub AND e.event_id * 2 < s.first_sub + s.n")
 def _(spark, d):
     starts = Q["s07_first_sub"](spark, d)
-    return halos.floor_lookup(lenses.table(spark, d, "events").select(F.col("event_id").alias("idx")), starts.select("grp", F.col("first_sub").alias("start"), F.col("n").alias("length")))
+    return halos.floor_lookup(lenses.table(spark, d, "events").select((F.col("event_id") * 2).alias("idx")), starts.select("grp", F.col("first_sub").alias("start"), F.col("n").alias("length")))
 
 
 _FAMILY = "SELECT event_id AS node, CASE WHEN event_id > 0 THEN (event_id - 1) // 3 END AS descendant FROM events WHERE value >= 5"
 
 
-@query("g05_progenitors", f"WITH RECURSIVE n AS ({_FAMILY}), p AS (SELECT node AS root, node, 0 AS depth FROM n WHERE node BETWEEN 1 AND 9 UNION ALL SELECT p.root, n.node, p.depth + 1 FROM p JOIN n ON n.descendant = p.node) SELECT root, node, depth FROM p")
+@query("g05_progenitors", f"WITH RECURSIVE n AS ({_FAMILY}), p AS (SELECT node AS root, node, 0 AS depth FROM n WHERE descendant IS NULL OR descendant NOT IN (SELECT node FROM n) UNION ALL SELECT p.root, n.node, p.depth + 1 FROM p JOIN n ON n.descendant = p.node) SELECT root, node, depth FROM p")
 def _(spark, d):
     e = lenses.table(spark, d, "events")
     nodes = e.where("value >= 5").select(F.col("event_id").alias("node"), F.when(F.col("event_id") > 0, F.floor((F.col("event_id") - 1) / 3)).alias("descendant"))
-    return trees.progenitors(nodes, nodes.where("node between 1 and 9").select("node"), 24)
+    return trees.progenitors(nodes, trees.tops(nodes).select("node"))
 
 
 @query("g11_halo_at_snapshot", f"WITH {lenses.TREE} SELECT tree, arg_min(node, (abs(snap - 4), snap)) AS node, arg_min(snap, (abs(snap - 4), snap)) AS snap FROM nodes GROUP BY tree")
@@ -511,9 +594,7 @@ def _(spark, d):
 
 @query("r03_matmul", "WITH e AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding) AS v FROM embeddings) SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(sum(a.v::DOUBLE * b.v), 4) AS v FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2")
 def _(spark, d):
-    e = lenses.table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    rows = e.select("vec_id", (F.col("i") + 1).alias("i"), F.col("v").cast("double").alias("v"))
-    return stats.matmul(rows.select(F.col("i"), F.col("vec_id").alias("k"), "v"), rows.select(F.col("vec_id").alias("k"), F.col("i").alias("j"), "v")).select("i", "j", r6(F.col("v"), "v", 4))
+    return stats.gram(lenses.table(spark, d, "embeddings").select("embedding"), "embedding", 64).select("i", "j", r6(F.col("v"), "v", 4))
 
 
 @query("s25_snapshot_number", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 2 THEN -1 ELSE n_nationkey END AS snap FROM nation")
@@ -524,8 +605,12 @@ def _(spark, d):
 
 
 def queries() -> dict:
+    from weft.plans import survey  # noqa: F401  adds its own
+
     return dict(Q)
 
 
 def sql() -> dict:
+    from weft.plans import survey  # noqa: F401
+
     return dict(S)

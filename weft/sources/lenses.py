@@ -14,10 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose files make fewer splits than there are cores is dealt out to them; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Particles without ids: positions in [0, BOX), a mass and a velocity."""
-    t = table(spark, sf_dir, "lineitem")
-    place = lambda c: ((c % 6400).cast("double") + 0.5) / 100.0
+    """Particles without ids: positions in [0, BOX), a mass and a velocity. Positions are whole 256ths, so that sums of products are exact in any order."""
+    t = spread(table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", "l_partkey", "l_suppkey", "l_orderkey", "l_discount"))
+    place = lambda c: ((c % 8192).cast("double") + 0.5) / 128.0
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     quantity = F.col("l_quantity").cast("long")
     return t.select(
@@ -25,15 +31,15 @@ def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
         place(F.col("l_partkey") * 37 + quantity * 101).alias("y"),
         place(F.col("l_suppkey") * 53 + F.col("l_orderkey") * 17).alias("z"),
         F.col("l_quantity").alias("mass"),
-        (F.col("l_discount") * 100 - 5).alias("v"),
+        (F.round(F.col("l_discount") * 100) - 5).alias("v"),
     )
 
 
 PARTICLES = """particles AS (SELECT
-  (CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 6400 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / 100 AS x,
-  (CAST((l_partkey * 37 + CAST(l_quantity AS BIGINT) * 101) % 6400 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / 100 AS y,
-  (CAST((l_suppkey * 53 + l_orderkey * 17) % 6400 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / 100 AS z,
-  l_quantity AS mass, l_discount * 100 - 5 AS v FROM lineitem)"""
+  (CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 8192 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / 128 AS x,
+  (CAST((l_partkey * 37 + CAST(l_quantity AS BIGINT) * 101) % 8192 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / 128 AS y,
+  (CAST((l_suppkey * 53 + l_orderkey * 17) % 8192 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / 128 AS z,
+  l_quantity AS mass, round(l_discount * 100) - 5 AS v FROM lineitem)"""
 
 
 def side(n: int) -> int:
@@ -44,11 +50,12 @@ def side(n: int) -> int:
     return k
 
 
-def lattice(spark: SparkSession, sf_dir: str, amplitude: float = 2.6) -> tuple[DataFrame, int]:
-    """Particles with ids on a cubic lattice of side N, moved by up to half the amplitude and wrapped; and N."""
-    t = table(spark, sf_dir, "events")
+def lattice(spark: SparkSession, sf_dir: str, amplitude: float = 2.5) -> tuple[DataFrame, int]:
+    """Particles with ids on a cubic lattice of side N, moved by up to half the amplitude and wrapped; and N. Positions are whole 2048ths: exact sums."""
+    t = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     n = side(t.count())
-    moved = lambda c: ((c % 1000).cast("double") / 1000.0 - 0.5) * amplitude
+    t = spread(t)
+    moved = lambda c: ((c % 1024).cast("double") / 1024.0 - 0.5) * amplitude
     pid = F.col("event_id")
     site = [pid % n, F.floor(pid / n) % n, F.floor(pid / (n * n))]
     shift = [moved(F.floor(F.col("value") * 100).cast("long")), moved(F.col("user_id") * 37), moved(pid * 61 + F.col("user_id") * 7)]
@@ -58,9 +65,9 @@ def lattice(spark: SparkSession, sf_dir: str, amplitude: float = 2.6) -> tuple[D
 
 LATTICE = """n AS (SELECT max(i) AS n FROM range(1, 2000) r(i) WHERE i * i * i <= (SELECT count(*) FROM events)),
 raw AS (SELECT event_id AS pid, n, CAST(event_id % n AS INT) AS lx, CAST((event_id // n) % n AS INT) AS ly, CAST(event_id // (n * n) AS INT) AS lz,
-  (CAST(CAST(floor(value * 100) AS BIGINT) % 1000 AS DOUBLE) / 1000 - 0.5::DOUBLE) * 2.6::DOUBLE AS ux,
-  (CAST((user_id * 37) % 1000 AS DOUBLE) / 1000 - 0.5::DOUBLE) * 2.6::DOUBLE AS uy,
-  (CAST((event_id * 61 + user_id * 7) % 1000 AS DOUBLE) / 1000 - 0.5::DOUBLE) * 2.6::DOUBLE AS uz
+  (CAST(CAST(floor(value * 100) AS BIGINT) % 1024 AS DOUBLE) / 1024 - 0.5::DOUBLE) * 2.5::DOUBLE AS ux,
+  (CAST((user_id * 37) % 1024 AS DOUBLE) / 1024 - 0.5::DOUBLE) * 2.5::DOUBLE AS uy,
+  (CAST((event_id * 61 + user_id * 7) % 1024 AS DOUBLE) / 1024 - 0.5::DOUBLE) * 2.5::DOUBLE AS uz
   FROM events, n WHERE event_id < n * n * n),
 lattice AS (SELECT pid, n, lx, ly, lz,
   CASE WHEN lx + ux < 0 THEN lx + ux + n WHEN lx + ux >= n THEN lx + ux - n ELSE lx + ux END AS x,
@@ -70,7 +77,7 @@ lattice AS (SELECT pid, n, lx, ly, lz,
 
 def halos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Halo catalogs by snapshot (a year's quarter): id, place, mass, radius."""
-    t = table(spark, sf_dir, "orders")
+    t = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"))
     snap = ((F.year("o_orderdate") - 1990) * 4 + F.quarter("o_orderdate")).cast("int")
     place = lambda c: ((c % 100000).cast("double") + 0.5) / 1000.0
     key = F.col("o_orderkey")
