@@ -1,13 +1,11 @@
-"""Fourier transforms of grids, pencil by pencil, and filters of fields.
-
-A pencil holds the n cells of a line, so groups are bounded and as many as n squared; each axis is one shuffle."""
+"""Fourier transforms of grids, plane by plane, and filters of fields."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,22 +14,31 @@ from weft.functions.geometry import gaussian_window, tophat_window
 SCHEMA = "ix int, iy int, iz int, re double, im double"
 
 
-def _pencil(axis: str, n: int, inverse: bool):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        line = np.zeros(n, complex)
-        line[frame[axis]] = frame["re"].to_numpy() + 1j * frame["im"].to_numpy()
-        line = np.fft.ifft(line) if inverse else np.fft.fft(line)
-        out = {a: np.arange(n, dtype="int32") if a == axis else np.full(n, frame[a].iat[0], "int32") for a in ("ix", "iy", "iz")}
-        return pd.DataFrame(out | {"re": line.real, "im": line.imag})
+def _pencils(axes: tuple[str, ...], across: str, n: int, inverse: bool):
+    """Transforms along ``axes`` of the plane of an index of ``across``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        u, v = (a for a in ("ix", "iy", "iz") if a != across)
+        col = {c: table.column(c).to_numpy() for c in table.column_names}
+        plane = np.zeros((n, n), complex)
+        plane[col[u], col[v]] = col["re"] + 1j * col["im"]
+        f = np.fft.ifft if inverse else np.fft.fft
+        for a in axes:
+            plane = f(plane, axis=0 if a == u else 1)
+        i, j = (x.ravel().astype(np.int32) for x in np.indices((n, n)))
+        out = {u: i, v: j, across: np.full(n * n, col[across][0], np.int32), "re": plane.real.ravel(), "im": plane.imag.ravel()}
+        return pa.table({c: out[c] for c in ("ix", "iy", "iz", "re", "im")})
 
     return run
 
 
 def transform(field: DataFrame, n: int, inverse: bool = False) -> DataFrame:
-    """The transform of a sparse field (ix, iy, iz, re, im); cells without a row are zeros."""
-    for axis in ("ix", "iy", "iz"):
-        field = field.groupBy(*[a for a in ("ix", "iy", "iz") if a != axis]).applyInPandas(_pencil(axis, n, inverse), SCHEMA)
-    return field
+    """The transform of a sparse field (ix, iy, iz, re, im); cells without a row are zeros.
+
+    Planes across z take both of their axes, then planes across x the third: two shuffles, and groups of n x n cells (a plane
+    without any cell has no group in the first pass, and is zeros in the second)."""
+    field = field.groupBy("iz").applyInArrow(_pencils(("ix", "iy"), "iz", n, inverse), SCHEMA)
+    return field.groupBy("ix").applyInArrow(_pencils(("iz",), "ix", n, inverse), SCHEMA)
 
 
 def as_field(grid: DataFrame, value: str = "density") -> DataFrame:
@@ -96,10 +103,71 @@ def blur(grid: DataFrame, n: int, sigma: float, value: str = "density") -> DataF
     return grid.select("ix", "iy", "iz", value)
 
 
+def repaired(grid: DataFrame, n: int, value: str = "density", count: str = "n", threshold: int = 2) -> DataFrame:
+    """A dense grid in which cells with few particles get the mean of the 27 cells around them (mirrored at the edges); ``count`` stays."""
+    mean = grid
+    for axis in ("ix", "iy", "iz"):
+        others = [a for a in ("ix", "iy", "iz") if a != axis]
+        i = F.col(axis)
+        sent = [F.struct(F.least(F.greatest(i + d, F.lit(0)), F.lit(n - 1)).cast("int").alias("to"), ((i + d) >= 0).alias("low"), ((i + d) < n).alias("high")) for d in (-1, 0, 1)]
+        # A cell beyond the edge mirrors to the edge cell itself, which so counts twice there.
+        rows = mean.select(*others, value, i.alias("i"), F.explode(F.array(*sent)).alias("s"))
+        inside = F.when(F.col("s.low") & F.col("s.high"), F.col(value)).otherwise(0.0)
+        edge = F.when(~(F.col("s.low") & F.col("s.high")), F.col(value)).otherwise(0.0)
+        mean = rows.groupBy(*others, F.col("s.to").alias(axis)).agg(((F.sum(inside) + F.sum(edge)) / 3.0).alias(value))
+    both = grid.join(mean.withColumnRenamed(value, "_mean"), ["ix", "iy", "iz"])
+    return both.select("ix", "iy", "iz", F.when(F.col(count) < threshold, F.col("_mean")).otherwise(F.col(value)).alias(value), count)
+
+
+def same_mass(after: DataFrame, before: DataFrame, value: str = "density") -> DataFrame:
+    """``after`` scaled to the sum of ``before``, if that is above 0."""
+    ratio = before.agg(F.sum(value).alias("_a")).join(after.agg(F.sum(value).alias("_b")))  # one row
+    scale = F.when((F.col("_a") > 0) & (F.col("_b") != 0), F.col("_a") / F.col("_b")).otherwise(1.0)
+    return after.join(F.broadcast(ratio)).select("ix", "iy", "iz", (F.col(value) * scale).alias(value))
+
+
+def smoothed(grid: DataFrame, n: int, sigma: float, value: str = "density", count: str | None = None, threshold: int = 2) -> DataFrame:
+    """Gaussian smoothing of a dense grid: cells of few particles repaired first (with ``count``), the mass kept."""
+    start = repaired(grid, n, value, count, threshold) if count else grid
+    return same_mass(blur(start, n, sigma, value), grid, value)
+
+
+def adaptively_smoothed(grid: DataFrame, n: int, low: float = 0.5, high: float = 3.0, scales: int = 5, threshold: int = 2, saturation: int = 100, value: str = "density", count: str = "n") -> DataFrame:
+    """A dense grid blended between ``scales`` Gaussian filters: cells with few particles get the widest, those with many the narrowest, by the logarithm of the count; the mass kept."""
+    sigmas = [low + (high - low) * k / (scales - 1) for k in range(scales)]
+    base, span = math.log(threshold + 1), math.log(saturation + 1) - math.log(threshold + 1)
+    t = (F.log(F.least(F.greatest(F.col(count), F.lit(threshold)), F.lit(saturation)) + F.lit(1.0)) - base) / span
+    at = (1.0 - F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))) * (scales - 1)
+    # Every cell is sent to its neighbours once for each scale, under the scale's number, so the scales share their shuffles.
+    out = grid.select("ix", "iy", "iz", count, at.alias("_at"))
+    wide = None
+    for k, s in enumerate(sigmas):
+        one = blur(grid, n, s, value).select("ix", "iy", "iz", F.lit(k).alias("_k"), value)
+        wide = one if wide is None else wide.unionByName(one)
+    near = wide.join(out, ["ix", "iy", "iz"]).withColumn("_w", F.greatest(1.0 - F.abs(F.col("_at") - F.col("_k")), F.lit(0.0)))
+    blend = near.groupBy("ix", "iy", "iz").agg(F.sum(F.col(value) * F.col("_w")).alias(value))
+    return same_mass(blend, grid, value)
+
+
+def bilateral(grid: DataFrame, sigma: float, sigma_value: float, reach: int, value: str = "surface") -> DataFrame:
+    """The bilateral filter of a map (ix, iy): neighbours within ``reach`` weigh by distance and by how alike their values are; cells beyond the map have no part."""
+    steps = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
+    sent = F.array(*[F.struct((F.col("ix") + a).alias("tx"), (F.col("iy") + b).alias("ty"), F.lit(math.exp(-(a * a + b * b) / (2 * sigma * sigma))).alias("w")) for a, b in steps])
+    rows = grid.select(F.col(value).alias("v"), F.explode(sent).alias("s")).select("v", "s.*")
+    both = rows.join(grid.select(F.col("ix").alias("tx"), F.col("iy").alias("ty"), F.col(value).alias("own")), ["tx", "ty"])
+    d = F.col("v") - F.col("own")
+    w = F.col("w") * F.exp(-(d * d) / (2 * sigma_value * sigma_value))
+    return both.groupBy(F.col("tx").alias("ix"), F.col("ty").alias("iy")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias(value))
+
+
 def quality(pairs: DataFrame, before: str, after: str) -> DataFrame:
-    """One row: correlation, mass ratio, root mean square difference, mean relative change where before > 0."""
+    """One row: correlation, mass ratio, root mean square difference, mean relative change where before > 0, and the correlation in the densest tenth (if more than ten cells)."""
+    top = pairs.agg(F.percentile(before, F.lit(0.9)).alias("_top"))  # one row
     a, b = F.col(before), F.col(after)
-    return pairs.agg(
-        F.corr(a, b).alias("correlation"), (F.sum(b) / F.sum(a)).alias("mass_ratio"), F.sqrt(F.avg((b - a) * (b - a))).alias("rmse"),
+    dense = a > F.col("_top")
+    out = pairs.join(F.broadcast(top)).agg(
+        F.corr(a, b).alias("correlation"), F.try_divide(F.sum(b), F.sum(a)).alias("mass_ratio"), F.sqrt(F.avg((b - a) * (b - a))).alias("rmse"),
         F.avg(F.when(a > 0, F.abs(b - a) / a)).alias("relative_change"),
+        F.corr(F.when(dense, a), F.when(dense, b)).alias("_high"), F.count_if(dense).alias("_n"),
     )
+    return out.withColumn("high_correlation", F.when(F.col("_n") > 10, F.col("_high")).otherwise(F.col("correlation"))).drop("_high", "_n")

@@ -536,12 +536,12 @@ def _(spark, d):
 
 @query(
     "a18_smoothing_quality",
-    f"WITH {lenses.PARTICLES}, {CIC}, {_BLURS}, p AS (SELECT cic.density AS a, s3.density AS b FROM cic JOIN s3 USING (ix, iy, iz)) SELECT round(corr(a, b), 6) AS correlation, round(sum(b) / sum(a), 6) AS mass_ratio, round(sqrt(avg(pow(b - a, 2))), 6) AS rmse, round(avg(abs(b - a) / a) FILTER (a > 0), 4) AS relative_change FROM p",
+    f"WITH {lenses.PARTICLES}, {CIC}, {_BLURS}, p AS (SELECT cic.density AS a, s3.density AS b FROM cic JOIN s3 USING (ix, iy, iz)) SELECT round(corr(a, b), 6) AS correlation, round(sum(b) / sum(a), 6) AS mass_ratio, round(sqrt(avg(pow(b - a, 2))), 6) AS rmse, round(avg(abs(b - a) / a) FILTER (a > 0), 4) AS relative_change, round(corr(a, b) FILTER (a > (SELECT quantile_cont(a, 0.9) FROM p)), 6) AS high_correlation FROM p",
 )
 def _(spark, d):
     before = grid(spark, d)
     pairs = before.join(fourier.blur(before, N, _SIGMA, "density").withColumnRenamed("density", "after"), ["ix", "iy", "iz"])
-    return fourier.quality(pairs, "density", "after").select(*[r6(F.col(c), c) for c in ("correlation", "mass_ratio", "rmse")], r6(F.col("relative_change"), "relative_change", 4))
+    return fourier.quality(pairs, "density", "after").select(*[r6(F.col(c), c) for c in ("correlation", "mass_ratio", "rmse", "high_correlation")], r6(F.col("relative_change"), "relative_change", 4))
 
 
 @query("p37_box_selection", f"WITH {lenses.PARTICLES} SELECT round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, mass FROM particles WHERE {' AND '.join(f'(abs({a} - 3) <= 8 OR abs({a} - 3) >= {BOX - 8})' for a in 'xyz')}")

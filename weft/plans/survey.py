@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import geometry as geo
-from weft.operators import density, fourier, halos, morphology, stats, trees
+from weft.operators import density, fourier, halos, morphology, particles, series, stats, trees
 from weft.plans import catalog
 from weft.plans.catalog import CELLS, CIC, CLASSES, N, W, grid, query, r6
 from weft.sources import lenses
@@ -581,3 +581,199 @@ def _edged() -> str:
 @query("d20_edged_slope", f"WITH {lenses.PARTICLES}, {CIC}, {CELLS} SELECT ix, iy, iz, round(({_edged()}) / {2 * W}, 5) + 0 AS slope FROM cells")
 def _(spark, d):
     return density.edged_slope(grid(spark, d), N, W).select("ix", "iy", "iz", (F.round("slope", 5) + 0).alias("slope"))
+
+
+_FEW = f"{catalog.CIC}, {CELLS}, m AS (SELECT CAST(floor(x / {W}) AS INT) AS ix, CAST(floor(y / {W}) AS INT) AS iy, CAST(floor(z / {W}) AS INT) AS iz, count(*) AS n FROM particles GROUP BY 1, 2, 3), cn AS (SELECT ix, iy, iz, density, coalesce(n, 0) AS n FROM cells LEFT JOIN m USING (ix, iy, iz))"
+
+
+def counted_cells(spark: SparkSession, d: str) -> DataFrame:
+    met = density.ngp(lenses.particles(spark, d), BOX, N, F.count("*").alias("n"))
+    return density.dense(grid(spark, d), N, "density").join(met, ["ix", "iy", "iz"], "left").select("ix", "iy", "iz", "density", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _means(src: str, dst: str, axis: str) -> str:
+    others = ", ".join(f"i{a}" for a in "xyz" if a != axis)
+    return f"{dst} AS (SELECT {others}, CAST(least(greatest(i{axis} + d.d, 0), {N - 1}) AS INT) AS i{axis}, sum(density) / 3 AS density FROM {src}, (VALUES (-1), (0), (1)) d(d) GROUP BY ALL)"
+
+
+# A mirrored neighbour of an edge cell is the cell itself: it receives its own value where its neighbour would lie.
+_REPAIRED = f"{_means('cn', 'r1', 'x')}, {_means('r1', 'r2', 'y')}, {_means('r2', 'r3', 'z')}, rep AS (SELECT ix, iy, iz, CASE WHEN cn.n < 20 THEN r3.density ELSE cn.density END AS density FROM cn JOIN r3 USING (ix, iy, iz))"
+_B3 = f"{catalog._blur('rep', 'b1', 'x')}, {catalog._blur('b1', 'b2', 'y')}, {catalog._blur('b2', 'b3', 'z')}"
+
+
+@query("f06_smooth_repaired", f"WITH {lenses.PARTICLES}, {_FEW}, {_REPAIRED}, {_B3} SELECT ix, iy, iz, round(density * ((SELECT sum(density) FROM cn) / (SELECT sum(density) FROM b3)), 5) AS density FROM b3")
+def _(spark, d):
+    return fourier.smoothed(counted_cells(spark, d), N, catalog._SIGMA, count="n", threshold=20).select("ix", "iy", "iz", r6(F.col("density"), "density", 5))
+
+
+def _blurred(src: str, dst: str, sigma: float) -> str:
+    ws = fourier.weights(sigma)
+    table = ", ".join(f"({j - len(ws) // 2}, {w!r}::DOUBLE)" for j, w in enumerate(ws))
+    out, now = [], src
+    for k, axis in enumerate("xyz"):
+        others = ", ".join(f"i{a}" for a in "xyz" if a != axis)
+        images = f"(SELECT {others}, density, unnest([i{axis}, -i{axis} - 1, {2 * N - 1} - i{axis}]) AS image FROM {now})"
+        out.append(f"{dst}{k} AS (SELECT {others}, CAST(image + w.d AS INT) AS i{axis}, sum(density * w.w) AS density FROM {images}, (VALUES {table}) w(d, w) WHERE image + w.d BETWEEN 0 AND {N - 1} GROUP BY ALL)")
+        now = f"{dst}{k}"
+    return ", ".join(out)
+
+
+_SCALES = [0.5 + 1.0 * k / 4 for k in range(5)]
+_AT_SCALE = "4 * (1 - (ln(least(greatest(n, 2), 100) + 1) - ln(3.0::DOUBLE)) / (ln(101.0::DOUBLE) - ln(3.0::DOUBLE)))"
+
+
+@query(
+    "f07_smooth_adaptive",
+    f"WITH {lenses.PARTICLES}, {_FEW}, {', '.join(_blurred('cn', f'g{k}_', s) for k, s in enumerate(_SCALES))}, w AS ({' UNION ALL '.join(f'SELECT *, {k} AS k FROM (SELECT ix, iy, iz, density FROM g{k}_2)' for k in range(5))}), a AS (SELECT ix, iy, iz, {_AT_SCALE} AS at_ FROM cn), b AS (SELECT ix, iy, iz, sum(density * greatest(1 - abs(at_ - k), 0)) AS density FROM w JOIN a USING (ix, iy, iz) GROUP BY ALL) SELECT ix, iy, iz, round(density * ((SELECT sum(density) FROM cn) / (SELECT sum(density) FROM b)), 5) AS density FROM b",
+)
+def _(spark, d):
+    return fourier.adaptively_smoothed(counted_cells(spark, d), N, 0.5, 1.5).select("ix", "iy", "iz", r6(F.col("density"), "density", 5))
+
+
+@query(
+    "f08_bilateral",
+    f"WITH {lenses.PARTICLES}, {CIC}, s AS (SELECT ix, iy, sum(density) * {W} AS v FROM cic GROUP BY ix, iy), p AS (SELECT a.ix, a.iy, b.v, exp(-(pow(b.ix - a.ix, 2) + pow(b.iy - a.iy, 2)) / 2) * exp(-pow(b.v - a.v, 2) / (2 * 2500.0::DOUBLE)) AS w FROM s a JOIN s b ON abs(a.ix - b.ix) <= 2 AND abs(a.iy - b.iy) <= 2) SELECT ix, iy, round(sum(w * v) / sum(w), 5) AS surface FROM p GROUP BY ix, iy",
+)
+def _(spark, d):
+    return fourier.bilateral(density.project(grid(spark, d), ("ix", "iy"), W), 1.0, 50.0, 2).select("ix", "iy", r6(F.col("surface"), "surface", 5))
+
+
+# Ordered series, sequences, ids, and the whole run.
+
+_WALK = "SELECT tree, snap, node, mass, snap * snap / 4.0::DOUBLE AS t FROM nodes"
+
+
+def _terms(terms: dict[int, float]) -> str:
+    return " + ".join(f"({c}::DOUBLE) * {f'lead(mass, {k}) OVER w' if k > 0 else f'lag(mass, {-k}) OVER w' if k < 0 else 'mass'}" for k, c in terms.items())
+
+
+def _span(a: int, b: int) -> str:
+    at = lambda k: f"lead(t, {k}) OVER w" if k > 0 else f"lag(t, {-k}) OVER w" if k < 0 else "t"
+    return f"({at(a)} - {at(b)})"
+
+
+_D2 = f"CASE WHEN n < 3 THEN NULL WHEN i = 0 THEN ({_terms({0: -3, 1: 4, 2: -1})}) / {_span(2, 0)} WHEN i = n - 1 THEN ({_terms({0: 3, -1: -4, -2: 1})}) / {_span(0, -2)} ELSE ({_terms({1: 1, -1: -1})}) / {_span(1, -1)} END"
+_F0, _F1 = {0: -25, 1: 48, 2: -36, 3: 16, 4: -3}, {-1: -3, 0: -10, 1: 18, 2: -6, 3: 1}
+_R0, _R1 = ({-k: c for k, c in f.items()} for f in (_F0, _F1))
+_D4 = f"CASE WHEN n < 5 THEN NULL WHEN i = 0 THEN ({_terms(_F0)}) / (3 * {_span(4, 0)}) WHEN i = 1 THEN ({_terms(_F1)}) / (3 * {_span(3, -1)}) WHEN i = n - 1 THEN ({_terms(_R0)}) / (3 * {_span(-4, 0)}) WHEN i = n - 2 THEN ({_terms(_R1)}) / (3 * {_span(-3, 1)}) ELSE ({_terms({2: -1, 1: 8, -1: -8, -2: 1})}) / (3 * {_span(2, -2)}) END"
+
+
+@query("w06_derivatives", f"WITH {lenses.TREE}, s AS (SELECT *, count(*) OVER (PARTITION BY tree) AS n, row_number() OVER (PARTITION BY tree ORDER BY t) - 1 AS i FROM ({_WALK})) SELECT node, round({_D2}, 7) AS second, round({_D4}, 7) AS fourth FROM s WINDOW w AS (PARTITION BY tree ORDER BY t)")
+def _(spark, d):
+    s = lenses.tree(spark, d).select("tree", "node", "mass", (F.col("snap") * F.col("snap") / F.lit(4.0)).alias("t"))
+    two = series.deriv(s, "tree", "t", "mass", 2).withColumnRenamed("slope", "second")
+    return series.deriv(two, "tree", "t", "mass", 4).select("node", r6(F.col("second"), "second", 7), r6(F.col("slope"), "fourth", 7))
+
+
+@query("w06_even_gradient", f"WITH {lenses.TREE}, g AS (SELECT node, mass, lag(mass) OVER w AS a, lead(mass) OVER w AS b FROM nodes WINDOW w AS (PARTITION BY tree ORDER BY snap)) SELECT node, round(CASE WHEN a IS NULL AND b IS NULL THEN NULL ELSE (coalesce(b, mass) - coalesce(a, mass)) / (CASE WHEN a IS NULL OR b IS NULL THEN 1 ELSE 2 END * 0.5::DOUBLE) END, 4) AS gradient FROM g")
+def _(spark, d):
+    return series.even_gradient(lenses.tree(spark, d), "tree", "snap", "mass", 0.5).select("node", r6(F.col("gradient"), "gradient", 4))
+
+
+_XS, _YS = [0.0, 1.0, 2.5, 4.0, 8.0], [1.0, 3.0, 2.0, 5.0, -1.0]
+_Y2 = series.second_derivatives(_XS, _YS)
+_PIECES = ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE, {ya}::DOUBLE, {yb}::DOUBLE, {sa!r}::DOUBLE, {sb!r}::DOUBLE)" for k, (a, b, ya, yb, sa, sb) in enumerate(zip(_XS, _XS[1:], _YS, _YS[1:], _Y2, _Y2[1:])))
+
+
+@query(
+    "w07_interpolation",
+    f"WITH p AS (SELECT * FROM (VALUES {_PIECES}) p(k, a, b, ya, yb, sa, sb)), x AS (SELECT i, i / 10.0::DOUBLE - 1 AS x FROM range(110) r(i)), c AS (SELECT i, x, CASE WHEN x >= 4 THEN 3 WHEN x >= 2.5 THEN 2 WHEN x >= 1 THEN 1 ELSE 0 END AS k FROM x), t AS (SELECT i, b - a AS h, (b - x) / (b - a) AS u, (x - a) / (b - a) AS v, ya, yb, sa, sb FROM c JOIN p USING (k)) SELECT i, round(u * ya + v * yb, 8) AS linear, round(u * ya + v * yb + ((u * u * u - u) * sa + (v * v * v - v) * sb) * h * h / 6, 8) AS spline FROM t",
+)
+def _(spark, d):
+    x = F.col("id") / F.lit(10.0) - 1.0
+    return spark.range(110).select(F.col("id").alias("i"), r6(series.interpolated(x, _XS, _YS), "linear", 8), r6(series.interpolated(x, _XS, _YS, True), "spline", 8))
+
+
+def _sobol(dim: int) -> str:
+    terms = [f"(CASE WHEN (xor(i + 1, (i + 1) >> 1) >> {k}) & 1 = {int(k > 0)} THEN {v} ELSE 0 END)" for k, v in enumerate(series.directions(dim))]
+    out = terms[0]
+    for t in terms[1:14]:  # points below 2 ** 14
+        out = f"xor({out}, {t})"
+    return f"{out} / {float(1 << series.BITS)}::DOUBLE"
+
+
+@query("r02_sobol", f"SELECT i, {', '.join(f'{_sobol(k)} AS u{k}' for k in range(6))} FROM range(1, 4096) r(i)")
+def _(spark, d):
+    return spark.range(1, 4096).select(F.col("id").alias("i"), *[series.sobol(F.col("id"), k).alias(f"u{k}") for k in range(6)])
+
+
+_IMAGE = [(s, 0.1 * (k + 1)) for k, s in enumerate(range(20, 30))]
+_MAPS = f"{lenses.HALOS}, maps AS (SELECT snap, CAST(floor(x / 50) AS INT) AS pixel, sum(m) AS value FROM halos WHERE snap BETWEEN 20 AND 29 GROUP BY 1, 2)"
+
+
+def maps(spark: SparkSession, d: str) -> DataFrame:
+    return lenses.halos(spark, d).where("snap between 20 and 29").groupBy("snap", F.floor(F.col("x") / 50).cast("int").alias("pixel")).agg(F.sum("m").alias("value"))
+
+
+@query(
+    "w08_time_image",
+    f"""WITH {_MAPS}, t AS (SELECT i + 20 AS snap, 0.1::DOUBLE * (i + 1) AS a FROM range(10) r(i)), c AS (SELECT i, 0.1::DOUBLE + (i / 16.0::DOUBLE) * 0.9::DOUBLE AS a FROM range(17) r(i)),
+    b AS (SELECT i, c.a, least((SELECT max(k) FROM range(10) q(k) WHERE 0.1::DOUBLE * (k + 1) <= c.a + 1e-12::DOUBLE), 8) AS j FROM c), w AS (SELECT i, j + 20 AS snap, 1 - (a - 0.1::DOUBLE * (j + 1)) / 0.1::DOUBLE AS w FROM b UNION ALL SELECT i, j + 21, (a - 0.1::DOUBLE * (j + 1)) / 0.1::DOUBLE FROM b)
+    SELECT CAST(i AS INT) AS column, pixel, round(exp(sum(w * ln(value))), 2) AS value FROM w JOIN maps USING (snap) GROUP BY i, pixel""",
+)
+def _(spark, d):
+    return series.time_image(maps(spark, d), _IMAGE, 17).select("column", "pixel", r6(F.col("value"), "value", 2))
+
+
+@query("s33_relative_series", f"WITH {_MAPS}, a AS (SELECT snap, pixel, value, avg(value) OVER (PARTITION BY snap) AS own, (SELECT avg(value) FROM maps WHERE snap = 29) AS last FROM maps) SELECT snap, pixel, round(value / own, 6) AS own, round(value / last, 6) AS last FROM a")
+def _(spark, d):
+    m = maps(spark, d)
+    own, last = series.relative(m).withColumnRenamed("value", "own"), series.relative(m, 29).withColumnRenamed("value", "last")
+    return own.join(last, ["snap", "pixel"]).select("snap", "pixel", r6(F.col("own"), "own"), r6(F.col("last"), "last"))
+
+
+def _unordered(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    t, n = lenses.lattice(spark, d)
+    return t.select((F.col("pid") + 1).alias("pid"), "x", "y", "z"), n
+
+
+_PROBE = "(VALUES (1), (2), (3), (4), (5)) w(w)"
+_IDS = "p AS (SELECT CASE w WHEN 1 THEN 1 WHEN 2 THEN n // 4 WHEN 3 THEN n // 2 WHEN 4 THEN 10 * n ELSE 100 * n END AS id, n FROM (SELECT any_value(n) AS n FROM lattice), " + _PROBE + ")"
+
+
+def _near(a: str) -> str:
+    diff = f"(q.{a} - o.{a})"
+    return f"(CASE WHEN {diff} > o.n / 2.0 THEN {diff} - o.n WHEN {diff} < -o.n / 2.0 THEN {diff} + o.n ELSE {diff} END)"
+
+
+@query(
+    "p05_id_ordering",
+    f"""WITH {lenses.LATTICE}, {_IDS}, d AS (SELECT q.pid = o.pid + 1 AS next, {', '.join(f'{_near(a)} AS d{a}' for a in 'xyz')} FROM p JOIN lattice o ON o.pid + 1 = p.id JOIN lattice q ON q.pid IN (o.pid + 1, o.pid + o.n) WHERE p.id >= 1)
+    SELECT round(coalesce(sum(CASE WHEN next THEN sqrt(pow(dx - 1, 2) + dy * dy + dz * dz) ELSE abs(dz) END), 0), 6) AS x_major, round(coalesce(sum(CASE WHEN next THEN sqrt(dx * dx + dy * dy + pow(dz - 1, 2)) ELSE abs(dx) END), 0), 6) AS z_major, CAST(count(*) FILTER (next) AS BIGINT) AS n_pairs FROM d""",
+)
+def _(spark, d):
+    t, n = _unordered(spark, d)
+    return particles.ordering_scores(t, n, float(n)).select(r6(F.col("x_major"), "x_major"), r6(F.col("z_major"), "z_major"), F.col("n_pairs").cast("long").alias("n_pairs"))
+
+
+@query("p03_sites", f"WITH {lenses.LATTICE} SELECT pid + 1 AS pid, lx, ly, lz FROM lattice")
+def _(spark, d):
+    t, n = _unordered(spark, d)
+    return particles.on_lattice(t, n, float(n), "x", 1).select("pid", "lx", "ly", "lz")
+
+
+@query("p06_verdict", f"WITH {lenses.LATTICE} SELECT count(*) AS count, min(pid) AS low, max(pid) AS high, count(*) = any_value(n) * any_value(n) * any_value(n) AS is_full, min(pid) >= 0 AND max(pid) < any_value(n) * any_value(n) * any_value(n) AS in_range, count(DISTINCT pid) = count(*) AS is_unique FROM lattice")
+def _(spark, d):
+    t, n = lenses.lattice(spark, d)
+    return particles.validated(t, n, 0)
+
+
+@query(
+    "m07_run_summary",
+    f"""WITH {OF_CLASS}, {catalog._GRID_OF_CLASSES}, v AS (SELECT dominant AS class, count(*) / 512.0::DOUBLE AS volume_fraction FROM b GROUP BY 1)
+    SELECT class, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM both_) AS DOUBLE), 6) AS mass_fraction, round(coalesce(any_value(volume_fraction), 0), 6) AS volume_fraction, round(avg(od), 5) AS mean_od FROM both_ LEFT JOIN v USING (class) GROUP BY class""",
+)
+def _(spark, d):
+    t, n = lenses.lattice(spark, d)
+    run = particles.classified_run(t.select("pid", "x", "y", "z"), n, float(n), 8)
+    return run["summary"].select("class", "n", r6(F.col("mass_fraction"), "mass_fraction"), r6(F.col("volume_fraction"), "volume_fraction"), r6(F.col("mean_od"), "mean_od", 5))
+
+
+@query(
+    "x06_pdf_shapes",
+    f"WITH {OF_CLASS}, h AS (SELECT {_bin('od', _LOW, _HIGH, _BINS)} AS bin, count(*) FILTER (class = 0) / CAST(sum(count(*) FILTER (class = 0)) OVER () AS DOUBLE) AS a, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS b FROM both_ GROUP BY 1) SELECT round(corr(a, b), 6) AS correlation, corr(a, b) >= 0.95 AS alike FROM h WHERE {_IN}",
+)
+def _(spark, d):
+    h = by_class(spark, d).withColumn("bin", stats.log_bin(F.col("od"), _LOW, _HIGH, _BINS)).where(F.col("bin").between(0, _BINS - 1))
+    per = h.groupBy("bin").agg(F.count_if(F.col("class") == 0).cast("double").alias("a"), F.count("*").cast("double").alias("b"))
+    return per.agg(F.corr("a", "b").alias("c")).select(r6(F.col("c"), "correlation"), (F.col("c") >= 0.95).alias("alike"))
