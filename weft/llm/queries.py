@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .bpe import op10_bpe
 from .html import op7_html
 from .jaccard import op4_jaccard
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
-SQL = {"op8_mixing": OP8_SQL}
+SQL = {"op1_secrets": oracles.op1(), "op3_pii": oracles.op3(), "op4_jaccard": oracles.op4(), "op6_licenses": oracles.op6(), "op8_mixing": OP8_SQL}
