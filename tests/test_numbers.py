@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import geometry as geo
 from weft.functions import numeric
-from weft.operators import density, halos, morphology, particles, series, stats, trees
+from weft.operators import density, fourier, halos, morphology, particles, series, stats, trees
 from weft.sources import lenses, simulation
 
 D = "/root/testdata/sf0.001"
@@ -87,6 +87,32 @@ def test_kernels_are_normalised(spark):
         assert total == pytest.approx(1, abs=1e-4) and plane == pytest.approx(1, abs=2e-3)
 
 
+def test_power_spectrum_options(spark):
+    """Deconvolution, shot noise, the top-hat window and a sparse grid against numpy's transforms."""
+    rng, n, box = np.random.default_rng(9), 8, 20.0
+    grid = rng.random((n, n, n))
+    grid[rng.random((n, n, n)) < 0.3] = 0
+    rows = [(int(i), int(j), int(k), float(grid[i, j, k])) for i, j, k in zip(*np.nonzero(grid))]
+    t = spark.createDataFrame(rows, "ix int, iy int, iz int, od double")
+    f = np.fft.fftn(grid)
+    m = np.fft.fftfreq(n) * n
+    mx, my, mz = np.meshgrid(m, m, m, indexing="ij")
+    k = np.sqrt(mx**2 + my**2 + mz**2)
+    w = np.ones_like(k)
+    for a in (mx, my, mz):
+        w *= np.sinc(a / n) ** 2
+    p = np.abs(f) ** 2 * box**3 / n**6
+    p = np.where(w > 0.01, p / w**2, 0)
+    got = {r.bin: r for r in fourier.power_spectrum(t, n, box, deconvolve=True, shot_noise=1.5).collect()}
+    for b in range(n // 2):
+        inside = (k >= b) & (k < b + 1)
+        assert got[b].n_modes == inside.sum() and got[b].power == pytest.approx(p[inside].mean() - 1.5) and got[b].k == pytest.approx(k[inside].mean() * 2 * math.pi / box)
+    x = np.where(k == 0, 1, k * 2 * math.pi / box * 3.0)
+    want = np.fft.ifftn(f * np.where(k == 0, 1, 3 * (np.sin(x) - x * np.cos(x)) / x**3)).real
+    back = fourier.smooth(t, n, box, 3.0, "tophat", "od").collect()
+    assert len(back) == n**3 and all(r.od == pytest.approx(want[r.ix, r.iy, r.iz]) for r in back)
+
+
 def plain_flags(pos, n, box):
     def shift(d):
         return d - box if d > box / 2 else d + box if d < -box / 2 else d

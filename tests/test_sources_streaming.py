@@ -39,6 +39,15 @@ def test_histogram_and_density_of_a_stream(spark, tmp_path):
         assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-9
 
 
+def test_windowed_sums_of_a_stream(spark, tmp_path):
+    """Late rows within the watermark count; older ones are left out; closed windows are given once."""
+    for k, rows in enumerate([[("2024-01-01 01:00:00", "a", 1.0), ("2024-01-01 02:00:00", "b", 2.0)], [("2024-01-05 01:00:00", "a", 4.0), ("2024-01-04 03:00:00", "a", 8.0)], [("2024-01-05 02:00:00", "b", 1.0)], [("2024-01-01 05:00:00", "a", 16.0), ("2024-01-09 00:00:00", "a", 32.0)], [("2024-01-09 01:00:00", "a", 64.0)]]):
+        spark.createDataFrame(rows, "t string, by string, v double").select(F.to_timestamp("t").alias("t"), "by", "v").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("t timestamp, by string, v double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = {(str(r[0])[:10], r[1]): (r[2], r[3]) for r in run(incremental.windowed(stream, "t", "by", "v"), spark, "w", "append")}
+    assert got == {("2024-01-01", "a"): (1, 1.0), ("2024-01-01", "b"): (1, 2.0), ("2024-01-04", "a"): (1, 8.0), ("2024-01-05", "a"): (1, 4.0), ("2024-01-05", "b"): (1, 1.0)}
+
+
 def test_samples_lie_inside():
     for w in density.samples(64):
         assert min(w) >= 0 and sum(w) == 1

@@ -469,17 +469,17 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return density.ngp(lenses.particles(spark, d), BOX, N, F.avg("v").alias("vx"), F.avg("mass").alias("vy"), F.avg("x").alias("vz"))
 
 
-@query("d20_divergence", f"WITH {lenses.PARTICLES}, {_VECTORS} SELECT ix, iy, iz, round({_slope('vx', 'x')} + {_slope('vy', 'y')} + {_slope('vz', 'z')}, 5) + 0 AS divergence FROM {_seen('g', ('vx', 'vy', 'vz'), 1)}")
+@query("d20_divergence", f"WITH {lenses.PARTICLES}, {_VECTORS} SELECT ix, iy, iz, round({_slope('vx', 'x')} + {_slope('vy', 'y')} + {_slope('vz', 'z')}, 9) + 0 AS divergence FROM {_seen('g', ('vx', 'vy', 'vz'), 1)}")
 def _(spark, d):
-    return density.divergence(vectors(spark, d), N, W).select("ix", "iy", "iz", (F.round("divergence", 5) + 0).alias("divergence"))
+    return density.divergence(vectors(spark, d), N, W).select("ix", "iy", "iz", (F.round("divergence", 9) + 0).alias("divergence"))
 
 
 @query(
     "d20_curl",
-    f"WITH {lenses.PARTICLES}, {_VECTORS} SELECT ix, iy, iz, round({_slope('vz', 'y')} - {_slope('vy', 'z')}, 5) + 0 AS cx, round({_slope('vx', 'z')} - {_slope('vz', 'x')}, 5) + 0 AS cy, round({_slope('vy', 'x')} - {_slope('vx', 'y')}, 5) + 0 AS cz FROM {_seen('g', ('vx', 'vy', 'vz'), 1)}",
+    f"WITH {lenses.PARTICLES}, {_VECTORS} SELECT ix, iy, iz, round({_slope('vz', 'y')} - {_slope('vy', 'z')}, 9) + 0 AS cx, round({_slope('vx', 'z')} - {_slope('vz', 'x')}, 9) + 0 AS cy, round({_slope('vy', 'x')} - {_slope('vx', 'y')}, 9) + 0 AS cz FROM {_seen('g', ('vx', 'vy', 'vz'), 1)}",
 )
 def _(spark, d):
-    return density.curl(vectors(spark, d), N, W).select("ix", "iy", "iz", *[(F.round(f"c{a}", 5) + 0).alias(f"c{a}") for a in "xyz"])
+    return density.curl(vectors(spark, d), N, W).select("ix", "iy", "iz", *[(F.round(f"c{a}", 9) + 0).alias(f"c{a}") for a in "xyz"])
 
 
 def _dft(src: str, dst: str, axis: str, sign: int) -> str:
