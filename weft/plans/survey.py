@@ -385,9 +385,6 @@ def _(spark, d):
 
 # Geometry and physics over small tables.
 
-_KEY = F.col("s_suppkey")
-
-
 @query("p07_grid_size", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END AS side FROM nation")
 def _(spark, d):
     k = F.col("n_nationkey")
@@ -395,7 +392,7 @@ def _(spark, d):
 
 
 def _vectors_of(t: DataFrame):
-    k = _KEY
+    k = F.col("s_suppkey")
     return [(k % 7).cast("double"), (k % 5).cast("double"), (k % 3).cast("double")], [F.col("s_nationkey").cast("double"), (k % 11).cast("double"), F.lit(2.0)]
 
 
