@@ -86,6 +86,36 @@ def test_media(docs, empty):
     assert media.demux(bytes(damaged)).crc_errors == 1
 
 
+def test_media_damage():
+    """Duplicates, sections over several packets, long adaptation fields, cut headers, and bytes of any kind."""
+    payload = bytes(range(256)) * 90
+    stream = media.mux(payload)
+    packets = [stream[k : k + 188] for k in range(0, len(stream), 188)]
+    assert all(p[5] & 0x10 for p in packets if p[1] == 0x41)  # units begin with a clock reference
+    twice = media.demux(b"".join([*packets[:6], packets[5], *packets[6:]]))
+    assert (twice.payload, twice.continuity_errors, twice.duplicates) == (payload, 0, 1)
+    thrice = media.demux(b"".join([*packets[:6], packets[5], packets[5], *packets[6:]]))
+    assert (thrice.payload, thrice.continuity_errors) == (payload, 1)
+    long = media._section(2, 1, b"".join([bytes((0xE1, 0, 0xF0, 0)), *(bytes((6, 0xE1, k, 0xF0, 0)) for k in range(100))]))
+    head = lambda pid, k, begin: bytes((0x47, pid >> 8 | begin << 6, pid & 255, 0x10 | k))
+    parts = [head(0x1000, k, k == 0) + (b"\0" * (k == 0) + long[183 * (k > 0) + 184 * max(0, k - 1) : 183 + 184 * k]).ljust(184, b"\xff") for k in range(3)]
+    many = media.demux(packets[0] + b"".join(parts))
+    assert len(many.programs[1]) == 100 and many.crc_errors == many.continuity_errors == 0
+    assert media.demux(packets[0] + parts[0] + parts[2]).programs == {} and media.demux(packets[0] + parts[0] + parts[2]).crc_errors == 1
+    bad = bytearray(packets[1])
+    bad[3:5] = 0x30, 183
+    assert media.demux(packets[0] + bytes(bad)).field_errors == 1
+    lost = media.demux(b"".join(packets[:9] + packets[10:]))
+    assert lost.continuity_errors == 1 and lost.unit_errors == 1 and lost.payload == payload[5760:]
+    rng = random.Random(4)
+    for _ in range(300):  # no damage raises
+        data = bytearray(stream[: 188 * 40])
+        for _ in range(rng.randint(1, 60)):
+            data[rng.randrange(len(data))] = rng.choice((0, 0x47, 0xFF, rng.randrange(256)))
+        media.feature(media.demux(bytes(data[: rng.randint(0, len(data))])))
+    media.demux(bytes(rng.randrange(256) for _ in range(188 * 50)))
+
+
 def luhn(s):
     return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, s[::-1]))) % 10 == 0
 
@@ -189,6 +219,34 @@ def test_jaccard_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_jaccard_beyond_bounds(spark, monkeypatch):
+    """The ways for what exceeds the bounds give the same rows: components by steps, sets by a join, chunks of few signatures."""
+    from weft.llm import graph
+
+    monkeypatch.setattr(graph, "ONE_TASK", -1)
+    monkeypatch.setattr(jaccard, "BITS", 64)
+    monkeypatch.setattr(jaccard, "CHUNK", 150)
+    rng, rows = random.Random(8), []
+    for g in range(4):
+        base = words(rng.choice((12, 30, 60)), 200 + g).split()
+        for _ in range(15):
+            w = [*base]
+            for _ in range(rng.randint(0, max(1, len(w) // 20))):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(1000)}"
+            rows.append((len(rows), " ".join(w)))
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
+def test_names_that_clash(spark):
+    """Stages return the columns that they got, whatever their names."""
+    names = ["_t", "_d", "_id", "_blob", "_spans", "_grp", "_copies", "_copy", "_kept", "t", "hub", "fp", "grp"]
+    rows = [(i, words(60, i % 12), "en", "s", 1, *range(len(names))) for i in range(40)] + [(99, words(60, 50) + " token = abcdefabcdef12 ", "en", "s", 1, *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for out in (quality.kept(docs), jaccard.distinct_documents(docs), secrets.redacted(docs, shared_dir(spark) + "/ledger"), mixing.mixed(docs)):
+        assert out.columns == docs.columns and {tuple(r)[5:] for r in out.collect()} == {tuple(range(len(names)))}
+
+
 def test_rows_without_an_id(spark):
     """Rows that share a doc_id or have none go or stay by their own texts."""
     a, b, c, bad = words(60, 1), words(60, 2), words(60, 3), "too short"
@@ -226,6 +284,40 @@ def test_toxicity(spark, docs, empty):
     assert {r.score for r in toxicity.classify(docs, labels.where("toxic = 2")).collect()} == {0.0}
 
 
+def test_toxicity_forward():
+    """Scores against plain loops over words, filters and places; texts shorter than a filter, and the gradient against differences."""
+    rng = np.random.default_rng(2)
+    net = toxicity.Net(np.array([3, 5, 8, 13, 21]), rng.normal(0, 1, 5))
+    net.w = [rng.normal(0, 1, w.shape).astype(np.float32) for w in net.w]
+    net.b = [rng.normal(0, 0.3, b.shape).astype(np.float32) for b in net.b]
+    net.v = rng.normal(0, 1, net.v.shape).astype(np.float32)
+    net.freeze()
+    for n in (0, 1, 2, 3, 7, 40, 4000):
+        buckets = rng.integers(0, 25, n)
+        rows = [net.e[1 + list(net.rows).index(b)] if b in net.rows else net.e[0] for b in buckets] + [net.e[0]] * max(0, 3 - n)
+        feats = []
+        for w, b in zip(net.w, net.b, strict=True):
+            for f in range(toxicity.FILTERS):
+                places = [sum(float(rows[p + j][d]) * float(w[j, d, f]) for j in range(len(w)) for d in range(toxicity.DIM)) for p in range(len(rows) - len(w) + 1)] if n < 100 else [0]
+                feats.append(max(0.0, max(places) + float(b[f])))
+        if n < 100:
+            assert net.logit(net.index(buckets)) == pytest.approx(sum(x * float(v) for x, v in zip(feats, net.v, strict=True)), abs=1e-3)
+        else:
+            assert np.isfinite(net.logit(net.index(buckets)))
+
+
+def test_toxicity_sample(spark):
+    """The sample's bounds, repeated rows, and texts that share a doc_id."""
+    rows = [(i, words(50, i), "en", "s") for i in range(60)] * 2 + [(1, words(9, 77), "en", "s"), (None, "x y", None, None), (2, None, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels)
+    kept = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(got) == len(kept) and [y for _, _, y in got] == [i % 2 for i in kept]
+    assert len(toxicity.sample(docs, labels, 7)) == 7 and sum(len(x) for x, _, _ in toxicity.sample(docs, labels, most_words=500)) <= 500
+    assert toxicity.sample(docs, labels, most_words=0) == []
+
+
 def test_licenses(docs, empty):
     pattern = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     for r in licenses.scan(docs).collect():
@@ -238,6 +330,36 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_changed_words(spark):
+    """Spans against plain Python; texts with changed and inserted words, halves under one doc_id, versions that differ in a word."""
+    mit = next(t for label, t in licenses.TEMPLATES if label == "MIT" and len(t.split()) > 100).split()
+    changed = ["x", *mit[:20], "NEW", *mit[20:90], "other", *mit[91:]]
+    rows = [" ".join(changed), " ".join(mit[:60]), " ".join(mit[100:]), "Licensed under the GNU General Public License, version 3.", " ".join([*mit, "and", *mit]), "a mit license", None, "", " ".join(words(30, 7).split() + mit)]
+    rows += [" ".join(mit[a : a + 140]) for a in range(0, 25, 5)]
+    docs = spark.createDataFrame([(i if i not in (1, 2) else 1, t) for i, t in enumerate(rows)] + [(0, rows[0])], "doc_id long, text string")
+    got = {}
+    for r in licenses.spans(docs).collect():
+        got.setdefault(r.doc_id, set()).add((r.template, r.start, r.end))
+    for i, text in enumerate(rows):
+        w, want = re.findall("[a-z0-9]+", (text or "").lower()), set()
+        for n, (_, t) in enumerate(licenses.TEMPLATES):
+            x = t.split()
+            hits = sorted((p - q, p, q) for p in range(len(w) - 2) for q in range(len(x) - 2) if w[p : p + 3] == x[q : q + 3])
+            groups = []
+            for h in hits:
+                if not groups or h[0] - groups[-1][-1][0] > licenses.GAP:
+                    groups.append([])
+                groups[-1].append(h)
+            want |= {(n, min(p for _, p, _ in g), max(p for _, p, _ in g) + 3) for g in groups if len({q for _, _, q in g}) >= licenses.needed(len(x))}
+        if i not in (1, 2):
+            assert got.get(i, set()) == want, i
+    labels = {}
+    for r in licenses.scan(docs).collect():
+        labels.setdefault(r.doc_id, []).append(r.labels)
+    assert labels[0] == ["MIT", "MIT"] and labels[3] == ["GPL-3.0,gpl"] and labels[5] == ["mit"] and labels[6] == [""]
+    assert all("MIT" not in x.split(",") or len(rows[1]) > 100 for x in labels[1]) and len(labels[1]) == 2
+
+
 def test_html(spark):
     page = '<html><head><title>t</title></head><body><div class="menu">m</div><nav>n</nav><div class=main><h1>A &amp; B</h1><p>one <b>two</b><br>three<p>four {}<div class="comments">c</div></div><footer>f</footer><script>var x="</p>";</script></body></html>'
     rows = [(i, f"http://h.example/{i}", page.format(words(20, i))) for i in range(8)] + [(90, None, None), (91, "odd", ""), (92, "http://h.example/q", "<article><h1>x</h1><p>y</article><aside>z</aside>")]
@@ -267,6 +389,44 @@ def test_html_sections(spark):
     assert got[3] == f"Title 3\nIntro 3\n{words(20, 3)}" and all(got[20 + i] == f"Title 99\nIntro 99\n{words(20, 99)}\nsaid here only" for i in range(3))
 
 
+def test_html_generated_hosts(spark, monkeypatch):
+    """Hosts of random templates with known slots, hosts of one, two and three pages, repeated rows, other columns, folds of several levels."""
+    monkeypatch.setattr(html, "FAN", 2)
+    rng, rows, want = random.Random(9), [], {}
+    noise = ["<nav><a>Home</a></nav>", '<div class="site-footer">Imprint</div>', "<aside>More</aside>", "<script>var x = '<p>no</p>';</script>", '<div class="cookie-notice">We use</div>', "<form><p>Mail</p></form>", "<!-- <p>no</p> -->", '<section id="comments"><p>Nice</p></section>']
+    for host in range(10):
+        tag = ("article", "div class=text", "section", "main", "div class='entry no-sidebar'")[host % 5]
+        wraps = [rng.choice(("div", "section", "div class=x1")) for _ in range(rng.randint(0, 3))]
+        fixed = [f"Site {host} " + words(3, 900 + host), "About " + words(2, 950 + host)]
+        for page in range((1, 2, 3, 9)[host % 4]):
+            lines = [f"Title {host} {page}", *[words(rng.randint(8, 30), host * 1000 + page * 20 + k) for k in range(rng.randint(2, 6))]]
+            body = "".join(f"<p>{x}" + rng.choice(("", "</p>")) + rng.choice(["", "", rng.choice(noise)]) for x in lines[1:])
+            inner = f"<{tag}><h1>{lines[0]}</h1>{body}</{tag.split()[0]}>"
+            for w in wraps:
+                inner = f"<{w}>{rng.choice(noise)}{inner}</{w.split()[0]}>"
+            one_page = (1, 2, 3, 9)[host % 4] == 1 and host % 5 not in (0, 3)  # nothing tells its template apart
+            head = "" if one_page else f"<div class=top><p>{fixed[0]}</p></div>"
+            tail = "" if one_page else f"<div><span>{fixed[1]}</span></div>"
+            rows.append((len(rows), f"https://h{host}.example/{page}", f"<html><head><title>t</title><meta x=y></head><body>{noise[0]}{head}{inner}{tail}{noise[1]}</body></html>", "a"))
+            want[rows[-1][0]] = "\n".join(lines)
+    rows += [(500, "http://odd.example/1", "<head><title>t</title><p>hello", "a"), (501, "http://odd2.example/1", '<article><header><h1>Head</h1></header><p title="a"b">one</article>', "a"), (502, None, None, None)]
+    want |= {500: "hello", 501: "Head\none", 502: ""}
+    docs = spark.createDataFrame(rows + rows[3:5], "page_id long, url string, html string, host string")
+    got = html.extract(docs).collect()
+    assert len(got) == len(rows) + 2
+    for r in got:
+        assert r.text == want[r.page_id] and r.n_chars == len(r.text), (r.url, r.text, want[r.page_id])
+    assert html.extract(docs.where("page_id < 0")).count() == 0
+    page = next(x for i, _, x, _ in rows if i == max(k for k in want if k < 500))
+    assert html.main_text(page, html.Slots([]), []) != want[max(k for k in want if k < 500)]  # without its wrapper
+
+
+def test_html_long_page():
+    """A megabyte of tags, and values without an end, take linear time."""
+    page = "<body>" + "<p>word</p>" * 90_000 + '<a href="' * 20_000
+    assert len(list(html.blocks(page))) >= 90_000
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     sizes = {}
@@ -297,6 +457,38 @@ def test_quality(spark, docs, empty):
     assert all(kept[i] for i in range(400)) and not any(kept[900 + i] for i in range(20))
 
 
+def test_quality_against_loops(spark):
+    """Distances against the same steps in plain numpy: both starts, bins, the lesser determinant."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(90):
+        w = words(rng.randint(30, 80), 300 + i).split()
+        w = [x.upper() if rng.random() < 0.05 * (i % 4) else x + "#" * (rng.random() < 0.2 * (i % 9 == 0)) for x in w]
+        rows.append((i, "\n".join([" ".join(w)] * (1 + (i % 13 == 0))), "en", "s"))
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    used = [r for r in got.values() if not r.base_failed]
+    x = np.array([[r[f] for f in quality.FEATURES] for r in used], float)
+    least = np.array(list(quality.FEATURES.values()), float)
+
+    def far(mean, inverse):
+        return np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+
+    q = np.percentile(x, [25, 50, 75], axis=0)
+    best = None
+    for mean, spread in ((q[1], (q[2] - q[0]) / 1.349), (x.mean(0), x.std(0))):
+        inverse = np.diag(1 / np.maximum(spread, least) ** 2)
+        for _ in range(quality.STEPS):
+            bins = np.minimum(np.ceil(np.log1p(far(mean, inverse)) * 50), quality.BINS)
+            order = np.sort(bins)
+            near = x[bins <= order[int(np.ceil(quality.KEEP * len(x))) - 1]]
+            mean = near.mean(0)
+            cov = (near - mean).T @ (near - mean) / len(near) + np.diag(least**2)
+            inverse, det = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+        if best is None or round(det, 9) < round(best[0], 9):
+            best = det, far(mean, inverse)
+    assert len(used) >= 80 and np.allclose([r.distance for r in used], best[1], rtol=1e-6)
+
+
 def test_quality_small_groups(spark):
     """A language and source of some tens of rows is judged by its own rows."""
     rows = [(i, words(60, i), "en", "s") for i in range(40)] + [(900 + i, " ".join(x + "***" for x in words(60, i).split()), "en", "s") for i in range(2)]

@@ -8,7 +8,7 @@ whole epochs first, and the rest by the cut. One shuffle of (id, source, size, k
 
 Defined results: a null text has size 0 and is never counted; documents whose middle lies within the budget are taken
 whole, so a source is off by half a document at most; keys tie only for equal doc_id and then order by
-size; a null source is a source of its own, last in order; a null doc_id is hashed as an empty one;
+size and the text's hash; a null source is a source of its own, last in order; a null doc_id is hashed as an empty one;
 an empty table, or one without words, gives targets of 0; other columns are not read.
 """
 
@@ -17,15 +17,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, shared_dir, table, texts, written
+from .common import WORD, shared_dir, table, texts, unused, written
 
 SEED, DIGITS, MOST = "mix-1", 3, 3
 WEIGHTS = (1, 2, 3)
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words."""
-    return texts(docs, "source").select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"))
+    """doc_id, source, size in words and t, the hash of the text."""
+    return texts(docs, "source").select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("t"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -50,7 +50,7 @@ def grp_of(source: str):
 
 
 def mix(docs: DataFrame, seed: str = SEED, digits: int = DIGITS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (times the document is in the mix), taken (its words there)."""
+    """doc_id, source, size, t (the text's hash), source_size, target, copies (times the document is in the mix), taken (its words there)."""
     spark = docs.sparkSession
     sizes = written(sized(docs), f"{shared_dir(spark)}/sized")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -58,7 +58,7 @@ def mix(docs: DataFrame, seed: str = SEED, digits: int = DIGITS) -> DataFrame:
     ranges = rows.groupBy("grp", "range").agg(F.sum("size").alias("range_size"))
     before = F.coalesce(F.sum("range_size").over(Window.partitionBy("grp").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = ranges.withColumn("range_before", before).join(targets(sizes), "grp").drop("range_size")
-    inside = Window.partitionBy("grp", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("grp", "range").orderBy("key", "doc_id", "size", "t").rowsBetween(Window.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     return (
         rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -67,16 +67,21 @@ def mix(docs: DataFrame, seed: str = SEED, digits: int = DIGITS) -> DataFrame:
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
         .withColumn("middle", F.col("range_before") + F.col("inside") + F.col("size") / F.lit(2.0))
         .withColumn("copies", F.col("epochs") + F.when((F.col("middle") <= F.col("rest")) & (F.col("epochs") < MOST), 1).otherwise(0))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "t", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix with their own columns, each as many times as the mix takes it. Rows that share doc_id and source count as one document's copies."""
+    """The documents of the mix with their own columns, whatever their names, each as many times as the mix takes it.
+
+    Rows are told apart by doc_id, source and text: other texts under one doc_id are other documents. Rows equal in all
+    three are taken alike, as often as the one of them that is taken most."""
     names = docs.columns
-    copies = mix(docs).groupBy(F.col("doc_id").alias("_id"), grp_of("source").alias("_grp")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    both = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")) & (grp_of("source") == F.col("_grp")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
+    d, t, grp, copies, copy = unused(docs, "_d", "_t", "_grp", "_copies", "_copy")
+    taken = mix(docs).groupBy(F.col("doc_id").alias(d), F.col("t").alias(t), grp_of("source").alias(grp)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    rows = docs.withColumn(t, F.xxhash64(F.coalesce("text", F.lit("")))).withColumn(grp, grp_of("source"))
+    both = rows.join(taken.withColumnsRenamed({t: f"{t}2", grp: f"{grp}2"}), rows["doc_id"].eqNullSafe(F.col(d)) & (F.col(t) == F.col(f"{t}2")) & (F.col(grp) == F.col(f"{grp}2")))
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[docs[c] for c in names])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, pieces, shared_dir, table, texts, written
+from .common import batch_of, pieces, shared_dir, table, texts, unused, written
 
 RULE_VERSION = "2"
 #: Kinds in the order that breaks ties between spans; the first three are the base.
@@ -36,11 +36,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # Runs of hex digits are maximal, so those of 16 and more are the long ones among the matches of [0-9a-f]+.
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _MORE = (
-    ("private_key", "-----BEGIN", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", re.A)),
+    ("private_key", "-----BEGIN", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x09-\x0D\x20]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", re.A)),
     ("jwt", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.A)),
     ("forge_token", "gh", re.compile(r"\bgh[oprsu]_[A-Za-z0-9]{36,}", re.A)),
     ("chat_token", "xox", re.compile(r"\bxox[abeoprs]-[A-Za-z0-9-]{10,}", re.A)),
-    ("url_login", "://", re.compile(r"\b[a-z][a-z0-9+]{1,15}://[^\s:@/]{1,64}:[^\s:@/]{3,64}@[A-Za-z0-9.-]+", re.A)),
+    ("url_login", "://", re.compile(r"\b[a-z][a-z0-9+]{1,15}://[^\x09-\x0D\x20:@/]{1,64}:[^\x09-\x0D\x20:@/]{3,64}@[A-Za-z0-9.-]+", re.A)),
 )
 
 FOUND = "blob binary, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -124,12 +124,13 @@ def redacted(docs: DataFrame, ledger_path: str, mark: str = "[secret]") -> DataF
     """``docs`` with every span replaced by ``mark`` and n_chars following; clean rows stay as they are.
 
     Only rows whose blob has spans pass through Python; overlapping spans are replaced as one."""
-    found = scan(docs, ledger_path).where(F.col("spans") != "").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
+    blob, spans = unused(docs, "_blob", "_spans")
+    found = scan(docs, ledger_path).where(F.col("spans") != "").select(F.col("blob").alias(blob), F.col("spans").alias(spans)).dropDuplicates([blob])
     names = docs.columns
     cut = F.pandas_udf(lambda t, s: t.combine(s, lambda x, y: cover(x, y, mark)), "string")
-    both = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(found, "_blob", "left")
-    hit = F.col("_spans").isNotNull()
-    changed = both.where(hit).withColumn("text", cut("text", "_spans"))
+    both = docs.withColumn(blob, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(found, blob, "left")
+    hit = F.col(spans).isNotNull()
+    changed = both.where(hit).withColumn("text", cut("text", spans))
     if "n_chars" in names:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return both.where(~hit).select(*names).unionByName(changed.select(*names))
