@@ -2,11 +2,13 @@
 
 Each text is measured once (an Arrow function, no shuffle). The transformed statistics are vectors of
 whole thousandths. For every language and source, for every language and for all rows a minimum covariance
-determinant is estimated from all rows: from medians and quartile ranges, concentration steps keep
-the ``KEEP`` share of rows with the least Mahalanobis distance and take their mean and covariance. A step is
-one aggregate by (group, distance bin) of counts, sums and sums of products in whole numbers, so it combines
+determinant is estimated from all rows. It starts from two places, medians with quartile ranges and means with
+deviations; concentration steps keep the ``KEEP`` share of rows with the least Mahalanobis distance (by whole bins of 2 %
+in distance, so a little more) and take their mean and covariance; the start whose last covariance has the lesser determinant wins. A step is
+one aggregate by (group, start, distance bin) of counts, sums and sums of products in whole numbers, so it combines
 before the shuffle, has no hot group, and gives the same figures whatever the partitions. A row is judged by
-the finest group with at least ``LEAST`` rows; it is rejected if its squared distance exceeds ``CUT``.
+the finest group with at least ``LEAST`` rows; it is rejected if its squared distance exceeds ``CUT``. The statistics
+are far from normal, so no quantile of a normal sample's distances is used: the cut is a fixed parameter.
 
 Defined results: a null text is an empty one and fails the base rules; null languages and sources are groups of
 their own; rows that fail the base rules are not measured against; repeated rows count as often as they
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, pieces, shared_dir, table, text_hash, texts, written
+from .common import batch_of, dropped, pieces, shared_dir, table, text_hash, texts, unused, written
 
 KEEP, LEAST, STEPS, CUT = 0.75, 30, 5, 100.0
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -92,16 +94,25 @@ def _groups() -> Column:
     return F.array(F.concat_ws("\x1f", F.lit("2"), lang, source), F.concat_ws("\x1f", F.lit("1"), lang), F.lit("0"))
 
 
-PARAMS = "grp string, n long, mean array<double>, inverse array<double>, scale double"
+PARAMS = "grp string, start int, n long, mean array<double>, inverse array<double>, log_det double"
 
 
 def _first(rows: DataFrame) -> DataFrame:
-    """Means and inverses from medians and quartile ranges (exact: values are whole numbers of a small range)."""
-    quartiles = [F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(x) for x in FEATURES]
-    per = rows.groupBy("grp").agg(F.count("*").alias("n"), *quartiles)
-    spread = [F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(float(least))) for x, least in FEATURES.items()]
-    inverse = [1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
-    return per.select("grp", "n", F.array(*[F.col(x)[1] for x in FEATURES]).alias("mean"), F.array(*inverse).alias("inverse"), F.lit(1.0).alias("scale"))
+    """Both starts of each group: medians and quartile ranges (exact: values are whole numbers of a small range), means and deviations."""
+    quartiles = [F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{x}") for x in FEATURES]
+    per = rows.groupBy("grp").agg(F.count("*").alias("n"), *quartiles, *[F.avg(x).alias(f"a_{x}") for x in FEATURES], *[F.stddev_pop(x).alias(f"d_{x}") for x in FEATURES])
+
+    def start(k: int, mean: list[Column], spread: list[Column]) -> Column:
+        spread = [F.greatest(s, F.lit(float(least))) for s, least in zip(spread, FEATURES.values(), strict=True)]
+        inverse = F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
+        return F.struct(F.lit(k).alias("start"), F.array(*[m.cast("double") for m in mean]).alias("mean"), inverse.alias("inverse"))
+
+    of = lambda c, k: F.col(f"q_{c}")[k]
+    starts = F.array(
+        start(0, [of(x, 1) for x in FEATURES], [(of(x, 2) - of(x, 0)) / 1.349 for x in FEATURES]),
+        start(1, [F.col(f"a_{x}") for x in FEATURES], [F.col(f"d_{x}") for x in FEATURES]),
+    )
+    return per.select("grp", "n", F.explode(starts).alias("s")).select("grp", "s.start", "n", "s.mean", "s.inverse", F.lit(0.0).alias("log_det"))
 
 
 def distance() -> Column:
@@ -115,7 +126,7 @@ def distance() -> Column:
 
 
 def _concentrate(key, bins: pd.DataFrame) -> pd.DataFrame:
-    """One group's bins of distance to the mean and inverse covariance of its nearest rows."""
+    """One group's and start's bins of distance to the mean, inverse covariance and log determinant of its nearest rows."""
     bins = bins.sort_values("bin")
     n = bins["n"].to_numpy(np.int64)
     upto = np.searchsorted(np.cumsum(n), KEEP * n.sum()) + 1
@@ -128,10 +139,7 @@ def _concentrate(key, bins: pd.DataFrame) -> pd.DataFrame:
         for j in range(i, P):
             cov[i, j] = cov[j, i] = (sum(map(int, near[f"p{i}_{j}"])) * m - sums[i] * sums[j]) / m / m
     cov += np.diag(np.square(np.array(list(FEATURES.values()), float)))
-    # The rows' median distance, as it would be for normal vectors, sets the scale of the last estimate.
-    half = bins["bin"].iloc[np.searchsorted(np.cumsum(n), 0.5 * n.sum())]
-    scale = P * (1 - 2 / (9 * P)) ** 3 / max(1e-6, np.expm1(half / 50))
-    return pd.DataFrame({"grp": [key[0]], "n": [int(n.sum())], "mean": [mean.tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()], "scale": [float(scale)]})
+    return pd.DataFrame({"grp": [key[0]], "start": [int(key[1])], "n": [int(n.sum())], "mean": [mean.tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()], "log_det": [float(np.linalg.slogdet(cov)[1])]})
 
 
 def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -139,7 +147,7 @@ def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
     names = list(FEATURES)
     sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(names)]
     products = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i in range(P) for j in range(i, P)]
-    return far.groupBy("grp", "bin").agg(F.count("*").alias("n"), *sums, *products).groupBy("grp").applyInPandas(_concentrate, PARAMS)
+    return far.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"), *sums, *products).groupBy("grp", "start").applyInPandas(_concentrate, PARAMS)
 
 
 def estimate(measured: DataFrame, folder: str) -> DataFrame:
@@ -148,7 +156,10 @@ def estimate(measured: DataFrame, folder: str) -> DataFrame:
     params = written(_first(rows), f"{folder}/mcd0")
     for k in range(STEPS):
         params = written(_step(rows, params), f"{folder}/mcd{k + 1}")
-    return params
+        dropped(measured.sparkSession, f"{folder}/mcd{k}")
+    # Equal determinants, to a billionth, are one solution: the first start's.
+    best = F.min(F.struct(F.round("log_det", 9).alias("det"), "start", "n", "mean", "inverse")).alias("b")
+    return params.groupBy("grp").agg(best).select("grp", "b.n", "b.mean", "b.inverse")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -170,9 +181,12 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns. A verdict is that of a text, language and source: rows that share a doc_id, or have none, stand each for itself."""
-    good = judge(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_good"), F.col("lang").alias("_lang"), F.col("source").alias("_source")).distinct()
-    rows = docs.withColumn("_t", text_hash())
-    own = rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_good")) & rows["lang"].eqNullSafe(F.col("_lang")) & rows["source"].eqNullSafe(F.col("_source"))
+    ids = unused(docs, "_id", "_t", "_lang", "_source", "_row")
+    good = judge(docs).where("kept").select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "t", "lang", "source"), ids, strict=False)]).distinct()
+    rows = docs.withColumn(ids[4], text_hash())
+    own = rows[ids[4]] == good[ids[1]]
+    for c, n in (("doc_id", ids[0]), ("lang", ids[2]), ("source", ids[3])):
+        own = own & rows[c].eqNullSafe(good[n])
     return rows.join(good, own, "left_semi").select(*docs.columns)
 
 
