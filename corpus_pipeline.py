@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import bpe, jaccard, mixing, quality, secrets
-from weft.llm.common import shared_dir, table, written
+from weft.llm.common import dropped, shared_dir, table, written
 
 #: SQL has no minimum covariance determinant and no BPE; the stages are tested against brute force instead.
 ORACLE_SQL = None
@@ -55,4 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"{folder}/stage{k}")
+            dropped(spark, f"{folder}/stage{k - 1}")  # the stage before is read no more
     return docs
