@@ -440,6 +440,7 @@ def test_mixing(docs, empty):
         assert t <= 3 * sizes[s] and abs(sum(r.taken for r in mine) - t) <= max(r.size for r in mine) and all(r.taken <= 3 * r.size for r in mine)
     assert by_id(mixing.mix(docs)) == by_id(mixing.mix(docs.repartition(7))) and mixing.mix(empty).count() == 0
     assert mixing.mixed(docs).columns == docs.columns
+    assert by_id(mixing.mix(docs)) == by_id(mixing.mix(docs, digits=3)) and [mixing.digits_for(n) for n in (0, 65536, 65537, 10**10)] == [1, 1, 2, 6]
 
 
 def test_quality(spark, docs, empty):

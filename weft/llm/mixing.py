@@ -2,7 +2,8 @@
 
 Every document gets a hash-random key. Keys are cut into ranges by their leading hex digits, so a source,
 however large, is sorted and summed in many (source, range) groups: sums by range, prefix sums over the
-ranges of a source (at most 16**digits rows each), then a running sum inside each range. The cut lies
+ranges of a source, then a running sum inside each range. There are as many digits as leave some ``RANGE`` documents of
+all sources in a range; they change the plan only, not the result. The cut lies
 where the prefix sum of sizes meets the source's budget; a target above the source's size takes
 whole epochs first, and the rest by the cut. One shuffle of (id, source, size, key) rows; texts stay in the scan.
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, shared_dir, table, texts, unused, written
 
-SEED, DIGITS, MOST = "mix-1", 3, 3
+SEED, RANGE, MOST = "mix-1", 4096, 3
 WEIGHTS = (1, 2, 3)
 
 
@@ -49,10 +50,19 @@ def grp_of(source: str):
     return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
 
 
-def mix(docs: DataFrame, seed: str = SEED, digits: int = DIGITS) -> DataFrame:
+def digits_for(rows: int) -> int:
+    """Hex digits such that a range holds ``RANGE`` of so many rows or fewer; one at least."""
+    digits = 1
+    while rows > RANGE * 16**digits:
+        digits += 1
+    return digits
+
+
+def mix(docs: DataFrame, seed: str = SEED, digits: int | None = None) -> DataFrame:
     """doc_id, source, size, t (the text's hash), source_size, target, copies (times the document is in the mix), taken (its words there)."""
     spark = docs.sparkSession
     sizes = written(sized(docs), f"{shared_dir(spark)}/sized")
+    digits = digits or digits_for(sizes.count())
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = sizes.withColumn("grp", grp_of("source")).withColumn("key", key).withColumn("range", F.substring("key", 1, digits))
     ranges = rows.groupBy("grp", "range").agg(F.sum("size").alias("range_size"))
