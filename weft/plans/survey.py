@@ -534,11 +534,11 @@ def _(spark, d):
 
 _MIN = {a: f"(CASE WHEN p.{a} - c.{a} > 50 THEN p.{a} - c.{a} - 100 WHEN p.{a} - c.{a} < -50 THEN p.{a} - c.{a} + 100 ELSE p.{a} - c.{a} END)" for a in "xyz"}
 _DIST = "sqrt(" + " + ".join(f"{_MIN[a]} * {_MIN[a]}" for a in "xyz") + ")"
-_POINTS = f"{lenses.HALOS}, pts AS (SELECT hid AS pid, x, y, z FROM halos WHERE snap <= 12)"
+_POINTS = f"{lenses.HALOS}, pts AS (SELECT hid AS pid, x, y, z FROM halos WHERE snap <= 26)"
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    return lenses.halos(spark, d).where("snap <= 12").select(F.col("hid").alias("pid"), "x", "y", "z")
+    return lenses.halos(spark, d).where("snap <= 26").select(F.col("hid").alias("pid"), "x", "y", "z")
 
 
 @query("d14_neighbours", f"WITH {_POINTS} SELECT c.pid AS cid, p.pid, round({_DIST}, 6) AS distance FROM pts c JOIN pts p ON c.pid % 20 = 0 WHERE {_DIST} < 7")
@@ -555,13 +555,18 @@ def _(spark, d):
     return density.local_density(points(spark, d), HALO_BOX, 8).select("pid", r6(F.col("h"), "h"), r6(F.col("density"), "density", 8))
 
 
+def _within(src: str, a: str, before: str) -> str:
+    cells = f"unnest(range(CAST(floor(({a} - 2 * h) / 12.5::DOUBLE) AS BIGINT), CAST(floor(({a} + 2 * h) / 12.5::DOUBLE) AS BIGINT) + 1))"
+    return f"SELECT * FROM (SELECT {before}x, y, z, h, {cells} AS i{a} FROM {src}) WHERE abs((i{a} + 0.5::DOUBLE) * 12.5::DOUBLE - {a}) < 2 * h"
+
+
 _Q8 = " + ".join(f"pow((i{a} + 0.5::DOUBLE) * 12.5::DOUBLE - {a}, 2)" for a in "xyz")
 
 
 @query(
     "d16_sph_adaptive",
     f"""WITH {_POINTS}, {_NEAREST}, p AS (SELECT x, y, z, greatest(h / 2, {3**0.5 / 2 * 12.5 / 2 * 1.0000001!r}::DOUBLE) AS h FROM pts JOIN h USING (pid)),
-    s AS (SELECT a.i AS ix, b.i AS iy, c.i AS iz, p.h, x, y, z FROM p JOIN range(-16, 24) a(i) ON abs((a.i + 0.5::DOUBLE) * 12.5 - x) < 2 * h JOIN range(-16, 24) b(i) ON abs((b.i + 0.5::DOUBLE) * 12.5 - y) < 2 * h JOIN range(-16, 24) c(i) ON abs((c.i + 0.5::DOUBLE) * 12.5 - z) < 2 * h),
+    sx AS ({_within('p', 'x', '')}), sy AS ({_within('sx', 'y', 'ix, ')}), s AS ({_within('sy', 'z', 'ix, iy, ')}),
     k AS (SELECT ix, iy, iz, h, sqrt({_Q8}) / h AS q FROM s)
     SELECT CAST((ix + 16) % 8 AS INT) AS ix, CAST((iy + 16) % 8 AS INT) AS iy, CAST((iz + 16) % 8 AS INT) AS iz, round(sum((0.25::DOUBLE * pow(greatest(2 - q, 0), 3) - pow(greatest(1 - q, 0), 3)) / (pi() * pow(h, 3))), 7) AS density FROM k GROUP BY 1, 2, 3 HAVING sum((0.25::DOUBLE * pow(greatest(2 - q, 0), 3) - pow(greatest(1 - q, 0), 3)) / (pi() * pow(h, 3))) > 0""",
 )
