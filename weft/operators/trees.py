@@ -68,24 +68,31 @@ def tops(nodes: DataFrame) -> DataFrame:
     return nodes.join(nodes.select(F.col("node").alias("_top")), F.col("descendant") == F.col("_top"), "left_anti")
 
 
+def ranked(roots: DataFrame, ties: str = "root", before: dict[str, str] | None = None) -> DataFrame:
+    """Adds ``place``, from 0, in order of mass, the greatest first (ties: the lesser ``ties``, which tells all of them apart), and for each
+    column named in ``before`` a new column with its sum over the rows before.
+
+    Prefix sums over one row for each root, in ranges of mass first, so no task sorts all roots."""
+    sums = {"_one": "place"} | (before or {})
+    per = roots.withColumn("_one", F.lit(1)).withColumn("_part", F.floor(F.log2(F.greatest("mass", F.lit(1e-300))) * -64).cast("long"))
+    order = Window.partitionBy("_part").orderBy(F.desc("mass"), ties).rowsBetween(Window.unboundedPreceding, -1)
+    parts = per.groupBy("_part").agg(*[F.sum(c).alias(f"_{a}") for c, a in sums.items()])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 64th of a power of two in mass
+    parts = parts.select("_part", *[F.coalesce(F.sum(f"_{a}").over(earlier), F.lit(0)).alias(f"_{a}") for a in sums.values()])
+    inside = per.select("*", *[F.coalesce(F.sum(c).over(order), F.lit(0)).alias(a) for c, a in sums.items()])
+    return inside.join(parts, "_part").select(*roots.columns, *[(F.col(a) + F.col(f"_{a}")).alias(a) for a in sums.values()])
+
+
 def extract(nodes: DataFrame, mass_min: float = 0.0, snap_min: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The catalog of main branches: (rows, index).
 
     Branches of all tree roots of at least ``mass_min``, in order of the root's mass (ties: lesser root), latest node
-    first. Rows: root, place (of the branch), step, node. Index: root, place, start_offset, length, snap_min, snap_max.
-    Order and offsets are prefix sums over one row for each root, in ranges of mass first, so no task sorts all roots."""
+    first. Rows: root, place (of the branch), step, node. Index: root, place, start_offset, length, snap_min, snap_max."""
     kept = nodes if snap_min is None else nodes.where((F.col("snap") >= snap_min) | F.col("descendant").isNull())
     roots = nodes.where(F.col("descendant").isNull() & (F.col("mass") >= mass_min)).select("node")
     found = branches(kept, roots).join(nodes.select("node", "snap"), "node")
     per = found.groupBy("root").agg(F.count("*").alias("length"), F.min("snap").alias("snap_min"), F.max("snap").alias("snap_max")).join(nodes.select(F.col("node").alias("root"), "mass"), "root")
-    per = per.withColumn("part", F.floor(F.log2(F.greatest("mass", F.lit(1e-300))) * -64).cast("long"))
-    order = Window.partitionBy("part").orderBy(F.desc("mass"), "root")
-    parts = per.groupBy("part").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 64th of a power of two in mass
-    parts = parts.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(a) for c, a in (("n", "place0"), ("total", "offset0"))])
-    inside = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    index = per.withColumn("place", F.row_number().over(order) - 1).withColumn("inside", inside).join(parts, "part")
-    index = index.select("root", (F.col("place0") + F.col("place")).alias("place"), (F.col("offset0") + F.col("inside")).alias("start_offset"), "length", "snap_min", "snap_max")
+    index = ranked(per, before={"length": "start_offset"}).select("root", "place", "start_offset", "length", "snap_min", "snap_max")
     return found.join(index.select("root", "place"), "root").select("root", "place", "step", "node"), index
 
 

@@ -252,9 +252,8 @@ def _(spark, d):
 
 @query("o03_trees_by_mass", f"{_TREES} SELECT row_number() OVER (ORDER BY mass DESC, tree) - 1 AS place, tree, mass FROM nodes WHERE descendant IS NULL AND mass >= 200000")
 def _(spark, d):
-    _, index = trees.extract(lenses.tree(spark, d), 200000.0)
-    roots = lenses.tree(spark, d).select(F.col("node").alias("root"), "tree", "mass")
-    return index.join(roots, "root").select("place", "tree", "mass")
+    roots = lenses.tree(spark, d).where("descendant is null and mass >= 200000").select("tree", "mass")
+    return trees.ranked(roots, "tree").select("place", "tree", "mass")
 
 
 _EXTRACTED = f"RECURSIVE {lenses.TREE}, b AS (SELECT node AS root, node, main_prog, 0 AS step FROM nodes WHERE descendant IS NULL AND mass >= 150000 UNION ALL SELECT b.root, n.node, n.main_prog, step + 1 FROM b JOIN nodes n ON n.node = b.main_prog WHERE n.snap >= 3)"
