@@ -34,3 +34,11 @@ def test_trees_of_one_mass(spark, tmp_path):
     rows = [(k, 40 - k, day, 250000.0) for k in range(40)] + [(100 + k, 140 - k, day, 300000.0 + k // 4) for k in range(40)]
     got, want = both(spark, tmp_path, "o03_trees_by_mass", orders=orders(rows))
     assert len(want) == 80 and got == want
+
+
+def test_shapes_of_one_bin(spark, tmp_path):
+    """Every overdensity lies in one bin: the correlation is NaN, not null."""
+    n = 24**3
+    events = pd.DataFrame({"event_id": range(n), "user_id": 512, "value": [5.12 + k % 5 / 100 for k in range(n)]})
+    got, want = both(spark, tmp_path, "x06_pdf_shapes", events=events)
+    assert want == [("nan", "True")] and got == want

@@ -777,4 +777,4 @@ def _(spark, d):
 def _(spark, d):
     h = by_class(spark, d).withColumn("bin", stats.log_bin(F.col("od"), _LOW, _HIGH, _BINS)).where(F.col("bin").between(0, _BINS - 1))
     per = h.groupBy("bin").agg(F.count_if(F.col("class") == 0).cast("double").alias("a"), F.count("*").cast("double").alias("b"))
-    return per.agg(F.corr("a", "b").alias("c")).select(r6(F.col("c"), "correlation"), (F.col("c") >= 0.95).alias("alike"))
+    return per.agg(stats.correlation("a", "b").alias("c")).select(r6(F.col("c"), "correlation"), (F.col("c") >= 0.95).alias("alike"))
