@@ -3,6 +3,7 @@
 import datetime
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark import cloudpickle
@@ -81,3 +82,18 @@ def test_best_match_is_not_broadcast(spark):
     out = halos.best_match(t.withColumnRenamed("hid", "tid"), t, 100.0)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.tid: r.hid for r in out.collect()} == {k: k for k in range(50)}
+
+
+def test_crowds_are_not_compared_with_all(monkeypatch):
+    """Where halos are dense a target meets a few hundred of the nearest, not the thousands within reach, and finds the same match."""
+    rng = np.random.default_rng(5)
+    t, c = ([*(rng.normal(50, 4, (3, n)) % 100), rng.uniform(1, 50, n)] for n in (3000, 20000))
+    ids, pairs, take = rng.permutation(20000), [], halos._Search.take
+    monkeypatch.setattr(halos._Search, "take", lambda self, i, j: (pairs.append(len(i)), take(self, i, j)))
+    found = halos._Search(t, c, ids, 100.0, 12.0, 0.05, 0.3)
+    found.search(np.arange(3000), 12.0)
+    assert sum(pairs) < 1000 * 3000
+    for k in range(0, 3000, 50):
+        d = np.sqrt(sum((a[k] - b) ** 2 for a, b in zip(t[:3], c[:3])))
+        score = np.where((d < 12) & (c[3] > 0.05 * t[3][k]), d + 0.3 * np.abs(np.log10(c[3] / t[3][k])), np.inf)
+        assert found.best[k] == (score.argmin() if score.min() < np.inf else -1)

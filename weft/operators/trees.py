@@ -183,19 +183,24 @@ def track(catalogs: DataFrame, starts: DataFrame, box: float, snaps: list[int],
 
     ``starts``: start, snap, x, y, z, m. Snapshot by snapshot (a list as long as the simulation has outputs) all
     branches that have begun are matched at once with that snapshot's halos; a branch without a match keeps its last place and mass
-    and goes on, so gaps don't end it. The state, one row for each branch, is written at each step."""
+    and goes on, so gaps don't end it. The snapshots' halos are written once; the state, one row for each branch, is written at each step."""
     spark, path = starts.sparkSession, folder(starts.sparkSession)
     state = written(starts.select("start", F.col("snap").alias("begins"), "x", "y", "z", "m"), f"{path}/state0")
-    out = starts.select("start", "snap", F.col("start").alias("hid"), F.lit(0.0).alias("score"), F.lit(0.0).alias("distance"))
+    out = state.select("start", F.col("begins").alias("snap"), F.col("start").alias("hid"), F.lit(0.0).alias("score"), F.lit(0.0).alias("distance"))
+    held = written(catalogs.where(F.col("snap").isin(snaps)).select(F.col("snap").cast("int").alias("snap"), "hid", "x", "y", "z", "m"), f"{path}/halos")
+    most = held.groupBy("snap").count().agg(F.max("count")).first()[0] or 0
+    cut = halos.splits(most, box, how.get("reach", halos.REACH))
     for k, snap in enumerate(sorted(snaps, reverse=not forward)):
         begun = F.col("begins") < snap if forward else F.col("begins") > snap
         targets = state.where(begun).select(F.col("start").alias("tid"), F.lit(snap).cast("int").alias("snap"), "x", "y", "z", "m")
-        here = catalogs.where(F.col("snap") == snap).select(F.col("snap").cast("int").alias("snap"), "hid", "x", "y", "z", "m")
-        met = written(halos.best_match(targets, here, box, **how), f"{path}/met{k}")
+        met = written(halos.best_match(targets, held.where(F.col("snap") == snap), box, cut=cut, **how), f"{path}/met{k}")
         out = out.unionByName(met.select(F.col("tid").alias("start"), "snap", "hid", "score", "distance"))
-        at = met.join(here.select("hid", *[F.col(c).alias(f"n{c}") for c in "xyzm"]), "hid").select(F.col("tid").alias("start"), "nx", "ny", "nz", "nm")
-        state = written(state.join(at, "start", "left").select("start", "begins", *[F.coalesce(f"n{c}", c).alias(c) for c in "xyzm"]), f"{path}/state{k + 1}")
-        dropped(spark, f"{path}/state{k}")
+        at = met.select(F.col("tid").alias("start"), *[F.col(c).alias(f"n{c}") for c in "xyzm"])
+        after = written(state.join(at, "start", "left").select("start", "begins", *[F.coalesce(f"n{c}", c).alias(c) for c in "xyzm"]), f"{path}/state{k + 1}")
+        if k:  # the first one holds the starts
+            dropped(spark, f"{path}/state{k}")
+        state = after
+    dropped(spark, f"{path}/halos")
     return out
 
 
