@@ -5,6 +5,7 @@ import datetime
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 
@@ -15,7 +16,7 @@ from weft.plans import catalog
 def both(spark, tmp_path, name: str, **tables: pd.DataFrame) -> tuple[list, list]:
     con = duckdb.connect()
     for table, rows in tables.items():
-        con.register("rows", rows)
+        con.register("rows", pa.table({c: pa.array(rows[c].to_numpy(), from_pandas=False) for c in rows}))
         con.execute(f"copy rows to '{tmp_path}/{table}.parquet' (format parquet)")
         con.unregister("rows")
         con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet'")
@@ -76,6 +77,15 @@ def test_matches_in_small_blocks(spark, tmp_path, small_arrays, name):
     assert len(want) > 100 and got == want
 
 
+def test_odd_masses(spark, tmp_path):
+    """A mass that is no number is heavier than all."""
+    day = [datetime.datetime(1998, 5, 5), datetime.datetime(1998, 8, 5)]
+    nan = float("nan")
+    rows = orders([(1, 1, day[1], 1000.0), (100001, 1, day[0], nan), (2, 1, day[1], nan), (100002, 1, day[0], 5.0), (3, 1, day[1], 10.0), (100003, 1, day[0], nan), (200003, 1, day[0], 0.6)])
+    got, want = both(spark, tmp_path, "j08_best_match", orders=rows)
+    assert len(want) >= 2 and got == want
+
+
 def test_best_match_is_not_broadcast(spark):
     """Neither side of the match goes to the driver, however small Spark takes it for."""
     t = spark.range(50).selectExpr("id AS hid", "1 AS snap", "id + 0.5D AS x", "2.0D AS y", "3.0D AS z", "1.0D AS m")

@@ -353,9 +353,7 @@ _D = "sqrt(" + " + ".join(f"{_image(a)} * {_image(a)}" for a in "xyz") + ")"
     SELECT tid, arg_min(hid, (score, hid)) AS hid, round(min(score), 6) AS score FROM m GROUP BY tid""",
 )
 def _(spark, d):
-    t = lenses.halos(spark, d)
-    targets = t.select(F.col("hid").alias("tid"), (F.col("snap") - 1).alias("snap"), "x", "y", "z", "m")
-    return halos.best_match(targets, t, HALO_BOX).select("tid", "hid", r6(F.col("score"), "score"))
+    return halos.best_before(lenses.halos(spark, d), HALO_BOX).select("tid", "hid", r6(F.col("score"), "score"))
 
 
 @query("s07_first_sub", "SELECT o_custkey AS grp, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY o_custkey) - count(*) AS BIGINT) AS first_sub FROM orders GROUP BY o_custkey")
