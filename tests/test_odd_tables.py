@@ -8,8 +8,9 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
-from weft.operators import halos
+from weft.operators import density, halos
 from weft.plans import catalog
 
 
@@ -107,3 +108,15 @@ def test_crowds_are_not_compared_with_all(monkeypatch):
         d = np.sqrt(sum((a[k] - b) ** 2 for a, b in zip(t[:3], c[:3])))
         score = np.where((d < 12) & (c[3] > 0.05 * t[3][k]), d + 0.3 * np.abs(np.log10(c[3] / t[3][k])), np.inf)
         assert found.best[k] == (score.argmin() if score.min() < np.inf else -1)
+
+
+def test_sampling_shuffles_no_particles(spark, monkeypatch):
+    """A small grid goes to the particles; by the join for larger ones the densities are the same."""
+    t = spark.range(4000).selectExpr("id AS pid", *[f"(id * {k} % 4096) / 64D AS {a}" for a, k in zip("xyz", (1237, 911, 3001))])
+    grid = density.cic(t.where("x < 40"), 64.0, 8, F.lit(1.0))
+    out = density.sample(t, grid, 64.0, 8, 0.5)
+    assert "Exchange hashpartitioning(pid" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.pid: r.density for r in out.collect()}
+    monkeypatch.setattr(density, "FIELD", 0)
+    want = {r.pid: r.density for r in density.sample(t, grid, 64.0, 8, 0.5).collect()}
+    assert len(got) == 4000 and got == pytest.approx(want, abs=1e-12)

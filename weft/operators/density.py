@@ -261,8 +261,14 @@ def direct_slice(particles: DataFrame, n: int, box: float, cells: int, count: in
     return tetra_density(particles, n, box, cells, count, mass, axis, low, high).groupBy(*keep).agg((F.sum("density") * (box / cells)).alias("surface"))
 
 
+#: Cells of a grid that goes to every task as one array, at most (2 MB).
+FIELD = 1 << 18
+
+
 def sample(particles: DataFrame, grid: DataFrame, box: float, n: int, shift: float = 0.0) -> DataFrame:
-    """pid and the trilinear density at each particle; nodes lie at (index + shift) x width, missing cells are zeros."""
+    """pid and the trilinear density at each particle; nodes lie at (index + shift) x width, missing cells are zeros.
+
+    A small grid is sent to the particles as one array, so these are not shuffled; for a larger one each particle's corners meet their cells by a join."""
     w = box / n
     at = {a: F.col(a) / w - shift for a in "xyz"}
     corners = []
@@ -271,8 +277,14 @@ def sample(particles: DataFrame, grid: DataFrame, box: float, n: int, shift: flo
         for a, c in zip("xyz", corner, strict=True):
             part = at[a] - F.floor(at[a])
             weight = weight * (part if c else 1.0 - part)
-        corners.append(F.struct(*[F.pmod(F.floor(at[a]) + c, F.lit(n)).cast("int").alias(f"i{a}") for a, c in zip("xyz", corner, strict=True)], weight.alias("w")))
-    rows = particles.select("pid", F.explode(F.array(*corners)).alias("c")).select("pid", "c.*")
+        corners.append(([F.pmod(F.floor(at[a]) + c, F.lit(n)).cast("int").alias(f"i{a}") for a, c in zip("xyz", corner, strict=True)], weight))
+    if n**3 <= FIELD:
+        number = lambda i: i[0] + n * (i[1] + n * i[2])
+        cells = F.array_sort(F.collect_list(F.struct(number([F.col(f"i{a}") for a in "xyz"]).alias("cell"), "density")))
+        field = dense(grid, n, "density").agg(cells["density"].alias("_field"))  # one row
+        total = sum(weight * F.col("_field")[number(i)] for i, weight in corners)
+        return particles.join(F.broadcast(field)).select("pid", total.alias("density"))
+    rows = particles.select("pid", F.explode(F.array(*[F.struct(*i, weight.alias("w")) for i, weight in corners])).alias("c")).select("pid", "c.*")
     joined = rows.join(grid.select("ix", "iy", "iz", "density"), ["ix", "iy", "iz"], "left")
     return joined.groupBy("pid").agg(F.sum(F.col("w") * F.coalesce("density", F.lit(0.0))).alias("density"))
 
