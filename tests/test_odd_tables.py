@@ -89,9 +89,11 @@ def test_odd_masses(spark, tmp_path):
 
 def test_best_match_is_not_broadcast(spark):
     """Neither side of the match goes to the driver, however small Spark takes it for."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(catalog.queries()["j08_best_match"](spark, "/root/testdata/sf0.001"))
     t = spark.range(50).selectExpr("id AS hid", "1 AS snap", "id + 0.5D AS x", "2.0D AS y", "3.0D AS z", "1.0D AS m")
     out = halos.best_match(t.withColumnRenamed("hid", "tid"), t, 100.0)
-    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(out)
     assert {r.tid: r.hid for r in out.collect()} == {k: k for k in range(50)}
 
 
